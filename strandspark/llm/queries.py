@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import decontam, html, linededup, minhash, packing, quality, sharding, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +18,58 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_minhash": op2_minhash}
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expected severity of every document, by a model fitted on the labelled sample."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less the lines that are boilerplate of its source."""
+    return linededup.drop_lines(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule ledger of every document and the current policy's verdict."""
+    return quality.with_policies(quality.ledger(_table(spark, sf_dir, "documents")))
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
+    folder, files = tokens.write(_table(spark, sf_dir, "documents"))
+    return tokens.read(spark, folder, files, tokens.bits_of()).withColumnRenamed("id", "doc_id")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that stands in it."""
+    return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 2048 tokens."""
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.shards(_table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extracted(_table(spark, sf_dir, "pages"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive record of every page, read back from the archives."""
+    folder, files = warc.write(_table(spark, sf_dir, "pages"))
+    return warc.read(spark, folder, files)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_minhash, op3_linededup, op4_quality, op5_tokens, op6_decontamination, op7_packing, op8_sharding, op9_html, op10_warc)
+}
 
 SQL: dict[str, str] = {
     "op2_minhash": r"""
@@ -38,4 +89,36 @@ classes AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY 1)
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(c.component, s.doc_id) AS component_id,
   coalesce(c.component, s.doc_id) = s.doc_id AS kept
 FROM s LEFT JOIN u ON list_sort(s.sh) = u.sh LEFT JOIN classes c ON c.rep = u.rep""",
+    "op3_linededup": r"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents),
+t AS (SELECT doc_id, source, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM l),
+hosts AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY 1),
+bad AS (SELECT t.source, line FROM t JOIN hosts h ON t.source IS NOT DISTINCT FROM h.source WHERE line <> ''
+  GROUP BY t.source, line, host_pages HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) > 0.1 * host_pages),
+sets AS (SELECT source, list(line) AS bad FROM bad GROUP BY 1)
+SELECT doc_id,
+  CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(bad, []), regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'))), chr(10)) END AS text,
+  CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines,
+  CAST(coalesce(len(list_filter(string_split(text, chr(10)), lambda x: list_contains(coalesce(bad, []), regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')))), 0) AS BIGINT) AS n_dropped
+FROM documents d LEFT JOIN sets s ON d.source IS NOT DISTINCT FROM s.source""",
+    "op4_quality": r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: {'k': i, 'g': array_to_string(ws[i:i + 2], ' ')}), recursive := true) FROM w WHERE len(ws) > 2),
+r AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+n AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest([k, k + 1, k + 2]) AS k FROM r) GROUP BY 1),
+m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN n ON w.doc_id = n.doc_id),
+f AS (SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_repeat_words FROM m),
+b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 10 * n_words)::INT + 8 * (100 * n_dup_lines > 40 * n_lines)::INT
+  + 16 * (10 * word_chars < 30 * n_words)::INT + 32 * (10 * word_chars > 120 * n_words)::INT AS BIGINT) AS failed FROM f)
+SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM b""",
+    "op8_sharding": r"""
+WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes, ('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), chr(0)))[1:8])::BIGINT AS h FROM documents),
+t AS (SELECT least(32, greatest(1, ceil(log2(greatest(1.0, sum(bytes) / 4194304.0)))) + 6)::INT AS most FROM d),
+p AS (SELECT doc_id, bytes, unnest(range(0, most + 1))::INT AS depth, h, most FROM d, t),
+b AS (SELECT doc_id, bytes, depth, most, h >> (32 - depth) AS bucket, sum(bytes) OVER (PARTITION BY depth, h >> (32 - depth)) AS shard_bytes FROM p)
+SELECT doc_id, bytes, depth, right(lpad(bin(bucket), 40, '0'), depth) AS shard, 0 AS part, CAST(shard_bytes AS BIGINT) AS shard_bytes
+FROM b WHERE shard_bytes <= 4194304 OR depth = most QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1""",
 }
