@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .runtime import small, text_pieces
+from .runtime import kept_table, small, text_pieces
 
 U = np.uint64
 
@@ -217,5 +217,5 @@ def _block(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, p: Par
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
     """docs less the documents that hold an item; rows with a null id are kept."""
-    bad = matches(docs, benchmark, id_col, text_col, p=p).select(F.col(id_col).alias("_bad")).distinct()
+    bad = kept_table(matches(docs, benchmark, id_col, text_col, p=p).select(F.col(id_col).alias("_bad")).distinct(), "matched")
     return docs.join(small(bad), docs[id_col] == F.col("_bad"), "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import small
+from .runtime import kept_table, small
 
 _TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 MAX_RATIO = 0.1
@@ -40,7 +40,7 @@ def drop_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text"
     pages by that row, and no page's lines are shuffled.
     """
     bad = boilerplate(docs, host_col, text_col, max_ratio, min_pages)
-    per_host = bad.groupBy("host").agg(F.collect_set(F.struct("h1", "h2")).alias("_bad")).withColumnRenamed("host", "_host")
+    per_host = kept_table(bad.groupBy(F.col("host").alias("_host")).agg(F.collect_set(F.struct("h1", "h2")).alias("_bad")), "boilerplate")
     joined = docs.join(small(per_host), docs[host_col].eqNullSafe(F.col("_host")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
 
