@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -32,8 +32,8 @@ class Params:
     percent: int = 75
     bands: int = 32
     rows: int = 4
-    leaders: int = 4
-    star_rounds: int = 4
+    leaders: int = 5
+    star_rounds: int = 3
 
 
 def sketch(value: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
@@ -176,9 +176,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component_id, kept) for each row of docs.
 
     Equal sets are collapsed by a digest. Each band bucket is first compared with a few leaders, a number linear in its members,
-    which joins what is one class. Then only members outside a bucket's largest class are compared with the others of that
-    bucket, and of these only the pairs that the shingles no other member has do not already rule out; so no link that a band
-    shows is lost, and the members of one class are never compared pair by pair.
+    which joins what is one class. Then only members outside a bucket's largest class are compared with others, and of these only
+    those that share one of their rarest shingles, as any two linked sets do; so no link that a band shows is lost, and the
+    members of one class are never compared pair by pair.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = kept_table(sketches(docs, p), "sketches")
@@ -196,22 +196,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = _open(members, labels, sets, p)
         if open_ is None:
             break
-        todo = open_.filter("todo")
-        load = open_.groupBy("key").agg(F.sum(F.col("todo").cast("long")).alias("t"), F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("t") * F.col("c"))).first()[0] or 0
-        last = turn == p.star_rounds or load <= 16 * open_.count()
-        if last:
-            other = open_.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "label", "n", "u")))
-            fits = F.least(F.col("n") - F.col("u"), F.col("n2") - F.col("u2")) * (100 + p.percent) >= p.percent * (F.col("n") + F.col("n2"))
-            more = todo.join(other, "key").filter((F.col("label") != F.col("label2")) & fits)
-            more = more.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        else:
-            more = _pairs(_star(open_.select("key", "id"), p, turn))
-        more = kept_table(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = kept_table(_shared(open_, p).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        last = turn == p.star_rounds or more.count() <= 4 * open_.count()
+        if not last:  # a large class is still in pieces: other leaders first
+            more = kept_table(_pairs(_star(members, p, turn)).join(pairs, ["a", "b"], "left_anti"), "pairs")
         found = kept_table(verified(more, sets, p), "links")
         pairs, edges = pairs.unionByName(more), edges.unionByName(found)
         if not found.isEmpty():
             labels = components(edges)
-        members = open_.select("key", "id")
         if last:
             break
     whole = heads.select("d1", "d2", F.col("rep").alias("id")).join(labels, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("label"))
@@ -222,19 +214,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _open(members: DataFrame, labels: DataFrame, sets: DataFrame, p: Params) -> DataFrame | None:
-    """Members (key, id, label, n, u, todo) of the keys that still hold several classes. u: shingles that no other such member has; todo: outside the key's largest class, and not shown by u to be without a partner."""
+    """Rows (h, id, label, n, todo, nth) of the members of those keys that still hold several classes; todo: outside a key's largest class.
+
+    h is one of the member's shingles, nth its place by rareness among these members. Two sets that reach the similarity share one of
+    their rarest shingles, so only these rows are kept, and of them only shingles that two members have."""
     now = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     sizes = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = sizes.groupBy("key").agg(F.max_by("label", "c").alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    now = kept_table(now.join(largest.select("key", "main"), "key"), "open")
+    now = now.join(largest.select("key", "main"), "key").groupBy("id", "label").agg(F.max(F.col("label") != F.col("main")).alias("todo"))
+    now = kept_table(now, "open")
     if now.isEmpty():
         discard(now)
         return None
-    there = sets.join(now.select("id").distinct(), "id", "left_semi")
-    alone = there.select("id", F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
-    facts = there.select("id", "n").join(alone, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u"))
-    now = now.join(facts, "id")
-    least = now.groupBy("key").agg(F.min("n").alias("least"))
-    size = F.greatest(F.col("least"), F.col("n") - F.col("u"))
-    can = p.percent * (F.col("n") + size) <= (100 + p.percent) * (F.col("n") - F.col("u"))
-    return kept_table(now.join(least, "key").select("key", "id", "label", "n", "u", ((F.col("label") != F.col("main")) & can).alias("todo")), "open")
+    each = sets.join(now, "id").select("id", "label", "n", "todo", F.explode("shingles").alias("h"))
+    common = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    each = each.join(common, "h", "left").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("c", F.lit(1)), "h")))
+    return kept_table(each.filter(F.col("c").isNotNull() & (F.col("nth") <= F.col("n") - _ceil(p.percent * F.col("n"), 100) + 1)).select("h", "id", "label", "n", "todo", "nth"), "rare")
+
+
+def _ceil(x: Column, by: int) -> Column:
+    return F.ceil(x / by).cast("long")
+
+
+def _shared(open_: DataFrame, p: Params) -> DataFrame:
+    """Pairs (a, b) of different classes, one of them todo, with a common shingle among the rarest of both, as many of each as their sizes require."""
+    other = open_.select("h", *(F.col(c).alias(f"{c}2") for c in ("id", "label", "n", "nth")))
+    both = open_.filter("todo").join(other, "h")
+    least = _ceil(p.percent * (F.col("n") + F.col("n2")), 100 + p.percent)
+    rare = (F.col("nth") <= F.col("n") - least + 1) & (F.col("nth2") <= F.col("n2") - least + 1)
+    both = both.filter((F.col("label") != F.col("label2")) & rare)
+    return both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
