@@ -173,9 +173,9 @@ def write(docs: DataFrame, out: str | None = None, end_id: int = 2, tokenizer: s
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
-    parts = ordered.mapInArrow(run, "part int, name string, docs long, ids long").orderBy("part").collect()
+    parts = ordered.mapInArrow(run, "part int, name string, docs long, ids long").collect()
     base, files = 0, []
-    for r in parts:
+    for r in sorted(parts, key=lambda r: r["part"]):  # sorted here: a range partitioning would run the writers twice
         if r["docs"]:
             files.append((r["name"], r["docs"], r["ids"], base))
         base += r["ids"]
