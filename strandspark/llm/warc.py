@@ -167,8 +167,8 @@ def write(pages: DataFrame, folder: str | None = None, min_revisit: int = 0, lev
         store.move(own, f"{path}/{name}")
         yield pa.RecordBatch.from_pydict({"name": [name], "n": pa.array([n], pa.int64())})
 
-    files = rows.mapInArrow(run, "name string, n long").filter("n > 0").orderBy("name").collect()
-    return folder, [r["name"] for r in files]
+    files = rows.mapInArrow(run, "name string, n long").collect()
+    return folder, sorted(r["name"] for r in files if r["n"])
 
 
 _FIELDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
