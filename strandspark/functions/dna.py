@@ -31,7 +31,7 @@ def to_bytes(strand: Column) -> Column:
     s = cleaned(strand)
     pairs = F.create_map(*(F.lit(x) for h, d in HEX_TO_DNA.items() for x in (d, h)))
     n = F.length(s)
-    digits = F.transform(F.sequence(F.lit(0), (F.greatest(n, F.lit(2)) / 2).cast("int") - 1), lambda i: F.element_at(pairs, F.substring(s, (2 * i + 1).cast("int"), F.lit(2))))
+    digits = F.transform(F.regexp_extract_all(s, F.lit("[ACGT]{2}"), F.lit(0)), lambda x: F.element_at(pairs, x))
     return F.when((n % 4 == 0) & is_strand(s), F.when(n == 0, F.lit(b"")).otherwise(F.unhex(F.array_join(digits, ""))))
 
 
