@@ -44,7 +44,7 @@ def edges(reads: DataFrame, threshold: float = 0.9, q: int = 8) -> DataFrame:
     pairs = both.join(heads.select(F.col("id").alias("src"), F.col("seq").alias("a")), "src").join(heads.select(F.col("id").alias("dst"), F.col("seq").alias("b")), "dst")
     limit = edits_allowed(F.greatest(F.length("a"), F.length("b")), threshold)
     size = F.greatest(F.lit(1), F.length("a"), F.length("b"))
-    pairs = pairs.withColumn("d", F.expr("levenshtein(a, b)")).filter((F.col("d") <= limit) & (1 - F.col("d") / size >= threshold))
+    pairs = pairs.withColumn("most", limit).withColumn("d", F.expr("levenshtein(a, b, most)")).filter((F.col("d") >= 0) & (1 - F.col("d") / size >= threshold))
     links = pairs.select("src", "dst", (1 - F.col("d") / size).alias("weight"))
     equal = reads.join(heads.withColumnRenamed("id", "head"), "seq").filter("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight"))
     return links.unionByName(equal)

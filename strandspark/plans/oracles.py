@@ -28,7 +28,7 @@ indexes AS (SELECT archive, layer, 1 + (layer - 1) * ((total + 7) // 8) + p // 8
 _EDGES = f"""{READS.replace('FROM documents)', "FROM documents WHERE regexp_matches(text, '" + WORD + "'))")},
 heads AS (SELECT seq, min(id) AS id, length(seq) AS n FROM reads GROUP BY seq),
 edges AS (SELECT a.id AS src, b.id AS dst, 1 - levenshtein(a.seq, b.seq)::DOUBLE / greatest(a.n, b.n) AS weight FROM heads a JOIN heads b
-  ON a.id < b.id AND abs(a.n - b.n) <= floor(0.1 * greatest(a.n, b.n) + 1e-9) WHERE levenshtein(a.seq, b.seq) <= floor((1 - 0.9::DOUBLE) * greatest(a.n, b.n) + 1e-12)
+  ON a.id < b.id AND abs(a.n - b.n) <= floor(0.05 * greatest(a.n, b.n) + 1e-9) WHERE levenshtein(a.seq, b.seq) <= floor((1 - 0.95::DOUBLE) * greatest(a.n, b.n) + 1e-12)
   UNION ALL SELECT h.id, r.id, 1.0 FROM reads r JOIN heads h ON r.seq = h.seq WHERE r.id <> h.id)"""
 _CLASSES = f"""WITH RECURSIVE {_EDGES}, ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 reach(a, b) AS (SELECT id, id FROM reads UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),

@@ -131,13 +131,13 @@ def symbol_counts(spark, d):
 
 @query
 def peel_fixpoint(spark, d):
-    """Documents with every sixteenth chunk lost, peeled from three fountain layers."""
+    """Documents with one chunk lost, longer ones with two or three, peeled from three fountain layers."""
     c, p = archive.Config(32), inputs.payloads(spark, d)
     rows = kept(erasure.chunks(p, 32), "chunks")
     meta = archive.metadata(p, c)
     index = kept(erasure.interleaved(meta.select("archive", "total"), 3, 8), "index")
     made = kept(erasure.symbols(rows, index, 32), "symbols")
-    got = erasure.peeled(rows.filter("idx % 16 <> 2"), index, made, 32, kept)
+    got = erasure.peeled(rows.filter("not (idx = 2 and total >= 4 or idx = total - 2 and total >= 64 or idx = total div 2 and total >= 128)"), index, made, 32, kept)
     return archive.joined(got, meta).groupBy("verified").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -172,13 +172,13 @@ def qgram_postings(spark, d):
     return similarity.postings(inputs.reads(spark, d), 8).groupBy("gram").agg(F.count(F.lit(1)).alias("reads"), F.sum("n").alias("times"))
 
 
-def _edges(spark, d, threshold=0.9):
-    return similarity.edges(inputs.reads(spark, d).filter("seq <> ''"), threshold)
+def _edges(spark, d, threshold=0.95):
+    return similarity.edges(inputs.reads(spark, d).filter("seq <> ''"), threshold, 12)
 
 
 @query
 def similarity_edges(spark, d):
-    """All pairs of distinct documents' strands with a similarity of 0.9 or more."""
+    """All pairs of distinct documents' strands with a similarity of 0.95 or more."""
     return _edges(spark, d).select("src", "dst", F.round("weight", 9).alias("weight"))
 
 
