@@ -75,7 +75,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     return rows.mapInArrow(run, "toxic int, features binary")
 
 
-def fit(toxic: np.ndarray, features: list[np.ndarray], steps: int = 150, l1: float = 2e-4) -> Model:
+def fit(toxic: np.ndarray, features: list[np.ndarray], steps: int = 400, l1: float = 1e-3) -> Model:
     """Accelerated proximal gradient on the ordinal likelihood with an L1 penalty, which leaves most weights at zero."""
     size = 1 << BITS
     zero = Model(np.zeros(size, np.float32), np.array([30.0, 31.0]))
