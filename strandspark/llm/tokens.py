@@ -28,7 +28,7 @@ from .runtime import shared_path, text_pieces
 
 NO_ID = -(1 << 63)
 #: Distinct words whose ids a worker remembers; beyond it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -81,7 +81,9 @@ class Encoder:
         self.at, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def _learn(self, keys: list[int], texts: list[str]) -> None:
-        for key, found in zip(keys, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        # a few at a time: the library's results hold much more than ids
+        found_all = (x for k in range(0, len(texts), 1000) for x in self.library.encode_batch_fast(texts[k : k + 1000], add_special_tokens=False))
+        for key, found in zip(keys, found_all, strict=True):
             ids = found.ids
             k, n = len(self.place), len(ids)
             while self.used + n > len(self.pool):
