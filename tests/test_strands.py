@@ -172,3 +172,17 @@ def test_crc_of_legacy_frames():
 def test_grid_has_no_repeats(spark):
     g = scoring.grid(spark, [32, 64, 250], [8], ["none", "xor", "fountain"], [4, 8], [0.2, 0.4], ["graph"])
     assert g.count() == g.distinct().count() and g.filter("chunk_size = 250").count() == 0
+
+
+def test_registered_edges_reach_the_reference_threshold(spark, tmp_path):
+    from strandspark.plans import queries
+
+    rng = random.Random(11)
+    base = [rng.randint(1, 4) for _ in range(100)]
+    texts = [base, [x % 4 + 1 if k in (5, 20, 35, 50, 65, 80, 95) else x for k, x in enumerate(base)], [x % 4 + 1 if k % 8 == 3 else x for k, x in enumerate(base)], [rng.randint(1, 4) for _ in range(100)]]
+    docs = [(k, " ".join("w" * n for n in t), "en") for k, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    seqs = ["".join("ACGT"[n % 4] for n in t) for t in texts]
+    want = {(i, j): round(1 - d / 100, 9) for i in range(4) for j in range(i + 1, 4) if (d := align.edit_distance(seqs[i], seqs[j])) <= 10}
+    assert want == {(0, 1): 0.93}  # between the reference's threshold and 0.95
+    assert {(r.src, r.dst): r.weight for r in queries.QUERIES["similarity_edges"](spark, str(tmp_path)).collect()} == want
