@@ -1,13 +1,14 @@
-"""Redundancy over chunks: XOR groups, single repair, interleaved sparse XOR symbols, peeling, soliton weights.
+"""Redundancy over chunks: XOR groups, single repair, interleaved sparse XOR symbols, peeling and elimination, soliton weights.
 
 Chunks are (archive, idx, payload binary); the XOR aggregate works on the bytes' positions with bit_xor, so it combines on the
-map side and no group is ever collected.
+map side and no group is ever collected; only what peeling leaves of an archive is solved in one task.
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,20 +100,67 @@ def symbols(chunk_rows: DataFrame, indexes: DataFrame, width: int, key: str = "a
     return xor_payloads(indexes.join(chunk_rows.select(key, "idx", "payload"), [key, "idx"]).select(key, "seed", "payload"), [key, "seed"], "payload", width)
 
 
-def peeled(known: DataFrame, indexes: DataFrame, payloads: DataFrame, width: int, keep, key: str = "archive", rounds: int = 100) -> DataFrame:
-    """known and what symbols with one unknown chunk give, again and again until nothing is new. keep(df, name) stores a table durably, which cuts the lineage of each round."""
+def solved(rows: list[tuple[list[int], bytes]]) -> dict[int, bytes]:
+    """The unknowns that XOR equations (unknowns, value) determine, by Gaussian elimination; those that stay free are left out."""
+    names = sorted({i for members, _ in rows for i in members})
+    bit = {i: k for k, i in enumerate(names)}
+    pivots: dict[int, tuple[int, int]] = {}
+    width = max((len(value) for _, value in rows), default=0)
+    for members, value in rows:
+        mask, v = sum(1 << bit[i] for i in members), int.from_bytes(value.ljust(width, b"\0"), "big")
+        while mask and (lead := mask.bit_length() - 1) in pivots:
+            mask, v = mask ^ pivots[lead][0], v ^ pivots[lead][1]
+        if mask:
+            pivots[mask.bit_length() - 1] = mask, v
+    out = {}
+    for lead in sorted(pivots):  # those below hold their own bit and free ones only
+        mask, v = pivots[lead]
+        left = mask ^ (1 << lead)
+        while left:
+            low = left.bit_length() - 1
+            left ^= 1 << low
+            if low in pivots:
+                mask, v = mask ^ pivots[low][0], v ^ pivots[low][1]
+        pivots[lead] = mask, v
+        if mask == 1 << lead:
+            out[names[lead]] = v.to_bytes(width, "big")
+    return out
+
+
+def eliminated(unknown: DataFrame, values: DataFrame, key: str = "archive") -> DataFrame:
+    """(archive, idx, payload) that elimination gives from unknown (archive, seed, idx), the chunks each symbol lacks, and values (archive, seed, payload), the symbols less
+    their known chunks. A task solves one archive, whose chunks are one value later anyway."""
+    rows = unknown.groupBy(key, "seed").agg(F.collect_list("idx").alias("members")).join(values, [key, "seed"])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = solved([([int(i) for i in m], bytes(v)) for m, v in zip(group["members"], group["payload"], strict=True)])
+        return pd.DataFrame({key: [group[key].iloc[0]] * len(found), "idx": pd.Series(list(found), dtype="int32"), "payload": list(found.values())})
+
+    return rows.groupBy(key).applyInPandas(run, f"{key} {unknown.schema[key].dataType.simpleString()}, idx int, payload binary")
+
+
+def peeled(known: DataFrame, indexes: DataFrame, payloads: DataFrame, width: int, keep, key: str = "archive", rounds: int = 8) -> DataFrame:
+    """known and all chunks that the symbols determine. The first rounds take what symbols with one unknown chunk give; where these go on or stall, elimination finds the
+    rest, so no chain is too long. keep(df, name) stores a table durably, which cuts the lineage of each round."""
     known = keep(known.select(key, "idx", "payload"), "known")
+    unknown = keep(indexes.join(payloads.select(key, "seed"), [key, "seed"], "left_semi").join(known.select(key, "idx"), [key, "idx"], "left_anti").select(key, "seed", "idx"), "unknown")
+    seeds = unknown.select(key, "seed").distinct()
+    rest = indexes.join(seeds, [key, "seed"], "left_semi").join(known, [key, "idx"]).select(key, "seed", "payload")
+    own = payloads.join(seeds, [key, "seed"], "left_semi").select(key, "seed", "payload")
+    values = keep(xor_payloads(rest.unionByName(own), [key, "seed"], "payload", width), "values")
     for _ in range(rounds):
-        unknown = indexes.join(known.select(key, "idx"), [key, "idx"], "left_anti")
         single = unknown.groupBy(key, "seed").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("idx")).filter("n = 1")
         single = single.groupBy(key, "idx").agg(F.min("seed").alias("seed"))  # several symbols of one chunk: the first
-        rest = indexes.join(single.select(key, "seed"), [key, "seed"], "left_semi").join(known, [key, "idx"]).select(key, "seed", "payload")
-        own = payloads.join(single.select(key, "seed"), [key, "seed"], "left_semi").select(key, "seed", "payload")
-        new = keep(xor_payloads(rest.unionByName(own), [key, "seed"], "payload", width).join(single, [key, "seed"]).select(key, "idx", "payload"), "peeled")
+        new = keep(values.join(single, [key, "seed"]).select(key, "idx", "payload"), "peeled")
         if new.isEmpty():
             break
         known = keep(known.unionByName(new), "known")
-    return known
+        taken = unknown.join(new, [key, "idx"]).select(key, "seed", "payload")
+        unknown = keep(unknown.join(new.select(key, "idx"), [key, "idx"], "left_anti").select(key, "seed", "idx"), "unknown")
+        values = keep(xor_payloads(values.unionByName(taken).join(unknown.select(key, "seed").distinct(), [key, "seed"], "left_semi"), [key, "seed"], "payload", width), "values")
+    if unknown.isEmpty():
+        return known
+    return keep(known.unionByName(eliminated(unknown, values, key)), "known")
 
 
 def soliton(sizes: DataFrame, c: float = 0.025, delta: float = 0.001, key: str = "k") -> DataFrame:

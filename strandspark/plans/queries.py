@@ -141,6 +141,18 @@ def peel_fixpoint(spark, d):
     return archive.joined(got, meta).groupBy("verified").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def peel_proportional(spark, d):
+    """Documents with every sixteenth chunk lost, restored from three fountain layers: verified ones and those that the symbols don't determine."""
+    c, p = archive.Config(32), inputs.payloads(spark, d)
+    rows = kept(erasure.chunks(p, 32), "chunks")
+    meta = archive.metadata(p, c)
+    index = kept(erasure.interleaved(meta.select("archive", "total"), 3, 8), "index")
+    made = kept(erasure.symbols(rows, index, 32), "symbols")
+    got = erasure.peeled(rows.filter("idx % 16 <> 2"), index, made, 32, kept)
+    return archive.joined(got, meta).groupBy("verified").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def soliton_cdf(spark, d):
     """The robust soliton distribution for each size of a part."""

@@ -186,3 +186,34 @@ def test_registered_edges_reach_the_reference_threshold(spark, tmp_path):
     want = {(i, j): round(1 - d / 100, 9) for i in range(4) for j in range(i + 1, 4) if (d := align.edit_distance(seqs[i], seqs[j])) <= 10}
     assert want == {(0, 1): 0.93}  # between the reference's threshold and 0.95
     assert {(r.src, r.dst): r.weight for r in queries.QUERIES["similarity_edges"](spark, str(tmp_path)).collect()} == want
+
+
+def test_long_chains_and_stalls_are_solved(spark):
+    data = {k: random.Random(k).randbytes(4) for k in range(151)}
+    triangle = [[0, 1, 2], [0, 1], [1, 2], [3, 4]]  # no symbol of a single chunk; 3 and 4 stay free
+    symbols = [("chain", k, [k, k + 1]) for k in range(150)] + [("stall", k, m) for k, m in enumerate(triangle)]
+    index = spark.createDataFrame([(a, k, i) for a, k, m in symbols for i in m], "archive string, seed long, idx int")
+    made = spark.createDataFrame([(a, k, bytes(np.bitwise_xor.reduce([np.frombuffer(data[i], np.uint8) for i in m]))) for a, k, m in symbols], "archive string, seed long, payload binary")
+    known = spark.createDataFrame([("chain", 0, data[0])], "archive string, idx int, payload binary")
+    got = {(r.archive, r.idx): bytes(r.payload) for r in erasure.peeled(known, index, made, 4, kept, rounds=2).collect()}
+    assert got == {("chain", k): data[k] for k in range(151)} | {("stall", k): data[k] for k in range(3)}
+
+
+def test_proportional_losses_against_brute_force(spark, tmp_path):
+    from strandspark.plans import queries
+
+    totals = [1, 3, 8, 40, 64, 165]
+    text = random.Random(5)
+    spark.createDataFrame([(n, "".join(text.choices("abcdef", k=32 * n))) for n in totals], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {True: 0, False: 0}
+    for n in totals:
+        lost = [i for i in range(n) if i % 16 == 2]
+        span = {0}  # all sums of the symbols' lost chunks, as bits
+        for layer in (1, 2, 3):
+            order = [(erasure.coprime_multiplier(n, layer) * p + layer * erasure.WEYL % n) % n for p in range(n)]
+            for a in range(0, n, 8):
+                mask = sum(1 << lost.index(i) for i in order[a : a + 8] if i in lost)
+                span |= {x ^ mask for x in span}
+        want[all(1 << k in span for k in range(len(lost)))] += 1
+    assert want == {True: 5, False: 1}
+    assert {r.verified: r.n for r in queries.QUERIES["peel_proportional"](spark, str(tmp_path)).collect()} == want
