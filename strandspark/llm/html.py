@@ -38,6 +38,11 @@ _AGAINST = re.compile(
     re.I,
 )
 _FOR = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|body[\s_-]?text|maincontent)(?:$|[\s_-])", re.I)
+#: Class names that say how a page is laid out, not what a part is.
+_LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-]\S*", re.I)
+_WRAPS = re.compile(r"(?:^|[\s_-])layout(?:$|[\s_-])|(?:^|\s)(?:content|main|page|site)[\w-]*[_-]wrap(?:per)?(?:$|\s)", re.I)
+#: Elements that are against content however much they hold.
+NEVER_WIDE = frozenset("nav footer aside menu dialog header label".split())
 _ROLES_AGAINST = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 _ROLES_FOR = frozenset("main article".split())
 
@@ -51,35 +56,67 @@ _WHITE = re.compile(r"\s+")
 
 
 class _Node:
-    """An open element: its parent and how much it speaks for content."""
+    """An open element: its parent, what it says itself, and with what is around it how much it speaks for content. size: characters of unlinked text in it, outside of asides and the like; heads and
+    cores: the h1 and the article or main elements in it."""
 
-    __slots__ = ("name", "parent", "lean", "link", "unseen")
+    __slots__ = ("name", "parent", "own", "core", "lean", "link", "unseen", "size", "heads", "cores")
 
-    def __init__(self, name: str, parent: _Node | None, lean: float, unseen: bool):
-        self.name, self.parent, self.lean, self.unseen = name, parent, lean, unseen
+    def __init__(self, name: str, parent: _Node | None, own: float, core: bool, unseen: bool):
+        self.name, self.parent, self.own, self.core, self.lean, self.unseen = name, parent, own, core, own, unseen
         self.link = name == "a" or (parent is not None and parent.link)
+        self.size = self.heads = self.cores = 0
 
 
 def _open(name: str, attributes: str, parent: _Node) -> _Node:
-    lean = INSIDE_AGAINST if name in AGAINST_ELEMENTS else INSIDE_FOR if name in FOR_ELEMENTS else 0.0
+    own = INSIDE_AGAINST if name in AGAINST_ELEMENTS else INSIDE_FOR if name in FOR_ELEMENTS else 0.0
+    core = name in FOR_ELEMENTS
     unseen = parent.unseen or name in UNSEEN
-    if name == "header" and parent.lean > 0:
-        lean = 0.0  # an article's own heading
     if attributes and ("=" in attributes or "hidden" in attributes):
         for key, *values in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values)
             if key in ("class", "id") and name not in ("body", "html"):
+                value = _LAYOUT.sub(" ", value)
                 if _AGAINST.search(value):
-                    lean = min(lean, INSIDE_AGAINST)
+                    own = own if _WRAPS.search(value) else min(own, INSIDE_AGAINST)
                 elif _FOR.search(value):
-                    lean = max(lean, INSIDE_FOR)
+                    own = max(own, INSIDE_FOR)
             elif key == "role":
-                lean = INSIDE_AGAINST if value.lower() in _ROLES_AGAINST else INSIDE_FOR if value.lower() in _ROLES_FOR else lean
+                own = INSIDE_AGAINST if value.lower() in _ROLES_AGAINST else INSIDE_FOR if value.lower() in _ROLES_FOR else own
+                core = core or value.lower() in _ROLES_FOR
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
                 unseen = True
-    # a part for content inside one against it stays against it; one against content is against it everywhere
-    lean = min(lean, parent.lean) if parent.lean < 0 or lean < 0 else max(lean, parent.lean)
-    return _Node(name, parent, lean, unseen)
+    return _Node(name, parent, own, core and own > 0, unseen)
+
+
+def _wide(node: _Node, root: _Node) -> bool:
+    """Whether a part against content wraps the page: it has half of the text, and the heading if there is one, else an article or main, else three fifths of the text."""
+    if node.name in NEVER_WIDE or 2 * node.size < root.size or not root.size:
+        return False
+    return node.heads > 0 if root.heads else node.cores > 0 if root.cores else 5 * node.size >= 3 * root.size
+
+
+def _lean(nodes: list[_Node], found: list[Block]) -> None:
+    """Sets each node's lean; nodes: parents first. A part for content inside one against it stays against it, unless it is the page's main part or an article with the
+    heading or a quarter of the text, outside of asides and the like; one against content is against it everywhere."""
+    root = nodes[0]
+    never = {id(root): False}
+    for node in nodes[1:]:
+        never[id(node)] = node.name in NEVER_WIDE or never[id(node.parent)]
+    for b in found:
+        node, n = b.node, 0 if never[id(b.node)] else b.total - b.linked
+        while node is not None:
+            node.size += n
+            node = node.parent
+    for node in reversed(nodes[1:]):
+        node.parent.heads += node.heads + (node.name == "h1" and not node.unseen)
+        node.parent.cores += node.cores + node.core
+    for node in nodes[1:]:
+        own, above = node.own, node.parent.lean
+        if own < 0 and (_wide(node, root) or node.name == "header" and above > 0):  # an article's own heading
+            own = 0.0
+        if above < 0 and node.core and (node.name != "article" or node.heads or 4 * node.size >= root.size):
+            above = above if never[id(node)] else 0.0
+        node.lean = min(own, above) if above < 0 or own < 0 else max(own, above)
 
 
 class Block:
@@ -91,7 +128,8 @@ class Block:
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
-    root = node = _Node("", None, 0.0, False)
+    root = node = _Node("", None, 0.0, False, False)
+    nodes = [root]
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
@@ -148,6 +186,7 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         node = _open(name, m[4] or m[7] or "", node)
+        nodes.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             if name == "textarea":
@@ -157,7 +196,7 @@ def blocks(page: str) -> list[Block]:
     if at < len(page):
         say(page[at:])
     close()
-    del root
+    _lean(nodes, out)
     return out
 
 

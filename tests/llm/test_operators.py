@@ -371,3 +371,24 @@ def test_pipeline_equals_brute_force(spark):
     got = c.run(spark, SF).toPandas()
     assert set(got.doc_id) == set(rows.doc_id)
     assert isinstance(got, pd.DataFrame) and [n for n, _ in c.STAGES] == ["quality rules", "line dedup", "near dedup", "decontamination", "packing"]
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<div class='content-sidebar-wrap'>{}</div>", "<div class='site no-sidebar'>{}</div>", "<div class='page has-sidebar'>{}</div>", "<div class='right-sidebar layout'>{}</div>",
+    "<div class='site-content no-comments'>{}</div>", "<div class='form-wrapper'>{}</div>", "<form id='f'>{}</form>", "<div class='sidebar'><main>{}</main></div>", "<div class='widget'><div role='main'>{}</div></div>",
+])
+@pytest.mark.parametrize("head", ["", "<h1>A title</h1>"])
+def test_html_in_wrappers_named_after_their_layout(wrapper, head):
+    prose = "Plain prose that a reader came for, " * 6
+    page = f"<html><body><nav><a href='/'>Home</a></nav>{wrapper.format(f'{head}<p>{prose}</p><p>{prose}</p>')}<aside><p>Aside {prose}</p></aside><footer><p>Foot {prose}</p></footer></body></html>"
+    got = html.main_text(page)
+    assert got.count("Plain prose") == 12 and not re.search("Home|Aside|Foot", got)
+
+
+def test_html_article_headers_and_what_stays_out():
+    prose = "Plain prose that a reader came for, " * 6
+    article = f"<article><header class='entry-header'><h1>A title</h1></header><p>{prose}</p></article>"
+    comments = f"<section class='comments'><article><p>Reader {prose}</p></article><article><p>Reader {prose}</p></article><p>Reader {prose * 3}</p></section>"
+    got = html.main_text(f"<body>{article}{comments}<aside><article><h2>Other</h2><p>Other {prose}</p></article></aside></body>")
+    assert got.startswith("A title") and prose.strip() in got and not re.search("Other", got)
+    assert not re.search("Reader", html.main_text(f"<body>{article}<section class='comments'><article class='comment'><p>Reader {prose * 9}</p></article></section></body>"))
