@@ -1,7 +1,7 @@
 """Sharding by extendible hashing: a directory over hash prefixes in which only a bucket above the byte limit splits on another bit.
 
-Sizes are summed once in cells of the deepest prefix, and every shallower prefix is a sum of cells; a row's shard is its
-shallowest prefix that fits. Rows whose keys share all bits, such as repeated rows, cannot be parted by a hash: such a cell is
+Sizes are summed once in cells of a deep prefix, and every shallower prefix is a sum of cells; a row's shard is its
+shallowest prefix that fits. Cells still above the limit split on, up to all 32 bits. Rows whose keys share all bits, such as repeated rows, cannot be parted by a hash: such a cell is
 cut into parts by running sums, salted by the row's text, and a single row above the limit has a shard of its own.
 
 Defined results: a null text has zero bytes; a null key hashes as a key of its own; empty input gives no rows.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .runtime import kept_table, shared_path
 
 LIMIT = 4 << 20
-#: Bits below the average depth at which cells are summed.
+#: Bits below the average depth at which cells are summed; only cells above the limit go deeper.
 SPARE = 6
 
 
@@ -26,10 +26,10 @@ def hash_bits(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("\0"))), 1, 8), 16, 10).cast("long")
 
 
-def directory(sized: DataFrame, limit: int, depth: int) -> DataFrame:
-    """(cell, depth, bucket, bucket_bytes) from (h, bytes): for each cell of `depth` bits its shallowest prefix that fits, or the whole cell."""
+def directory(sized: DataFrame, limit: int, depth: int, least: int = 0) -> DataFrame:
+    """(cell, depth, bucket, bucket_bytes) from (h, bytes): for each cell of `depth` bits its shallowest prefix of `least` bits or more that fits, or the whole cell."""
     cells = sized.groupBy(F.shiftright("h", 32 - depth).alias("cell")).agg(F.sum("bytes").alias("bytes"))
-    levels = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth")).withColumn("bucket", F.expr(f"shiftright(cell, {depth} - depth)"))
+    levels = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(least), F.lit(depth))).alias("depth")).withColumn("bucket", F.expr(f"shiftright(cell, {depth} - depth)"))
     sums = levels.groupBy("depth", "bucket").agg(F.sum("bytes").alias("bucket_bytes")).filter((F.col("bucket_bytes") <= limit) | (F.col("depth") == depth))
     fits = levels.join(sums, ["depth", "bucket"])
     best = fits.groupBy("cell").agg(F.min("depth").alias("depth"))
@@ -42,13 +42,18 @@ def shards(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", lim
     sized = kept_table(sized, "sizes")
     total = sized.agg(F.sum("bytes")).first()[0] or 0
     depth = min(32, max(1, math.ceil(math.log2(max(1, total / limit)))) + SPARE)
-    table = directory(sized, limit, depth)
-    rows = sized.withColumn("cell", F.shiftright("h", 32 - depth)).join(table, "cell")
+    fitting, over = _placed(sized, limit, depth)
+    deeper, over = _placed(over, limit, 32, depth)
+    return fitting.unionByName(deeper).unionByName(_parted(over, limit))
+
+
+def _placed(sized: DataFrame, limit: int, depth: int, least: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The rows in a bucket that fits, with their shard, and those of cells that are still too large."""
+    rows = sized.select("key", "bytes", "h").withColumn("cell", F.shiftright("h", 32 - depth)).join(directory(sized, limit, depth, least), "cell")
     name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(bucket), depth, '0')"))
     rows = rows.withColumn("shard", name)
     fitting = rows.filter(F.col("bucket_bytes") <= limit).select("key", "bytes", "depth", "shard", F.lit(0).alias("part"), F.col("bucket_bytes").alias("shard_bytes"))
-    over = rows.filter(F.col("bucket_bytes") > limit)
-    return fitting.unionByName(_parted(over, limit))
+    return fitting, rows.filter(F.col("bucket_bytes") > limit)
 
 
 def _parted(over: DataFrame, limit: int) -> DataFrame:

@@ -392,3 +392,19 @@ def test_html_article_headers_and_what_stays_out():
     got = html.main_text(f"<body>{article}{comments}<aside><article><h2>Other</h2><p>Other {prose}</p></article></aside></body>")
     assert got.startswith("A title") and prose.strip() in got and not re.search("Other", got)
     assert not re.search("Reader", html.main_text(f"<body>{article}<section class='comments'><article class='comment'><p>Reader {prose * 9}</p></article></section></body>"))
+
+
+def test_sharding_splits_large_cells_on_all_bits(spark):
+    bits = lambda k: format(int(hashlib.md5(str(k).encode()).hexdigest()[:8], 16), "032b")
+    first = bits(0)[:10]  # the cells of three shards' bytes have 8 bits
+    near = [k for k in range(20_000) if bits(k).startswith(first)][:4]
+    rows = [(k, "x" * 600) for k in near] + [(near[0], "x" * 600), (99_999, "y" * 50)]
+    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string"), limit=1000).collect()
+    assert len(near) == 4 and len(got) == 6
+    for r in got:
+        assert bits(r.key).startswith(r.shard) and len(r.shard) == r.depth
+        if r.key == near[0]:  # the same hash twice
+            assert r.depth == 32 and r.part > 0 and r.shard_bytes == 600
+        else:
+            prefix = [sum(len(t) for k, t in rows if bits(k)[:d] == bits(r.key)[:d]) for d in range(33)]
+            assert r.part == 0 and r.depth == next(d for d in range(33) if prefix[d] <= 1000) and r.shard_bytes == prefix[r.depth]
