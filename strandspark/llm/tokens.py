@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +28,8 @@ from . import words as W
 from .runtime import shared_path, text_pieces
 
 NO_ID = -(1 << 63)
-#: Distinct words whose ids a worker remembers; beyond it starts afresh.
-REMEMBERED = 400_000
+#: Distinct units whose ids a worker remembers, in two generations.
+REMEMBERED = 1_000_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -61,39 +62,109 @@ def _units(raw: np.ndarray, offsets: np.ndarray, whole: bool) -> tuple[np.ndarra
     return np.sort(np.concatenate((start, cut))), np.sort(np.concatenate((end, cut)))
 
 
+class _Known:
+    """Ids of units by the units' hashes: ascending hashes, and beside each where its ids stand in a pool. Flat arrays hold a million units in some 25 MB."""
+
+    def __init__(self, kind: type):
+        self.key, self.at, self.length = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.pool, self.used = np.empty(1 << 16, kind), 0
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there) of each key."""
+        if not len(self.key):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        place = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return place, self.key[place] == keys
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """Ascending keys that are not there yet, their ids one after the other."""
+        size = len(self.pool)
+        while self.used + len(ids) > size:
+            size *= 2
+        if size > len(self.pool):
+            self.pool = np.concatenate((self.pool[: self.used], np.empty(size - self.used, self.pool.dtype)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        at = self.used + np.cumsum(length) - length
+        self.used += len(ids)
+        where = np.searchsorted(self.key, keys)
+        self.key, self.at, self.length = (np.insert(x, where, y) for x, y in ((self.key, keys), (self.at, at), (self.length, length)))
+
+    def ids(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _gathered(self.pool, self.at[place], self.length[place].astype(np.int64))
+
+
+def _gathered(pool: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of a pool one after the other, and their lengths."""
+    ends = np.cumsum(length)
+    return pool[np.repeat(at - ends + length, length) + np.arange(int(length.sum()))], length
+
+
+#: Units that the splitter takes as one word: Latin letters below U+0240 but the dotted capital I, whose lower case has a mark.
+_ONE_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u023f]+")
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, for a vocabulary in lower case that drops white space. Its splitter never
+    """Ids of whole texts by the tokenizers library, for a vocabulary in lower case that drops white space and marks the ends of words. Its splitter never
     joins what _units parts, so each distinct unit is encoded once and remembered; where a special token's name stands in the
-    text, units are whole words."""
+    text, units are whole words. New units that are single words go to the library many at a time, parted by spaces, and come
+    apart at the ids that end words. Two generations of units are remembered: when the younger is full it becomes the older, and
+    units met again move up, so that frequent ones are not lost and the memory is bounded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.kind = np.uint16 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.kind = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.pool, self.used = np.empty(1 << 16, self.kind), 0
-        self.at, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        # a few at a time: the library's results hold much more than ids
-        found_all = (x for k in range(0, len(texts), 1000) for x in self.library.encode_batch_fast(texts[k : k + 1000], add_special_tokens=False))
-        for key, found in zip(keys, found_all, strict=True):
-            ids = found.ids
-            k, n = len(self.place), len(ids)
-            while self.used + n > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
-            if k == len(self.at):
-                self.at, self.length = (np.concatenate((x, np.empty_like(x))) for x in (self.at, self.length))
-            self.pool[self.used : self.used + n] = ids
-            self.at[k], self.length[k] = self.used, n
-            self.used += n
-            self.place[key] = k
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.young, self.old = _Known(self.kind), _Known(self.kind)
+
+    def _apart(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text; 500 at a time, as the library's results hold much more than ids."""
+        for k in range(0, len(texts), 500):
+            for found in self.library.encode_batch_fast(texts[k : k + 500], add_special_tokens=False):
+                yield found.ids
+
+    def _learned(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units one after the other, and their lengths."""
+        if not all(map(_ONE_WORD.fullmatch, texts)):
+            each = list(self._apart(texts))
+            return np.array([i for x in each for i in x], self.kind), np.array([len(x) for x in each], np.int64)
+        parts, lengths = [], []
+        for k in range(0, len(texts), 500):
+            some = texts[k : k + 500]
+            ids = np.array(next(self._apart([" ".join(some)])), np.int64)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                each = list(self._apart(some))
+                ids, ends = np.array([i for x in each for i in x], np.int64), np.cumsum([len(x) for x in each])
+            parts.append(ids.astype(self.kind))
+            lengths.append(np.diff(ends, prepend=0))
+        return np.concatenate(parts), np.concatenate(lengths)
+
+    def _slots(self, keys: np.ndarray, text_of) -> np.ndarray:
+        """The places of ascending keys among the younger units, after what is missing there has come from the older ones or the library."""
+        if len(self.young) and len(self.young) + len(keys) > REMEMBERED // 2:
+            self.young, self.old = _Known(self.kind), self.young
+        missing = np.flatnonzero(~self.young.find(keys)[1])
+        if len(missing):
+            place, there = self.old.find(keys[missing])
+            if there.any():
+                self.young.add(keys[missing[there]], *self.old.ids(place[there]))
+            rest = missing[~there]
+            texts = [text_of(k) for k in rest.tolist()]
+            plain = np.fromiter((_ONE_WORD.fullmatch(t) is not None for t in texts), bool, len(texts))
+            for chosen in (plain, ~plain):
+                names = np.flatnonzero(chosen)
+                if len(names):
+                    self.young.add(keys[rest[names]], *self._learned([texts[k] for k in names.tolist()]))
+        return self.young.find(keys)[0]
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a run of texts, end_id after each, and their offsets."""
@@ -103,22 +174,12 @@ class Encoder:
         first = W.per_row(offsets, start)
         if not len(start):
             return np.full(rows, end_id, self.kind), np.arange(rows + 1)
-        distinct, example, inverse = np.unique(W.hashes(raw, start, end, W.LOWER), return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        missing = [k for k, key in enumerate(keys) if key not in self.place]
-        if self.place and len(self.place) + len(missing) > REMEMBERED:
-            self._clear()
-            missing = list(range(len(keys)))
-        if missing:
-            self._learn([keys[k] for k in missing], [data[start[w] : end[w]].decode() for w in example[missing].tolist()])
-        slot = np.fromiter((self.place[key] for key in keys), np.int64, len(keys))[inverse]
-        n, at = self.length[slot], self.at[slot]
-        sums = np.concatenate(([0], np.cumsum(n)))
-        flat = self.pool[np.repeat(at - sums[:-1], n) + np.arange(sums[-1])]
-        bounds = sums[first]
+        keys, example, inverse = np.unique(W.hashes(raw, start, end, W.LOWER), return_index=True, return_inverse=True)
+        slot = self._slots(keys, lambda k: data[start[example[k]] : end[example[k]]].decode())[inverse]
+        flat, n = _gathered(self.young.pool, self.young.at[slot], self.young.length[slot].astype(np.int64))
+        bounds = np.concatenate(([0], np.cumsum(n)))[first]
         out = np.empty(len(flat) + rows, self.kind)
-        shift = np.repeat(np.arange(rows), np.diff(bounds))
-        out[np.arange(len(flat)) + shift] = flat
+        out[np.arange(len(flat)) + np.repeat(np.arange(rows), np.diff(bounds))] = flat
         ends = bounds[1:] + np.arange(rows)
         out[ends] = end_id
         return out, np.concatenate(([0], ends + 1))
