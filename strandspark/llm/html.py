@@ -1,19 +1,23 @@
 """Main text of HTML pages by minimum-cut labelling of text blocks.
 
-A page becomes a sequence of blocks, the runs of text between block-level tags, each with its chain of open elements. A linear
-classifier on a block's surroundings (elements, class and id names, share of linked text) gives two costs, which are the
-capacities to the two terminals; neighbours in the page and blocks below one parent are tied by smoothness edges. The minimum
-cut, found by augmenting paths, parts content from boilerplate. Blocks whose terminal cost exceeds all their ties are decided
-beforehand: they can't change sides in any minimum cut.
+A page becomes a sequence of blocks, the runs of text between block-level tags, each with its chain of open elements. A naive
+Bayes classifier on a block's surroundings (elements, class and id names, share of linked text, length) gives log odds of content
+against boilerplate from stated densities; these are the capacities to the two terminals. Smoothness edges tie neighbours, the
+more the nearer they stand in the element tree, and blocks below one parent; they are log odds too, of two blocks being of one
+kind, so that what stands around it can outweigh a block's own signs unless these are strong. The minimum cut, found by augmenting
+paths, parts content from boilerplate. Blocks whose own odds exceed all their ties keep their side in any minimum cut and are
+taken out of the graph beforehand.
 
 Defined results: a null page gives an empty text and 0 characters; unclosed and stray tags are taken as browsers take the common
 ones (a block tag closes a paragraph, an element's end closes what is open inside it); null ids and urls are kept; repeated
-rows give their result each.
+rows give their result each; an empty table gives no rows; other columns are left out, whatever they are called. Without any sign
+against it a text is content, however short.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import defaultdict, deque
 
@@ -46,9 +50,16 @@ NEVER_WIDE = frozenset("nav footer aside menu dialog header label".split())
 _ROLES_AGAINST = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 _ROLES_FOR = frozenset("main article".split())
 
-#: The classifier's weights, in units of the smoothness of one tie.
-BIAS, INSIDE_FOR, INSIDE_AGAINST, LINKED, HEADING, LONG = -1.5, 6.0, -14.0, -4.0, 0.5, 0.02
-NEXT_TO, SIBLING = 1.0, 0.5
+#: An article's header by its name: the title stands in it.
+_HEADER = re.compile(r"(?:^|[\s_-])header\w*(?:$|[\s_-])", re.I)
+#: The classifier's densities: of content blocks and of boilerplate blocks, the share that stands in a part for content, in one against it, is a paragraph, a
+#: heading, all links, or long (LONG characters; shorter ones in proportion).
+DENSITIES = {"for": (0.60, 0.08), "against": (0.01, 0.50), "paragraph": (0.60, 0.20), "heading": (0.10, 0.06), "linked": (0.05, 0.45), "long": (0.45, 0.10)}
+PRIOR, LONG = math.log(0.55 / 0.45), 120
+SIGN = {name: math.log(content / rest) for name, (content, rest) in DENSITIES.items()}
+PROSE, HEADINGS = frozenset(("p", "pre", "blockquote", "body", "html", "")), frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Ties, as log odds: of neighbours, divided by half their distance in the element tree; and of blocks that follow each other below one parent.
+NEXT_TO, SIBLING = 0.8, 0.2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|$)", re.I)
@@ -59,16 +70,19 @@ class _Node:
     """An open element: its parent, what it says itself, and with what is around it how much it speaks for content. size: characters of unlinked text in it, outside of asides and the like; heads and
     cores: the h1 and the article or main elements in it."""
 
-    __slots__ = ("name", "parent", "own", "core", "lean", "link", "unseen", "size", "heads", "cores")
+    __slots__ = ("name", "parent", "own", "core", "lean", "link", "unseen", "size", "heads", "cores", "depth", "header")
 
     def __init__(self, name: str, parent: _Node | None, own: float, core: bool, unseen: bool):
         self.name, self.parent, self.own, self.core, self.lean, self.unseen = name, parent, own, core, own, unseen
         self.link = name == "a" or (parent is not None and parent.link)
         self.size = self.heads = self.cores = 0
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.header = name == "header"
 
 
 def _open(name: str, attributes: str, parent: _Node) -> _Node:
-    own = INSIDE_AGAINST if name in AGAINST_ELEMENTS else INSIDE_FOR if name in FOR_ELEMENTS else 0.0
+    header = name == "header"
+    own = SIGN["against"] if name in AGAINST_ELEMENTS else SIGN["for"] if name in FOR_ELEMENTS else 0.0
     core = name in FOR_ELEMENTS
     unseen = parent.unseen or name in UNSEEN
     if attributes and ("=" in attributes or "hidden" in attributes):
@@ -77,15 +91,18 @@ def _open(name: str, attributes: str, parent: _Node) -> _Node:
             if key in ("class", "id") and name not in ("body", "html"):
                 value = _LAYOUT.sub(" ", value)
                 if _AGAINST.search(value):
-                    own = own if _WRAPS.search(value) else min(own, INSIDE_AGAINST)
+                    header = header or not _AGAINST.search(_HEADER.sub(" ", value))
+                    own = own if _WRAPS.search(value) else min(own, SIGN["against"])
                 elif _FOR.search(value):
-                    own = max(own, INSIDE_FOR)
+                    own = max(own, SIGN["for"])
             elif key == "role":
-                own = INSIDE_AGAINST if value.lower() in _ROLES_AGAINST else INSIDE_FOR if value.lower() in _ROLES_FOR else own
+                own = SIGN["against"] if value.lower() in _ROLES_AGAINST else SIGN["for"] if value.lower() in _ROLES_FOR else own
                 core = core or value.lower() in _ROLES_FOR
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
                 unseen = True
-    return _Node(name, parent, own, core and own > 0, unseen)
+    node = _Node(name, parent, own, core and own > 0, unseen)
+    node.header = header
+    return node
 
 
 def _wide(node: _Node, root: _Node) -> bool:
@@ -112,7 +129,7 @@ def _lean(nodes: list[_Node], found: list[Block]) -> None:
         node.parent.cores += node.cores + node.core
     for node in nodes[1:]:
         own, above = node.own, node.parent.lean
-        if own < 0 and (_wide(node, root) or node.name == "header" and above > 0):  # an article's own heading
+        if own < 0 and (_wide(node, root) or node.header and above > 0):  # an article's own heading
             own = 0.0
         if above < 0 and node.core and (node.name != "article" or node.heads or 4 * node.size >= root.size):
             above = above if never[id(node)] else 0.0
@@ -230,27 +247,45 @@ def _implied(node: _Node, name: str) -> _Node:
 
 
 def costs(block: Block) -> float:
-    """Above zero: for content."""
-    share = block.linked / max(1, block.total)
-    heading = HEADING if block.node.name in ("h1", "h2", "h3", "h4", "h5", "h6") else 0.0
-    return BIAS + block.node.lean + LINKED * share * (block.node.lean <= 0) + heading + LONG * min(len(block.text), 200) * (share < 0.5)
-
-
-def labels(found: list[Block]) -> list[bool]:
-    """Whether each block is content, by a minimum cut."""
+    """The log odds of content by the block's own signs. Links inside a part for content, and length inside one against it, say nothing."""
+    share, lean, name = block.linked / max(1, block.total), block.node.lean, block.node.name
+    odds = PRIOR + lean + SIGN["paragraph"] * (name in PROSE) + SIGN["heading"] * (name in HEADINGS)
+    return odds + SIGN["linked"] * share * (lean <= 0) + SIGN["long"] * min(1.0, len(block.text) / LONG) * (lean >= 0) * (share < 0.5)
+
+
+def _apart(a: _Node, b: _Node) -> int:
+    """Steps between two elements in the tree."""
+    n = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        n += 1
+    return n
+
+
+def graph(found: list[Block]) -> tuple[list[float], list[dict[int, float]]]:
+    """The blocks' own log odds and their ties."""
     n = len(found)
-    unary = [costs(b) for b in found]
     ties: list[dict[int, float]] = [{} for _ in range(n)]
     last: dict[int, int] = {}
     for k, b in enumerate(found):
         if k:
-            ties[k][k - 1] = ties[k - 1][k] = NEXT_TO
+            ties[k][k - 1] = ties[k - 1][k] = NEXT_TO / max(1.0, _apart(found[k - 1].node, b.node) / 2)
         parent = id(b.node.parent if b.node.parent is not None else b.node)
         j = last.get(parent)
         if j is not None:
             w = ties[k].get(j, 0.0) + SIBLING
             ties[k][j] = ties[j][k] = w
         last[parent] = k
+    return [costs(b) for b in found], ties
+
+
+def labels(found: list[Block]) -> list[bool]:
+    """Whether each block is content, by a minimum cut."""
+    unary, ties = graph(found)
+    n = len(found)
     side: list[bool | None] = [None] * n
     waiting = deque(range(n))
     pull = [sum(t.values()) for t in ties]

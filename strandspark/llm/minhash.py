@@ -5,7 +5,8 @@ bin j, so that each of the t coordinates fills after at most 2t rounds. A coordi
 round that reaches it; two sets agree in a coordinate with a probability equal to their Jaccard similarity.
 
 Defined results: a null or wordless text has no shingles and no links; rows with a null id are never linked and are kept;
-equal sets are one class without any pair being made; repeated rows of one id give that row as often.
+equal sets are one class without any pair being made; repeated rows of one id give that row as often, and rows of one id with
+different texts are linked each by its own text; other columns are left out or passed through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .runtime import discard, kept_table, small, text_pieces
+from .runtime import discard, free_name, kept_table, small, text_pieces
 
 U = np.uint64
 
@@ -33,7 +34,7 @@ class Params:
     bands: int = 32
     rows: int = 4
     leaders: int = 5
-    star_rounds: int = 3
+    star_rounds: int = 2
 
 
 def sketch(value: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
@@ -78,24 +79,24 @@ def _lists(value: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, p: Params) -> DataFrame:
-    """(id, n, d1, d2, bands) for each row of docs (id, text); d1, d2: 128 bits that name the set."""
+    """(id, t, n, d1, d2, bands) for each row of docs (id, t, text); d1, d2: 128 bits that name the set."""
 
     def run(batches):
         for batch in batches:
             at = 0
-            for value, first in _sets(batch.column(1), p):
+            for value, first in _sets(batch.column(2), p):
                 rows = len(first) - 1
                 n = np.diff(first)
                 bands = band_keys(sketch(value, first, p.bands * p.rows), p)[n > 0]
                 sums = [np.concatenate((np.zeros(1, U), np.cumsum(W.mix(value + U(c))))) for c in (0x1234567, 0x89ABCDE)]
                 d1, d2 = ((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, rows), pa.array(n.astype(np.int64)), pa.array(d1), pa.array(d2), _lists(bands.ravel(), np.concatenate(([0], np.cumsum((n > 0) * p.bands))))],
-                    names=["id", "n", "d1", "d2", "bands"],
+                    [*(batch.column(c).slice(at, rows) for c in (0, 1)), pa.array(n.astype(np.int64)), pa.array(d1), pa.array(d2), _lists(bands.ravel(), np.concatenate(([0], np.cumsum((n > 0) * p.bands))))],
+                    names=["id", "t", "n", "d1", "d2", "bands"],
                 )
                 at += rows
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, d1 long, d2 long, bands array<bigint>")
+    return docs.select("id", "t", "text").mapInArrow(run, "id long, t long, n long, d1 long, d2 long, bands array<bigint>")
 
 
 def full_sets(docs: DataFrame, p: Params) -> DataFrame:
@@ -172,60 +173,98 @@ def _pairs(starred: DataFrame) -> DataFrame:
     return both.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each row of docs.
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, text): t tells the texts of one id apart."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, text): the text of each of nodes (id, rep, t, m), once. Only the nodes whose row occurs m > 1 times need their copies removed."""
+    own = docs.join(small(nodes.select("id", F.col("rep").alias("_rep"), F.col("t").alias("_t"), "m").withColumnRenamed("id", "_node")), (docs["id"] == F.col("_rep")) & (docs["t"] == F.col("_t")))
+    own = own.select(F.col("_node").alias("id"), "text", "m")
+    if nodes.filter("m > 1").isEmpty():
+        return own.select("id", "text")
+    return own.filter("m = 1").select("id", "text").unionByName(own.filter("m > 1").groupBy("id").agg(F.min("text").alias("text")))
 
-    Equal sets are collapsed by a digest. Each band bucket is first compared with a few leaders, a number linear in its members,
-    which joins what is one class. Then only members outside a bucket's largest class are compared with others, and of these only
-    those that share one of their rarest shingles, as any two linked sets do; so no link that a band shows is lost, and the
-    members of one class are never compared pair by pair.
+
+def _labelled(docs: DataFrame, p: Params) -> DataFrame:
+    """(id, t, n, component) for each row of docs (id, t, text).
+
+    Equal sets are collapsed by a digest into nodes with numbers of their own. Each band bucket is first compared with a few
+    leaders, a number linear in its members, which joins what is one class. Then only members outside a bucket's largest class are
+    compared with others, and of these only those that share one of their rarest shingles, as any two linked sets do; so no link
+    that a band shows is lost, and the members of one class are never compared pair by pair.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = kept_table(sketches(docs, p), "sketches")
-    named = table.filter("n > 0 and id is not null")
-    heads = named.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    reps = kept_table(named.join(heads.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", "bands"), "reps")
+    rows = table.filter("n > 0 and id is not null").groupBy("d1", "d2", "id", "t").agg(F.count(F.lit(1)).alias("m"))
+    sets_ = rows.groupBy("d1", "d2").agg(F.min(F.struct("id", "t", "m")).alias("x"), F.sum("m").alias("c"))
+    nodes = kept_table(sets_.select("d1", "d2", F.col("x.id").alias("rep"), F.col("x.t").alias("t"), F.col("x.m").alias("m"), "c").withColumn("id", F.monotonically_increasing_id()), "nodes")
+    own = table.select(F.col("id").alias("rep"), "t", "d1", "d2", "n", "bands").join(nodes.select("id", "rep", "t", "d1", "d2", "m"), ["rep", "t", "d1", "d2"])
+    once = own.filter("m = 1").select("id", "n", "bands")
+    reps = kept_table(once if nodes.filter("m > 1").isEmpty() else once.unionByName(own.filter("m > 1").groupBy("id").agg(F.min("n").alias("n"), F.min("bands").alias("bands"))), "reps")
     members = kept_table(_star(reps.select("id", F.explode("bands").alias("key")), p, 0), "members")
     pairs = kept_table(_pairs(members), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = kept_table(full_sets(docs.join(small(wanted), "id", "left_semi"), p), "sets")
+    sets = kept_table(full_sets(_texts(docs, kept_table(nodes.join(wanted, "id", "left_semi").select("id", "rep", "t", "m"), "wanted")), p), "sets")
     edges = kept_table(verified(pairs, sets, p), "links")
     labels = components(edges)
     members = members.filter(F.col("size") - F.size("heads") > 1).select("key", "id")
-    for turn in range(1, p.star_rounds + 1):
-        open_ = _open(members, labels, sets, p)
-        if open_ is None:
+    for turn in range(1, p.star_rounds + 2):
+        unsettled = _unsettled(members, labels)
+        if unsettled is None:
             break
-        more = kept_table(_shared(open_, p).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        last = turn == p.star_rounds or more.count() <= 4 * open_.count()
-        if not last:  # a large class is still in pieces: other leaders first
-            more = kept_table(_pairs(_star(members, p, turn)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        # other leaders first, as a large class may still be in pieces; at last all pairs that a rare shingle shows
+        more = _pairs(_star(unsettled.select("key", "id"), p, turn)) if turn <= p.star_rounds else _shared(_rare(unsettled, sets, p), p)
+        more = kept_table(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
         found = kept_table(verified(more, sets, p), "links")
         pairs, edges = pairs.unionByName(more), edges.unionByName(found)
         if not found.isEmpty():
             labels = components(edges)
-        if last:
-            break
-    whole = heads.select("d1", "d2", F.col("rep").alias("id")).join(labels, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("label"))
-    out = table.join(whole, ["d1", "d2"], "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("label")).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    named = nodes.join(labels.withColumnRenamed("label", "head"), "id", "left").select("d1", "d2", "rep", "c", F.coalesce("head", "id").alias("head"))
+    least = named.groupBy("head").agg(F.min("rep").alias("component"))
+    classes = kept_table(named.join(least, "head").filter("c > 1 or component <> rep").select("d1", "d2", "component", "c"), "classes")
+    # a set that holds more than a 10,000th of all rows, of which there are at most 10,000, is broadcast; no other key of the join is large
+    most = (nodes.agg(F.sum("c")).first()[0] or 0) / 10_000
+    keys = table.select("id", "t", "n", "d1", "d2")
+    hot, rest = classes.filter(F.col("c") > most).drop("c"), classes.filter(F.col("c") <= most).drop("c")
+    cold = keys.join(F.broadcast(hot.select("d1", "d2")), ["d1", "d2"], "left_anti").join(small(rest), ["d1", "d2"], "left")
+    both = keys.join(F.broadcast(hot), ["d1", "d2"]).unionByName(cold)
+    linked = (F.col("n") > 0) & F.col("id").isNotNull()
+    return both.select("id", "t", "n", F.when(linked, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component"))
+
 
+def _stays(id_: Column, component: Column) -> Column:
+    return F.coalesce(id_ == component, F.lit(True))
 
-def _open(members: DataFrame, labels: DataFrame, sets: DataFrame, p: Params) -> DataFrame | None:
-    """Rows (h, id, label, n, todo, nth) of the members of those keys that still hold several classes; todo: outside a key's largest class.
 
-    h is one of the member's shingles, nth its place by rareness among these members. Two sets that reach the similarity share one of
-    their rarest shingles, so only these rows are kept, and of them only shingles that two members have."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for each row of docs."""
+    out = _labelled(_named(docs, id_col, text_col), p)
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return out.withColumn("kept", _stays(F.col(id_col), F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
+    """docs less the rows that near_duplicates does not keep. A row is known by its id and its text's hash, so rows of one id with different texts have each their own fate."""
+    out = _labelled(_named(docs, id_col, text_col), p)
+    id_, t = free_name(docs, "_id"), free_name(docs, "_t")
+    gone = kept_table(out.filter(~_stays(F.col("id"), F.col("component"))).select(F.col("id").alias(id_), F.col("t").alias(t)).distinct(), "copies")
+    return docs.join(small(gone), (docs[id_col].cast("long") == F.col(id_)) & (F.xxhash64(docs[text_col]) == F.col(t)), "left_anti")
+
+
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """(key, id, label, todo) of the members of those keys that still hold several classes; todo: outside a key's largest class."""
     now = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     sizes = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = sizes.groupBy("key").agg(F.max_by("label", "c").alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    now = now.join(largest.select("key", "main"), "key").groupBy("id", "label").agg(F.max(F.col("label") != F.col("main")).alias("todo"))
-    now = kept_table(now, "open")
-    if now.isEmpty():
-        discard(now)
-        return None
+    now = kept_table(now.join(largest.select("key", "main"), "key").select("key", "id", "label", (F.col("label") != F.col("main")).alias("todo")), "open")
+    return None if now.isEmpty() else now
+
+
+def _rare(unsettled: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Rows (h, id, label, n, todo, nth) of the unsettled members: h is one of the member's shingles, nth its place by rareness among these members. Two sets that reach
+    the similarity share one of their rarest shingles, so only these rows are kept, and of them only shingles that two members have."""
+    now = unsettled.groupBy("id", "label").agg(F.max("todo").alias("todo"))
     each = sets.join(now, "id").select("id", "label", "n", "todo", F.explode("shingles").alias("h"))
     common = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     each = each.join(common, "h", "left").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("c", F.lit(1)), "h")))

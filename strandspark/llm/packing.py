@@ -2,11 +2,11 @@
 
 Only the histogram of lengths, at most LIMIT numbers, reaches the driver. Patterns of one to three length classes that fill a
 sequence are enumerated; non-negative least squares fits how often each is repeated so that the patterns' members make up the
-histogram; the counts are rounded down and the residual lengths are packed by best fit decreasing, into the room that patterns
-leave and then into new sequences, again on counts alone. Pieces take their places by rank within their length: ranks are counted within
-salted parts of a length and shifted by prefix sums, so that no task holds a whole length.
+histogram; the counts are rounded, exact lengths are chosen so that sequences come out full, and the residual lengths are packed
+by best fit decreasing, into the room that patterns leave and then into new sequences, again on counts alone. Pieces take their places by rank within their length: ranks are counted within
+parts of a length and shifted by prefix sums, so that no task holds a whole length.
 
-Defined results: a null text is its end id alone; longer documents are cut into pieces of LIMIT ids, whose last may be shorter; repeated rows
+Defined results: other columns of docs are left out, so their names don't matter; a null text is its end id alone; longer documents are cut into pieces of LIMIT ids, whose last may be shorter; repeated rows
 are packed as often; a null id is kept; empty input gives no rows.
 """
 
@@ -26,6 +26,10 @@ from .tokens import encoded, vocabulary
 LIMIT = 2048
 #: Length classes of the patterns; lengths within a class are filled up by the residual's best fit.
 CLASSES = 64
+#: Lengths up to this part of a sequence are left to the residual, which fills gaps with them.
+SMALL = 16
+#: About so many pieces of one length are ranked in one window.
+RANKED = 50_000
 
 
 def nnls(a: np.ndarray, b: np.ndarray, most: int = 400) -> np.ndarray:
@@ -76,19 +80,23 @@ def plan(histogram: dict[int, int], limit: int = LIMIT, classes: int = CLASSES)
     of = lambda n: -(-n * classes // limit)
     counts = np.zeros(classes + 1)
     for n, c in left.items():
-        counts[of(n)] += c
+        if n > limit // SMALL:
+            counts[of(n)] += c
     names = patterns(classes)
     matrix = np.zeros((classes, len(names)))
     for j, p in enumerate(names):
         for k in p:
             matrix[k - 1, j] += 1
-    stock = np.zeros(limit + 1, np.int64)
+    stock, kept_back = np.zeros(limit + 1, np.int64), {}
     for n, c in left.items():
-        stock[n] = c
+        if n > limit // SMALL:
+            stock[n] = c
+        else:
+            kept_back[n] = c
     scale = max(1.0, counts.max())
     fitted = nnls(matrix, counts[1:] / scale) * scale
     for j in np.argsort(-fitted, kind="stable"):
-        repeats = int(fitted[j])
+        repeats = round(float(fitted[j]))
         while repeats > 0:
             lengths = _members(names[j], stock, limit, classes)
             if lengths is None:
@@ -99,23 +107,34 @@ def plan(histogram: dict[int, int], limit: int = LIMIT, classes: int = CLASSES)
                 stock[n] -= m * take
             made[lengths] += take
             repeats -= take
-    return _best_fit(made, {int(n): int(stock[n]) for n in np.flatnonzero(stock)}, limit)
+    return _best_fit(made, kept_back | {int(n): int(stock[n]) for n in np.flatnonzero(stock)}, limit)
 
 
 def _members(pattern: tuple[int, ...], stock: np.ndarray, limit: int, classes: int) -> tuple[int, ...] | None:
-    """Lengths for one pattern: the longest in stock of each class, and last the longest that still fits, of its class or above."""
-    room, taken = limit, []
-    for place, k in enumerate(pattern):
-        low, high = (k - 1) * limit // classes, min(room, k * limit // classes if len(pattern) == 1 or place < len(pattern) - 1 else room)
-        found = low + 1 + np.flatnonzero(stock[low + 1 : high + 1])
-        for n in found[::-1].tolist():
-            if stock[n] > taken.count(n):
-                taken.append(n)
-                room -= n
-                break
-        else:
-            return None
-    return tuple(taken)
+    """Lengths in stock for one pattern, the fullest that there are: all but the last member from their classes, the last the longest that the others leave room
+    for. Of equally full ones that which can be repeated most often."""
+
+    def of(k: int) -> np.ndarray:
+        low = (k - 1) * limit // classes
+        return low + 1 + np.flatnonzero(stock[low + 1 : k * limit // classes + 1])
+
+    if len(pattern) == 1:
+        own = of(pattern[0])
+        return (int(own[-1]),) if len(own) else None
+    first = of(pattern[0])[:, None]
+    second = of(pattern[1])[None, :] if len(pattern) == 3 else np.zeros((1, 1), np.int64)
+    held = np.broadcast_to(np.where((first == second) & (stock[first] < 2), 0, np.minimum(stock[first], np.where(second > 0, stock[second], stock[first]))), (first.shape[0], second.shape[1]))
+    room = limit - first - second
+    longest = np.maximum.accumulate(np.where(stock > 0, np.arange(limit + 1), 0))
+    last = longest[np.maximum(room, 0)]
+    again = (last == first).astype(np.int64) + (last == second) + 1
+    good = (held > 0) & (room > 0) & (last > 0) & (stock[last] >= again)
+    if not good.any():
+        return None
+    waste = np.where(good, room - last, limit)
+    best = np.where(waste == waste.min(), np.minimum(held, stock[last] // again), -1)
+    i, j = np.unravel_index(int(best.argmax()), best.shape)
+    return tuple(int(x) for x in (first[i, 0], second[0, j], last[i, j]) if x)
 
 
 def _best_fit(made: Counter, rest: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]]:
@@ -179,18 +198,20 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, limit
 
 
 def placed(table: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """A kept table of pieces with sequence_id and offset."""
-    salts = max(64, table.count() // 50_000)
-    salted = table.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int"))
+    """A kept table of pieces, with a number of each row in `row`, with sequence_id and offset. A length is ranked in as many parts as its count asks for; the parts' counts are at most
+    `limit` and one for every RANKED pieces."""
+    lengths = kept_table(table.groupBy("length").agg(F.count(F.lit(1)).alias("c")), "histogram")
+    histogram = {r["length"]: r["c"] for r in lengths.collect()}  # at most `limit` rows
+    parts = F.broadcast(lengths.select("length", F.ceil(F.col("c") / RANKED).alias("parts")))
+    salted = table.join(parts, "length").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
     counts = kept_table(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("c")), "lengths")
-    histogram = {r["length"]: r["c"] for r in counts.groupBy("length").agg(F.sum("c").alias("c")).collect()}
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("base", F.coalesce(F.sum("c").over(before), F.lit(0))).select("length", "salt", "base")
-    own = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32", "row")
     ranked = salted.withColumn("nth", F.row_number().over(own) - 1).join(small(base), ["length", "salt"])
-    ranked = ranked.withColumn("nth", F.col("nth") + F.col("base")).drop("base", "salt")
+    ranked = ranked.withColumn("nth", F.col("nth") + F.col("base")).drop("base", "salt", "row")
     places = _places(plan(histogram, limit))
-    lengths = {n: k for k, n in enumerate(places)}
+    order = {n: k for k, n in enumerate(places)}
     tables = list(places.values())
 
     def run(batches):
@@ -199,7 +220,7 @@ def placed(table: DataFrame, limit: int = LIMIT) -> DataFrame:
             sequence, offset = np.empty(len(nth), np.int64), np.empty(len(nth), np.int64)
             for n in np.unique(length).tolist():
                 mine = length == n
-                begin, first, at = tables[lengths[n]]
+                begin, first, at = tables[order[n]]
                 k = np.searchsorted(begin, nth[mine], "right") - 1
                 sequence[mine], offset[mine] = first[k] + nth[mine] - begin[k], at[k]
             rest = [c for c in batch.schema.names if c != "nth"]
@@ -226,7 +247,7 @@ def _places(rows: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarr
 
 def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) of every piece."""
-    table = kept_table(pieces(docs, tokenizer, end_id, limit, id_col, text_col, with_ids), "pieces")
+    table = kept_table(pieces(docs, tokenizer, end_id, limit, id_col, text_col, with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
     return placed(table, limit).withColumnRenamed("id", id_col)
 
 

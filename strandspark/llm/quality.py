@@ -7,15 +7,17 @@ a null id keep it.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import words as W
-from .runtime import text_pieces
+from .runtime import free_name, text_pieces
 
 U = np.uint64
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -96,6 +98,30 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.withColumnRenamed("id", id_col)
 
 
+def with_ledger(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """docs with one more column, a struct of MEASURES and failed, row by row: ids may be null or repeated, and columns may have any names."""
+    place, kind = docs.columns.index(text_col), pa.struct([(m, pa.int64()) for m in MEASURES])
+
+    def run(batches):
+        for batch in batches:
+            values = [np.concatenate(v) for v in zip(*(_measure(raw, offsets) for _, _, raw, offsets in text_pieces(batch.column(place))), strict=True)]
+            if values:
+                own = pa.StructArray.from_arrays([pa.array(v.astype(np.int64)) for v in values], fields=list(kind))
+                yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, name])
+
+    fields = StructType([*docs.schema.fields, StructField(name, StructType([StructField(m, LongType()) for m in MEASURES]))])
+    out = docs.mapInArrow(run, fields)
+    rules = [re.sub(r"\b(" + "|".join(MEASURES) + r")\b", rf"`{name}`.\1", rule) for rule in RULES.values()]
+    failed = reduce(Column.bitwiseOR, [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(rules)])
+    return out.withColumn(name, F.col(name).withField("failed", failed.cast("long")))
+
+
+def accepted(docs: DataFrame, policy: str = CURRENT, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the policy does not reject."""
+    name = free_name(docs, "ledger")
+    return with_ledger(docs, name, text_col).filter(~rejected(policy, F.col(name)["failed"])).drop(name)
+
+
 def bits(names: tuple[str, ...]) -> int:
     """The mask of some rules."""
     order = list(RULES)

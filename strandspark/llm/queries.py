@@ -94,7 +94,7 @@ WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FR
 t AS (SELECT doc_id, source, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM l),
 hosts AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY 1),
 bad AS (SELECT t.source, line FROM t JOIN hosts h ON t.source IS NOT DISTINCT FROM h.source WHERE line <> ''
-  GROUP BY t.source, line, host_pages HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) > 0.1 * host_pages),
+  GROUP BY t.source, line, host_pages HAVING count(DISTINCT doc_id) >= 2 AND count(DISTINCT doc_id) > 0.1 * host_pages),
 sets AS (SELECT source, list(line) AS bad FROM bad GROUP BY 1)
 SELECT doc_id,
   CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(bad, []), regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'))), chr(10)) END AS text,
@@ -116,9 +116,11 @@ b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_wo
 SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM b""",
     "op8_sharding": r"""
 WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes, ('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), chr(0)))[1:8])::BIGINT AS h FROM documents),
-t AS (SELECT least(32, greatest(1, ceil(log2(greatest(1.0, sum(bytes) / 4194304.0)))) + 6)::INT AS most FROM d),
-p AS (SELECT doc_id, bytes, unnest(range(0, most + 1))::INT AS depth, h, most FROM d, t),
-b AS (SELECT doc_id, bytes, depth, most, h >> (32 - depth) AS bucket, sum(bytes) OVER (PARTITION BY depth, h >> (32 - depth)) AS shard_bytes FROM p)
-SELECT doc_id, bytes, depth, right(lpad(bin(bucket), 40, '0'), depth) AS shard, 0 AS part, CAST(shard_bytes AS BIGINT) AS shard_bytes
-FROM b WHERE shard_bytes <= 4194304 OR depth = most QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1""",
+p AS (SELECT doc_id, bytes, unnest(range(0, 33))::INT AS depth, h FROM d),
+b AS (SELECT doc_id, bytes, depth, h >> (32 - depth) AS bucket, sum(bytes) OVER (PARTITION BY depth, h >> (32 - depth)) AS total FROM p),
+f AS (SELECT * FROM b WHERE total <= 4194304 OR depth = 32 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1)
+SELECT doc_id, bytes, depth, right(lpad(bin(bucket), 40, '0'), depth) AS shard,
+  CASE WHEN total <= 4194304 THEN 0 ELSE row_number() OVER (PARTITION BY depth, bucket ORDER BY bytes) END::INT AS part,
+  CAST(CASE WHEN total <= 4194304 THEN total ELSE bytes END AS BIGINT) AS shard_bytes
+FROM f""",
 }

@@ -46,9 +46,17 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(ids: DataFrame) -> DataFrame:
-    """A broadcast hint for a table of keys, given only when its count is within BROADCAST_ROWS."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+def small(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint for a table of keys, given only when its count is within `most`."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -72,3 +80,16 @@ def text_pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, in
 
 def one_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def filtered_rows(docs: DataFrame, text_col: str, keep) -> DataFrame:
+    """The rows of docs for which keep says so; keep: (bytes, offsets) of a run of texts -> booleans. Rows are judged one by one, so ids may be null or repeated and columns may have any names."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            good = [keep(raw, offsets) for _, _, raw, offsets in text_pieces(batch.column(place))]
+            if good:
+                yield batch.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(run, docs.schema)

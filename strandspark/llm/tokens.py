@@ -6,7 +6,8 @@ the vocabulary allows, else 32) of whole documents, each closed by the end id; i
 ids before it, is a prefix sum over the partitions' totals.
 
 Defined results: a null text is empty and gives the end id alone; a null document id is written as the smallest long, comes
-first and reads back as null; repeated rows are written as often; empty input gives no files.
+first and reads back as null; rows of one id follow each other in the order of their texts' hashes, repeated rows are written as
+often; other columns are left out, so their names don't matter; empty input gives no files.
 """
 
 from __future__ import annotations
@@ -234,8 +235,10 @@ def write(docs: DataFrame, out: str | None = None, end_id: int = 2, tokenizer: s
             store.move(f"{folder}/{name}.{kind}{own}", f"{folder}/{name}.{kind}")
         yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "name": [name], "docs": pa.array([count], pa.int64()), "ids": pa.array([total], pa.int64())})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # rows of one id, or of none, are spread by their texts' hashes, which also makes their order the same in every attempt
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     parts = ordered.mapInArrow(run, "part int, name string, docs long, ids long").collect()
     base, files = 0, []
     for r in sorted(parts, key=lambda r: r["part"]):  # sorted here: a range partitioning would run the writers twice

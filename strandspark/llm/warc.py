@@ -7,7 +7,9 @@ Of pages with equal payloads that with the smallest id is a response; the others
 payload. Payloads below min_revisit bytes are all responses.
 
 Defined results: a null page is an empty payload; a null id can't be referred to: such rows are responses; repeated rows of
-one id are all responses where that id is the smallest; a null url is written without a target and reads back as null.
+one id and payload are all responses where that id is the smallest, and share their record's id; rows of one id with different
+payloads are told apart by their digests; a null url is written without a target and reads back as null; line feeds in a url are
+percent-coded in the standard header and kept exactly in one of our own; other columns are left out, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import kept_table, shared_path, small
+from .runtime import free_name, kept_table, shared_path, small
 from .tokens import _store
 
 MAGIC = 0x184D2A5D
@@ -45,10 +47,14 @@ def payload_digest(payload: bytes) -> str:
 
 def train_dictionary(pages: DataFrame, html_col: str = "html") -> bytes:
     """A dictionary from a bounded sample of pages, or nothing where they are too few to train on."""
-    rows = pages.select(F.substring(F.encode(F.col(html_col), "UTF-8"), 1, SAMPLE_BYTES).alias("x")).filter("length(x) > 64").orderBy(F.xxhash64("x")).limit(SAMPLE_PAGES).collect()
-    samples = [bytes(r["x"]) for r in rows]
-    if len(samples) < 16:
+    text = F.col(html_col)
+    thin = pages.filter(F.octet_length(text) > 64).select(F.xxhash64(text).alias("h"))
+    # the smallest hashes of different pages tell which to read; the pages themselves are then at most SAMPLE_PAGES
+    chosen = [r["h"] for r in thin.groupBy("h").agg(F.lit(1)).select("h").orderBy("h").limit(SAMPLE_PAGES).collect()]
+    if len(chosen) < 16:
         return b""
+    rows = pages.filter(F.xxhash64(text) <= max(chosen)).filter(F.octet_length(text) > 64).groupBy(F.xxhash64(text).alias("h")).agg(F.min(F.substring(F.encode(text, "UTF-8"), 1, SAMPLE_BYTES)).alias("x")).orderBy("h").collect()
+    samples = [bytes(r["x"]) for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # samples too alike or too small
@@ -57,10 +63,15 @@ def train_dictionary(pages: DataFrame, html_col: str = "html") -> bytes:
 
 def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, length: int, refers_to: int | None) -> bytes:
     """The bytes of one record; a revisit's block is empty and its payload's length stands in a header of our own."""
+    exact = None
     target = None if url is None else url.encode().decode("latin-1").replace("\r", "%0D").replace("\n", "%0A")
+    if target is not None and (target != url.encode().decode("latin-1") or target != target.strip(" \t")):
+        exact = base64.b64encode(url.encode()).decode()  # a header line can't hold it as it is
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", f"WARC-Date: {_DATE}"]
     if target is not None:
         lines.append(f"WARC-Target-URI: {target}")
+        if exact:
+            lines.append(f"X-Target-URI-Base64: {exact}")
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     block = payload
     if kind == "revisit":
@@ -132,21 +143,30 @@ class Reader:
             yield parse(b"".join(parts))
 
 
-def deduplicated(pages: DataFrame, min_revisit: int = 0, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """pages with _first: the smallest id of the rows with the same payload. Digests are summed up before the shuffle, and a payload that many rows share is a hot key of a join whose large side Spark can split."""
-    keyed = pages.withColumn("_sha", F.sha1(F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b"")))).withColumn("_size", F.coalesce(F.octet_length(html_col), F.lit(0)))
-    small_ids = kept_table(keyed.select(F.col(id_col).cast("long").alias("_id"), "_sha", "_size"), "digests")
-    firsts = small_ids.filter((F.col("_size") >= min_revisit) & F.col("_id").isNotNull()).groupBy("_sha").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter("_first < _last").select("_sha", "_first")
-    revisits = small_ids.join(firsts, "_sha").filter("_id > _first").select("_id", "_first")
-    # ids above their payload's first, joined back by id: only these rows' numbers are shuffled, and their pages once
-    return keyed.join(small(revisits.dropDuplicates(["_id"])), keyed[id_col] == F.col("_id"), "left").drop("_id", "_sha", "_size")
+def deduplicated(pages: DataFrame, first: str, min_revisit: int = 0, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """pages with a column `first`: the smallest id of the rows with the same payload, where it is not their own. Digests and ids are summed up before the shuffle; only the rows above their payload's first
+    come back, by id and digest, so a payload that many rows share is no hot key of a join with the pages, and rows of one id keep each their own payload."""
+    sha = F.sha1(F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b"")))
+    rows = kept_table(pages.select(F.col(id_col).cast("long").alias("id"), sha.alias("sha"), F.coalesce(F.octet_length(html_col), F.lit(0)).alias("size")), "digests")
+    rows = rows.filter((F.col("size") >= min_revisit) & F.col("id").isNotNull()).select("id", "sha")
+    firsts = rows.groupBy("sha").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most")
+    # a payload of more than a 10,000th of all rows, of which there are at most 10,000, is broadcast; no other key is large
+    many = rows.count() / 10_000
+    firsts = kept_table(firsts, "payloads")
+    hot = F.broadcast(firsts.filter(F.col("n") > many).select("sha", "least"))
+    cold = rows.join(hot.select("sha"), "sha", "left_anti").join(firsts.filter(F.col("n") <= many).select("sha", "least"), "sha")
+    again = rows.join(hot, "sha").unionByName(cold).filter("id > least").distinct()
+    id_, sha_ = free_name(pages, "_id"), free_name(pages, "_sha")
+    again = small(kept_table(again.select(F.col("id").alias(id_), F.col("sha").alias(sha_), F.col("least").alias(first)), "revisits"), 500_000)
+    return pages.join(again, (pages[id_col].cast("long") == F.col(id_)) & (sha == F.col(sha_)), "left").drop(id_, sha_)
 
 
 def write(pages: DataFrame, folder: str | None = None, min_revisit: int = 0, level: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[str, list[str]]:
     """Write a record for each row into one archive per partition. Returns the folder and the file names. A repeated task replaces its file."""
     folder = folder or shared_path(pages.sparkSession, "warc")
     dictionary = train_dictionary(pages, html_col)
-    rows = deduplicated(pages, min_revisit, id_col, html_col).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), "_first")
+    first = free_name(pages, "first")
+    rows = deduplicated(pages, first, min_revisit, id_col, html_col).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), F.col(first).alias("first"))
 
     def run(batches):
         store, path = _store(folder)
@@ -160,9 +180,9 @@ def write(pages: DataFrame, folder: str | None = None, min_revisit: int = 0, lev
             out.write(header_frame(dictionary))
             for batch in batches:
                 for k in range(batch.num_rows):
-                    page_id, url, page, first = (batch.column(c)[k].as_py() for c in range(4))
+                    page_id, url, page, of = (batch.column(c)[k].as_py() for c in range(4))
                     payload = (page or "").encode()
-                    out.write(packer.compress(record("response" if first is None else "revisit", page_id, url, payload, payload_digest(payload), len(payload), first)))
+                    out.write(packer.compress(record("response" if of is None else "revisit", page_id, url, payload, payload_digest(payload), len(payload), of)))
                     n += 1
         store.move(own, f"{path}/{name}")
         yield pa.RecordBatch.from_pydict({"name": [name], "n": pa.array([n], pa.int64())})
@@ -193,6 +213,8 @@ def read(spark: SparkSession, folder: str, files: list[str], with_payload: bool
                         if kind == "response" and (payload_digest(block) != digest or len(block) != int(headers["x-payload-length"])):
                             raise WarcError(f"payload differs from its digest: {headers['warc-record-id']}")
                         url = headers.get("warc-target-uri")
+                        if "x-target-uri-base64" in headers:
+                            url = base64.b64decode(headers["x-target-uri-base64"]).decode("utf-8").encode().decode("latin-1")
                         rows.append((_number(headers["warc-record-id"]), url and url.encode("latin-1").decode(), int(headers["x-payload-length"]), digest, kind, _number(headers.get("warc-refers-to")), *([block] if with_payload else [])))
                         size += len(block)
                         if len(rows) == 2000 or size > 1 << 24:

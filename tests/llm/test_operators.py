@@ -27,7 +27,7 @@ EDGE = [
 @pytest.fixture(scope="module")
 def edge(spark):
     df = spark.createDataFrame(EDGE, "doc_id long, text string, lang string, source string, n_chars long")
-    for name in ("id", "key", "n", "label", "host", "line", "h", "size", "failed", "n_lines", "bytes", "shard", "length"):
+    for name in ("id", "key", "n", "label", "host", "line", "h", "size", "failed", "n_lines", "bytes", "shard", "length", "_bad", "_gone", "_id", "_t", "_host", "_left", "_sha", "first", "row", "part", "ledger", "t"):
         df = df.withColumn(name, F.lit(name))
     return df
 
@@ -133,7 +133,11 @@ def test_line_dedup(spark, edge):
     got = {r.doc_id: r for r in linededup.drop_lines(df, max_ratio=0.5).collect()}
     assert got[1].text == "Menu \n unique 1" and got[2].text == "unique 2\n" and got[50].text == "Menu" and got[51].text == "x\nx" and got[52].text is None
     assert (got[2].n_lines, got[2].n_dropped) == (3, 1)
-    assert linededup.drop_lines(edge).count() == len(EDGE) and linededup.drop_lines(edge.limit(0)).count() == 0
+    out = linededup.drop_lines(edge)
+    assert out.count() == len(EDGE) and linededup.drop_lines(edge.limit(0)).count() == 0
+    assert {c: v for c, v in out.first().asDict().items() if c.startswith("_")} == {c: c for c in edge.columns if c.startswith("_")} and out.schema["n_lines"].dataType.simpleString() == "bigint"
+    few = spark.createDataFrame([(1, "Menu\na", "h"), (2, "Menu\nb", "h"), (3, "c", "h")], "doc_id long, text string, source string")
+    assert sorted(r.text for r in linededup.drop_lines(few).collect()) == ["a", "b", "c"]  # a line of one page alone stays on any host
 
 
 def library():
@@ -145,7 +149,7 @@ def library():
 
 def test_token_files_round_trip(spark, docs, edge):
     encode = library()
-    for df in (docs, edge.filter("length(text) < 1000000 or text is null")):
+    for df in (docs, edge):
         folder, files = tokens.write(df)
         got = tokens.read(spark, folder, files, tokens.bits_of(), with_ids=True).collect()
         order = sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
@@ -153,8 +157,7 @@ def test_token_files_round_trip(spark, docs, edge):
         start = 0
         for r, d in zip(sorted(got, key=lambda r: r.start), order, strict=True):
             ids = [*encode(d.text), 2]
-            if r.id != 4:
-                assert r.ids == ids and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+            assert r.ids == ids and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
             assert (r.start, r.n_tokens) == (start, len(ids))
             start += len(ids)
     folder, files = tokens.write(edge.limit(0))
@@ -173,7 +176,7 @@ def test_forgetful_encoder(monkeypatch):
 
 def test_packing_places_everything_once(spark, docs, edge):
     encode = library()
-    for df in (docs, edge.filter("length(text) < 1000000 or text is null")):
+    for df in (docs, edge):
         rows = packing.packed(df, with_ids=True).collect()
         by = {}
         for r in rows:
@@ -192,14 +195,16 @@ def test_packing_places_everything_once(spark, docs, edge):
         assert Counter((r.doc_id, r.piece, r.start, r.ids_crc32) for r in rows) == want
         assert all(len(r.ids) == r.length for r in rows)
         total = sum(r.length for r in rows)
-        assert len(by) <= 1.03 * total / packing.LIMIT + 2
+        assert len(by) <= 1.001 * total / packing.LIMIT + 2
     assert packing.packed(edge.limit(0)).count() == 0
 
 
 def test_packing_plans_use_the_histogram():
     rng = random.Random(2)
-    for sizes in ([2048] * 5, [1], [1500] * 7 + [548] * 3, [rng.randint(1, 2048) for _ in range(3000)], [700] * 10):
+    for sizes in ([2048] * 5, [1], [1500] * 7 + [548] * 3, [rng.randint(1, 2048) for _ in range(3000)], [700] * 10, [min(2048, 1 + int(rng.expovariate(1 / 700))) for _ in range(20_000)]):
         made = packing.plan(dict(Counter(sizes)))
+        plain = packing._best_fit(Counter(), dict(Counter(sizes)), packing.LIMIT)
+        assert sum(n for _, n in made) <= 1.002 * sum(n for _, n in plain) + 1
         used = Counter()
         for lengths, n in made:
             assert sum(lengths) <= 2048
@@ -217,33 +222,50 @@ def best(item, text):
     return min(cost)
 
 
-def test_decontamination_finds_exact_and_edited(spark, edge):
-    rng = random.Random(4)
+def edited(rng, words, n):
+    """n words at different places replaced, removed, or with one more behind."""
+    own = list(words)
+    for at in rng.sample(range(len(own)), n):
+        own[at] = rng.choice(["new", "", f"{own[at]} more"])
+    return " ".join(own).split()
+
+
+@pytest.mark.parametrize("low, high, share", [(1, 7, 0.0), (8, 15, 0.2), (16, 57, 0.2)])
+def test_decontamination_finds_exact_and_edited(spark, edge, low, high, share):
+    rng = random.Random(low)
     vocabulary = [f"v{k}" for k in range(300)]
-    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(15, 57)))) for k in range(40)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(low, high)))) for k in range(40)]
     rows, planted = [], set()
     for k in range(200):
         w = rng.choices(vocabulary, k=rng.randint(0, 200))
         if k % 2:
-            item, own = rng.choice(items)[0], None
+            item = rng.randrange(40)
             own = items[item][1].split()
-            for _ in range(rng.randint(0, int(0.12 * len(own)))):
-                at = rng.randrange(len(own))
-                rng.choice([lambda: own.__setitem__(at, "new"), lambda: own.pop(at), lambda: own.insert(at, "more")])()
             at = rng.randint(0, len(w))
-            w[at:at] = own
+            w[at:at] = edited(rng, own, int(share * len(own)))
             planted.add((k, item))
         rows.append((k, " ".join(w).upper() if k % 3 else ", ".join(w)))
     df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.n_edits for r in decontam.matches(df, bench).collect()}
     texts = {k: re.findall(r"[a-z0-9]+", t.lower()) for k, t in rows}
-    within = {(k, i) for k in texts for i, t in items if best(t.split(), texts[k]) <= int(0.2 * len(t.split()))}
-    assert set(got) <= within and len(planted & set(got)) >= 0.98 * len(planted)
+    most = lambda t: int(0.2 * len(t)) if len(t) >= 8 else 0
+    within = {(k, i) for k in texts for i, t in items if best(t.split(), texts[k]) <= most(t.split())}
+    if high < 16:
+        assert set(got) == within  # short items are found exactly
+    assert set(got) <= within and len(planted & set(got)) >= 0.97 * len(planted) and planted <= within
     assert all(got[x] == best(items[x[1]][1].split(), texts[x[0]]) for x in got)
-    assert decontam.matches(df, bench, p=decontam.Params(block=7)).count() == len(got)
+    assert decontam.matches(df, bench, p=decontam.Params(block=7)).count() >= 0.97 * len(got)
     kept = {r.doc_id for r in decontam.decontaminated(df, bench).collect()}
     assert kept == set(texts) - {k for k, _ in got}
-    assert decontam.decontaminated(edge, bench).count() == len(EDGE) and decontam.matches(edge, bench.limit(0)).count() == 0
+
+
+def test_decontamination_edges(spark, edge):
+    bench = spark.createDataFrame([(None, "naïve — “x” 日本語"), (1, None), (2, ""), (3, "one two"), (3, "one two")], "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontam.matches(edge, bench).collect()]
+    assert Counter(got) == Counter([(4, 3)] * 4 + [(5, 3)] * 2 + [(7, None)])
+    left = decontam.decontaminated(edge, bench)
+    assert left.columns == edge.columns and Counter(r.doc_id for r in left.collect()) == Counter([1, 2, 3, 6, None, 9])
+    assert decontam.matches(edge, bench.limit(0)).count() == 0 and decontam.decontaminated(edge.limit(0), bench).count() == 0
 
 
 def test_toxicity_holds_out(spark, edge):
@@ -261,6 +283,29 @@ def test_toxicity_holds_out(spark, edge):
     assert toxicity.score(edge, none).filter("toxic").count() == 0 and toxicity.score(edge, model).count() == len(EDGE)
 
 
+def test_toxicity_equals_dense_scoring(spark, edge):
+    """Scores by a plain loop over words, with the fitted model's weights by feature."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(d, labels)
+
+    def feature(word, k):
+        raw = np.frombuffer(word, np.uint8)
+        h = W.hashes(raw, np.array([0]), np.array([len(raw)]), W.LOWER)
+        return int(W.mix(h + np.uint64(k))[0] >> np.uint64(64 - toxicity.BITS))
+
+    for df in (d.limit(60), edge.filter("doc_id is null or doc_id <> 6")):
+        got = toxicity.score(df, model).collect()
+        for r, want in zip(got, df.collect(), strict=True):
+            words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (want.text or "").encode())
+            own = {feature(w[:size] if size else w, k) for w in words for k, size in enumerate((0, *toxicity.PREFIXES)) if len(w) >= size}
+            z = sum(float(model.weights[f]) for f in own)
+            p1, p2 = (1 / (1 + np.exp(-(z - t))) for t in model.thresholds)
+            assert r.doc_id == want.doc_id and r.toxic == (p1 >= 0.5) and r.expected_severity == pytest.approx(p1 + p2, abs=1e-5)
+    assert toxicity.score(edge.limit(0), model).count() == 0
+    same = toxicity.score(edge.filter("doc_id = 4"), model).select("expected_severity").distinct().count()
+    assert same == 1
+
+
 def test_sharding_fits_and_splits_hot_keys(spark, docs, edge):
     limit = 20_000
     got = sharding.shards(docs, limit=limit).toPandas()
@@ -276,6 +321,9 @@ def test_sharding_fits_and_splits_hot_keys(spark, docs, edge):
     assert sharding.shards(edge).count() == len(EDGE) and sharding.shards(edge.limit(0)).count() == 0
     path = sharding.write_shards(docs, limit=limit)
     assert spark.read.parquet(path).count() == docs.count()
+    parts = spark.read.parquet(sharding.write_shards(hot, limit=4000)).groupBy("shard", "part").agg(F.sum(F.length("text")).alias("b")).collect()
+    assert sum(r.b for r in parts) == 150_000 and max(r.b for r in parts) <= 4000
+    assert spark.read.parquet(sharding.write_shards(edge)).count() == len(EDGE)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="</p><p>no";</script></head><body class="page">
@@ -331,6 +379,17 @@ def test_warc_round_trip(spark):
     assert warc.read(spark, folder, files).count() == 0
 
 
+def test_warc_keeps_payloads_of_repeated_ids_and_odd_urls(spark):
+    rows = [(1, "u", "A" * 99), (2, "u", "A" * 99), (2, "u", "B" * 99), (3, "a\nb%0A", "C"), (4, " u ", "C"), (5, "%0A", "D"), *((9, f"u{k}", f"page {k} " * 20) for k in range(30))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("first", "_id", "_sha", "id"):
+        df = df.withColumn(name, F.lit(name))
+    folder, files = warc.write(df)
+    got = warc.read(spark, folder, files, with_payload=True).collect()
+    assert Counter((r.page_id, r.url, r.record_type, r.refers_to) for r in got if r.page_id < 9) == Counter([(1, "u", "response", None), (2, "u", "revisit", 1), (2, "u", "response", None), (3, "a\nb%0A", "response", None), (4, " u ", "revisit", 3), (5, "%0A", "response", None)])
+    assert {bytes(r.payload).decode() for r in got if r.record_type == "response"} == {x for _, _, x in rows}
+
+
 def test_warc_rejects_broken_archives():
     import io
 
@@ -355,7 +414,7 @@ def test_pipeline_equals_brute_force(spark):
     rows = rows[rows.doc_id.isin(kept)]
     pages = rows.groupby("source").doc_id.count()
     lines = Counter((r.source, x) for r in rows.itertuples() for x in {y.strip(" \t\n\r\x0b\x0c") for y in r.text.split("\n")} if x)
-    bad = {k for k, n in lines.items() if n >= 5 and n / pages[k[0]] > 0.1}
+    bad = {k for k, n in lines.items() if n >= 2 and n / pages[k[0]] > 0.1}
     rows = rows.assign(text=["\n".join(x for x in r.text.split("\n") if (r.source, x.strip(" \t\n\r\x0b\x0c")) not in bad) for r in rows.itertuples()])
     roots = classes({r.doc_id: shingles(r.text) for r in rows.itertuples()})
     rows = rows[[roots[i] == i for i in rows.doc_id]]
@@ -365,11 +424,14 @@ def test_pipeline_equals_brute_force(spark):
     def leaks(text):
         w = parts.findall(text.lower())
         have = set(w)
-        return any(sum(x in have for x in i) >= 0.8 * len(i) and best(i, w) <= int(0.2 * len(i)) for i in items if len(i) >= 8)
+        return any(sum(x in have for x in i) >= 0.8 * len(i) and best(i, w) <= int(0.2 * len(i)) for i in items)
 
     rows = rows[[not leaks(t) for t in rows.text]]
     got = c.run(spark, SF).toPandas()
     assert set(got.doc_id) == set(rows.doc_id)
+    encode = library()
+    want = {(r.doc_id, k // packing.LIMIT): zlib.crc32(np.array(ids[k : k + packing.LIMIT], "<u4").tobytes()) for r in rows.itertuples() for ids in [[*encode(r.text), 0]] for k in range(0, len(ids), packing.LIMIT)}
+    assert {(r.doc_id, r.piece): r.ids_crc32 for r in got.itertuples()} == want
     assert isinstance(got, pd.DataFrame) and [n for n, _ in c.STAGES] == ["quality rules", "line dedup", "near dedup", "decontamination", "packing"]
 
 
@@ -408,3 +470,77 @@ def test_sharding_splits_large_cells_on_all_bits(spark):
         else:
             prefix = [sum(len(t) for k, t in rows if bits(k)[:d] == bits(r.key)[:d]) for d in range(33)]
             assert r.part == 0 and r.depth == next(d for d in range(33) if prefix[d] <= 1000) and r.shard_bytes == prefix[r.depth]
+
+
+def test_labels_are_a_minimum_cut_of_whole_pages():
+    rng = random.Random(9)
+    parts = ["<p>Short.</p>", "<div>Plain words here</div>", "<ul><li><a href='x'>Link</a></li><li>Item</li></ul>", "<div class='ad'>Buy</div>", "<h2>Head</h2>", "<footer>Foot</footer>", "<div><a href='y'>More of this</a></div>", "<article><p>" + "long prose " * 20 + "</p></article>", "<section><div>One</div><div>Two</div></section>"]
+    changed = 0
+    for _ in range(60):
+        found = html.blocks("<body>" + "".join(rng.choices(parts, k=rng.randint(1, 7))) + "</body>")
+        unary, ties = html.graph(found)
+        n = len(found)
+        if n > 12:
+            continue
+
+        def energy(side, unary=unary, ties=ties, n=n):
+            return sum(-unary[k] * side[k] if unary[k] < 0 else unary[k] * (not side[k]) for k in range(n)) + sum(w for k in range(n) for j, w in ties[k].items() if j < k and side[j] != side[k])
+
+        own = html.labels(found)
+        assert energy(own) == pytest.approx(min(energy([bool(m >> k & 1) for k in range(n)]) for m in range(1 << n)))
+        changed += sum((u > 0) != x for u, x in zip(unary, own))
+    assert changed > 0  # the cut decides blocks against their own odds
+
+
+def test_html_short_texts_titles_and_long_pages(spark):
+    assert html.main_text("<body><p>Short one.</p><p>Another short para.</p></body>") == "Short one.\n\nAnother short para."
+    assert html.main_text("<article><div class='entry-header'><h1>Title</h1></div><p>Text</p></article>") == "Title\n\nText"
+    assert html.main_text("<nav><ul><li><a href='/'>Home</a></li></ul></nav><p>Short article.</p><footer>f</footer>") == "Short article."
+    page = "<nav>menu</nav><article>" + "<p>word</p>" * 20_000 + "</article>"
+    rows = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string").withColumn("id", F.lit(1)).withColumn("n_chars", F.lit("x"))
+    assert html.extracted(rows).first().n_chars == 20_000 * 4 + 2 * 19_999 and html.extracted(rows.limit(0)).count() == 0
+
+
+def test_pipeline_stages_judge_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline as c
+
+    rng = random.Random(3)
+    good = [" ".join(rng.choices([f"w{k}" for k in range(900)], k=80)) for _ in range(6)]
+    near = good[0].replace(good[0].split()[40], "other", 1)
+    item = " ".join(rng.choices([f"q{k}" for k in range(99)], k=20))
+    rows = [(None, good[0]), (None, "bad"), (None, good[1] + " " + item), (5, good[2]), (5, "bad"), (7, good[3] + " " + item), (7, good[4]), (8, good[5]), (9, good[5]), (9, good[3]), (11, near), (12, None), (13, ""), (14, good[2].upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("_bad", "_gone", "_id", "_t", "_host", "_left", "ledger", "n_lines", "n_dropped", "id", "row"):
+        docs = docs.withColumn(name, F.lit(name))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long_ones = [(i, t) for i, t in rows if t and len(t) > 9]
+    want = {
+        "quality rules": Counter(long_ones),
+        "near dedup": Counter((i, t) for i, t in rows if (i, t) not in {(9, good[5]), (9, good[3]), (14, good[2].upper())})  # (9, good[3]) stands in a text of 7 nearly whole,
+        "decontamination": Counter((i, t) for i, t in rows if not t or item not in t),
+        "line dedup": Counter(rows),
+    }
+    for name, stage in c.STAGES[:-1]:
+        if name == "line dedup":
+            rows_in = docs.withColumn("source", F.concat("source", F.monotonically_increasing_id()))  # every page a site of its own
+        else:
+            rows_in = docs
+        got = stage(spark, rows_in, str(tmp_path))
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert Counter((r.doc_id, r.text) for r in found) == want[name], name
+        assert all(r[x] == x for r in found for x in ("_bad", "_gone", "_id", "n_dropped"))
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    packed = c.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.count() == len(rows) and c.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_minhash_repeated_ids_and_rows(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(500)], k=60)) for _ in range(5)]
+    rows = [(5, texts[0]), (5, texts[1]), (2, texts[0]), (5, texts[0] + " more"), (7, texts[1])] + [(9, texts[2])] * 300 + [(8, texts[2] + " x")] * 2 + [(None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == Counter({(5, 2, False): 2, (5, 5, True): 1, (2, 2, True): 1, (7, 5, False): 1, (9, 8, False): 300, (8, 8, True): 2, (None, None, True): 1})
+    left = Counter((r.doc_id, r.text) for r in minhash.deduplicated(df).collect())
+    assert left == Counter({(5, texts[1]): 1, (2, texts[0]): 1, (8, texts[2] + " x"): 2, (None, texts[0]): 1})
