@@ -2,6 +2,11 @@
 
 Counted as part of strandspark.llm. Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's docs; all but the last return the columns of documents.
+
+Rows are judged one by one, not by their ids. Defined results for all stages: a row with a null id is judged as any other, and is a
+group of its own in near dedup; rows of one id are each kept or dropped by their own text, and repeated rows share one fate; a null
+or empty text has no words, so the quality rules drop it, and a stage called by itself passes it on (packing: its end id alone);
+extra columns come through whatever they are called; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -10,29 +15,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandspark.llm import decontam, linededup, minhash, packing, quality
-from strandspark.llm.runtime import kept_table, small
+from strandspark.llm.runtime import free_name, kept_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs less those that the current policy rejects."""
-    bad = quality.with_policies(quality.ledger(docs)).filter("not kept").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(small(kept_table(bad, "rejected")), docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """docs less the rows that the current policy rejects, read off their ledger bits."""
+    return quality.accepted(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs less their sources' boilerplate lines; n_chars follows the text."""
-    out = linededup.drop_lines(docs).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    lines, dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
+    out = linededup.drop_lines(docs, n_lines=lines, n_dropped=dropped)
+    out = out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, that with the smallest id."""
-    gone = minhash.near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(kept_table(gone, "copies")), docs["doc_id"] == F.col("_gone"), "left_anti")
+    return minhash.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs less those in which an item of the benchmark stands."""
+    """docs less the rows in which an item of the benchmark stands."""
     return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
