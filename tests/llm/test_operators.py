@@ -516,7 +516,7 @@ def test_pipeline_stages_judge_rows_not_ids(spark, tmp_path):
     long_ones = [(i, t) for i, t in rows if t and len(t) > 9]
     want = {
         "quality rules": Counter(long_ones),
-        "near dedup": Counter((i, t) for i, t in rows if (i, t) not in {(9, good[5]), (9, good[3]), (14, good[2].upper())})  # (9, good[3]) stands in a text of 7 nearly whole,
+        "near dedup": Counter((i, t) for i, t in rows if (i, t) not in {(9, good[5]), (9, good[3]), (14, good[2].upper())}),  # (9, good[3]) is most of a text of 7
         "decontamination": Counter((i, t) for i, t in rows if not t or item not in t),
         "line dedup": Counter(rows),
     }
