@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .runtime import discard, free_name, kept_table, small, text_pieces
+from .runtime import discard, free_name, kept_table, small, text_pieces, weighted_join
 
 U = np.uint64
 
@@ -35,6 +35,7 @@ class Params:
     rows: int = 4
     leaders: int = 5
     star_rounds: int = 2
+    first_bands: int = 4
 
 
 def sketch(value: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
@@ -160,16 +161,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _star(members: DataFrame, p: Params, turn: int) -> DataFrame:
-    """Pairs of each member (key, id) with its key's leaders: in each of p.leaders hashed parts of a key, the smallest id under an exclusive-or with a constant."""
+    """members (key, id, label, ...) with size, the number of their key's members, and heads, its leaders: in each of p.leaders hashed parts of a key, the smallest id under an exclusive-or with a
+    constant, and its label."""
     flip = F.lit(int(W.mix(np.array([turn], U))[0] >> U(1)) if turn else 0)
     part = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(p.leaders))
-    heads = members.groupBy("key", part.alias("part")).agg(F.min(F.col("id").bitwiseXOR(flip)).alias("head"), F.count(F.lit(1)).alias("size"))
-    heads = heads.groupBy("key").agg(F.collect_list(F.col("head").bitwiseXOR(flip)).alias("heads"), F.sum("size").alias("size")).filter("size > 1")
-    return members.join(heads, "key")
+    heads = members.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.col("id").bitwiseXOR(flip).alias("x"), "label")).alias("head"), F.count(F.lit(1)).alias("size"))
+    leader = F.struct(F.col("head.x").bitwiseXOR(flip).alias("id"), F.col("head.label").alias("label"))
+    heads = heads.groupBy("key").agg(F.collect_list(leader).alias("heads"), F.sum("size").alias("size")).filter("size > 1")
+    return weighted_join(members, kept_table(heads, "heads"), ["key"], "size")
 
 
 def _pairs(starred: DataFrame) -> DataFrame:
-    both = starred.select("id", F.explode("heads").alias("head")).filter("id <> head")
+    """Pairs of the members and their key's leaders of another label."""
+    both = starred.select("id", "label", F.explode("heads").alias("head")).filter("label <> head.label").select("id", F.col("head.id").alias("head"))
     return both.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
 
 
@@ -190,10 +194,11 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _labelled(docs: DataFrame, p: Params) -> DataFrame:
     """(id, t, n, component) for each row of docs (id, t, text).
 
-    Equal sets are collapsed by a digest into nodes with numbers of their own. Each band bucket is first compared with a few
-    leaders, a number linear in its members, which joins what is one class. Then only members outside a bucket's largest class are
-    compared with others, and of these only those that share one of their rarest shingles, as any two linked sets do; so no link
-    that a band shows is lost, and the members of one class are never compared pair by pair.
+    Equal sets are collapsed by a digest into nodes with numbers of their own. The members of the first bands' buckets are compared
+    with a few leaders, a number linear in the members, which joins most of what is one class. Then, over all bands, only members
+    outside a bucket's largest class are compared with leaders of other classes, and at last with all others that share one of
+    their rarest shingles, as any two linked sets do; so no link that a band shows is lost, and the members of one class are never
+    compared pair by pair.
     """
     table = kept_table(sketches(docs, p), "sketches")
     rows = table.filter("n > 0 and id is not null").groupBy("d1", "d2", "id", "t").agg(F.count(F.lit(1)).alias("m"))
@@ -202,33 +207,30 @@ def _labelled(docs: DataFrame, p: Params) -> DataFrame:
     own = table.select(F.col("id").alias("rep"), "t", "d1", "d2", "n", "bands").join(nodes.select("id", "rep", "t", "d1", "d2", "m"), ["rep", "t", "d1", "d2"])
     once = own.filter("m = 1").select("id", "n", "bands")
     reps = kept_table(once if nodes.filter("m > 1").isEmpty() else once.unionByName(own.filter("m > 1").groupBy("id").agg(F.min("n").alias("n"), F.min("bands").alias("bands"))), "reps")
-    members = kept_table(_star(reps.select("id", F.explode("bands").alias("key")), p, 0), "members")
-    pairs = kept_table(_pairs(members), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    keys = reps.select("id", F.posexplode("bands").alias("band", "key"))
+    sizes = kept_table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "keys")
+    members = kept_table(weighted_join(keys, sizes, ["key"], "size").select("key", "id", "band"), "members")
+    wanted = members.select("id").distinct()
     sets = kept_table(full_sets(_texts(docs, kept_table(nodes.join(wanted, "id", "left_semi").select("id", "rep", "t", "m"), "wanted")), p), "sets")
+    # a few bands join most of what is one class; all bands are then looked at for what is still apart
+    pairs = kept_table(_pairs(_star(members.filter(F.col("band") < p.first_bands).withColumn("label", F.col("id")), p, 0)), "pairs")
     edges = kept_table(verified(pairs, sets, p), "links")
     labels = components(edges)
-    members = members.filter(F.col("size") - F.size("heads") > 1).select("key", "id")
     for turn in range(1, p.star_rounds + 2):
         unsettled = _unsettled(members, labels)
         if unsettled is None:
             break
         # other leaders first, as a large class may still be in pieces; at last all pairs that a rare shingle shows
-        more = _pairs(_star(unsettled.select("key", "id"), p, turn)) if turn <= p.star_rounds else _shared(_rare(unsettled, sets, p), p)
+        more = _pairs(_star(unsettled, p, turn).filter("todo")) if turn <= p.star_rounds else _shared(_rare(unsettled, sets, p), p)
         more = kept_table(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
         found = kept_table(verified(more, sets, p), "links")
         pairs, edges = pairs.unionByName(more), edges.unionByName(found)
         if not found.isEmpty():
             labels = components(edges)
     named = nodes.join(labels.withColumnRenamed("label", "head"), "id", "left").select("d1", "d2", "rep", "c", F.coalesce("head", "id").alias("head"))
-    least = named.groupBy("head").agg(F.min("rep").alias("component"))
-    classes = kept_table(named.join(least, "head").filter("c > 1 or component <> rep").select("d1", "d2", "component", "c"), "classes")
-    # a set that holds more than a 10,000th of all rows, of which there are at most 10,000, is broadcast; no other key of the join is large
-    most = (nodes.agg(F.sum("c")).first()[0] or 0) / 10_000
-    keys = table.select("id", "t", "n", "d1", "d2")
-    hot, rest = classes.filter(F.col("c") > most).drop("c"), classes.filter(F.col("c") <= most).drop("c")
-    cold = keys.join(F.broadcast(hot.select("d1", "d2")), ["d1", "d2"], "left_anti").join(small(rest), ["d1", "d2"], "left")
-    both = keys.join(F.broadcast(hot), ["d1", "d2"]).unionByName(cold)
+    least = kept_table(named.groupBy("head").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("size")), "least")
+    classes = kept_table(weighted_join(named, least, ["head"], "size").filter("c > 1 or component <> rep").select("d1", "d2", "component", "c"), "classes")
+    both = weighted_join(table.select("id", "t", "n", "d1", "d2"), classes, ["d1", "d2"], "c", "left", nodes.agg(F.sum("c")).first()[0] or 0)
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
     return both.select("id", "t", "n", F.when(linked, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component"))
 
@@ -256,8 +258,9 @@ def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame | None:
     """(key, id, label, todo) of the members of those keys that still hold several classes; todo: outside a key's largest class."""
     now = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     sizes = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("key").agg(F.max_by("label", "c").alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    now = kept_table(now.join(largest.select("key", "main"), "key").select("key", "id", "label", (F.col("label") != F.col("main")).alias("todo")), "open")
+    largest = sizes.groupBy("key").agg(F.max_by("label", "c").alias("main"), F.count(F.lit(1)).alias("classes"), F.sum("c").alias("members")).filter("classes > 1")
+    largest = kept_table(largest, "largest")
+    now = kept_table(weighted_join(now, largest, ["key"], "members").select("key", "id", "label", (F.col("label") != F.col("main")).alias("todo")), "open")
     return None if now.isEmpty() else now
 
 

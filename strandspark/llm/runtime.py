@@ -51,6 +51,15 @@ def small(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
+def weighted_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """rows joined with a kept table that has one row for each key and in `weight` how many rows have it. The keys of more than a 10,000th of the total weight, of which there are at most 10,000, are
+    broadcast, so that no task gets all rows of a hot key; the others meet in a broadcast within BROADCAST_ROWS or a shuffle."""
+    most = (total if total is not None else table.agg(F.sum(weight)).first()[0] or 0) / 10_000
+    hot, rest = F.broadcast(table.filter(F.col(weight) > most)), table.filter(F.col(weight) <= most)
+    cold = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold.join(small(rest), keys, how))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores behind it until df has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import free_name, kept_table, shared_path, small
+from .runtime import free_name, kept_table, shared_path, small, weighted_join
 from .tokens import _store
 
 MAGIC = 0x184D2A5D
@@ -150,12 +150,7 @@ def deduplicated(pages: DataFrame, first: str, min_revisit: int = 0, id_col: str
     rows = kept_table(pages.select(F.col(id_col).cast("long").alias("id"), sha.alias("sha"), F.coalesce(F.octet_length(html_col), F.lit(0)).alias("size")), "digests")
     rows = rows.filter((F.col("size") >= min_revisit) & F.col("id").isNotNull()).select("id", "sha")
     firsts = rows.groupBy("sha").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most")
-    # a payload of more than a 10,000th of all rows, of which there are at most 10,000, is broadcast; no other key is large
-    many = rows.count() / 10_000
-    firsts = kept_table(firsts, "payloads")
-    hot = F.broadcast(firsts.filter(F.col("n") > many).select("sha", "least"))
-    cold = rows.join(hot.select("sha"), "sha", "left_anti").join(firsts.filter(F.col("n") <= many).select("sha", "least"), "sha")
-    again = rows.join(hot, "sha").unionByName(cold).filter("id > least").distinct()
+    again = weighted_join(rows, kept_table(firsts, "payloads"), ["sha"], "n", total=rows.count()).filter("id > least").select("id", "sha", "least").distinct()
     id_, sha_ = free_name(pages, "_id"), free_name(pages, "_sha")
     again = small(kept_table(again.select(F.col("id").alias(id_), F.col("sha").alias(sha_), F.col("least").alias(first)), "revisits"), 500_000)
     return pages.join(again, (pages[id_col].cast("long") == F.col(id_)) & (sha == F.col(sha_)), "left").drop(id_, sha_)
