@@ -42,8 +42,8 @@ def gc_fraction(strand: Column) -> Column:
 
 def longest_run(strand: Column) -> Column:
     """Length of the longest run of one base; 0 for an empty strand."""
-    runs = F.regexp_extract_all(strand, F.lit("(A+|C+|G+|T+)"), F.lit(0))
-    return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
+    runs = F.regexp_extract_all(strand, F.lit("AA+|CC+|GG+|TT+"), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(runs, F.length)), F.when(F.length(strand) > 0, 1).otherwise(0))
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,7 @@ class Constraints:
 
 
 def accepts(strand: Column, c: Constraints = Constraints()) -> Column:
-    return gc_fraction(strand).between(c.min_gc, c.max_gc) & (longest_run(strand) <= c.max_run)
+    return gc_fraction(strand).between(c.min_gc, c.max_gc) & ~strand.rlike("|".join(b * (c.max_run + 1) for b in BASES))
 
 
 def violations(strand: Column, c: Constraints = Constraints()) -> Column:

@@ -19,11 +19,10 @@ def wilson(successes: Column, trials: Column, z: float = Z_SHORT) -> tuple[Colum
 
 
 def mcnemar(only_left: Column, only_right: Column) -> Column:
-    """Two-sided exact binomial p of discordant counts: 1 without any. Sums over logs of factorials, so that large counts neither overflow nor need a loop."""
-    d = only_left + only_right
-    few = F.least(only_left, only_right)
-    zero = F.lit(0.0)
-    log_f = lambda n: F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), zero, lambda s, k: s + F.log(k.cast("double")))
-    terms = F.transform(F.sequence(F.lit(0), few.cast("int")), lambda i: F.exp(log_f(d) - log_f(i) - log_f(d - i) - d * F.log(F.lit(2.0))))
-    total = F.aggregate(terms, zero, lambda s, x: s + x)
+    """Two-sided exact binomial p of discordant counts: 1 without any. The logs of the binomial terms follow from one another, so large counts neither overflow nor take more than one step each."""
+    d = (only_left + only_right).cast("double")
+    few = F.least(only_left, only_right).cast("int")
+    start = F.struct((-d * F.log(F.lit(2.0))).alias("log"), F.lit(0.0).alias("sum"))
+    step = lambda s, i: F.struct((s["log"] + F.log((d - i) / (i + 1))).alias("log"), (s["sum"] + F.exp(s["log"])).alias("sum"))
+    total = F.aggregate(F.sequence(F.lit(0), few), start, step, lambda s: s["sum"])
     return F.when(d == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -19,9 +19,14 @@ def summary(trials: DataFrame, keys: list[str] = KEYS, z: float = stats.Z_SHORT)
     return rows.withColumn("rate", F.col("successes") / F.col("trials")).withColumn("low", low).withColumn("high", high)
 
 
+def _one_of(rows: DataFrame, keys: list[str], chosen: Column) -> DataFrame:
+    """rows with one row for each key, chosen by an aggregate, which combines before the shuffle."""
+    return rows.groupBy(*keys).agg(chosen.alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+
+
 def last_of(trials: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last trial of each key."""
-    return trials.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)))).filter("_n = 1").drop("_n")
+    return _one_of(trials, keys, F.max_by(F.struct(*(c for c in trials.columns if c not in keys)), F.struct(*order)))
 
 
 def paired_effects(trials: DataFrame, baseline: str, order: list[str]) -> DataFrame:
@@ -46,11 +51,12 @@ def mcnemar(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -
 
 def regret(trials: DataFrame, candidates: list[str]) -> DataFrame:
     """(strategy, groups, mean_regret, best): against the best candidate of the same scenario, size and seed, where it has two or more. Utility = recovered - .20 overhead / max - .05 runtime / max."""
-    own = Window.partitionBy("scenario", "payload_size", "seed")
+    keys = ["scenario", "payload_size", "seed"]
     rows = trials.filter(F.col("strategy").isin(candidates))
-    rows = rows.withColumn("u", F.col("recovered").cast("int") - 0.20 * F.col("overhead") / F.max("overhead").over(own) - 0.05 * F.col("runtime") / F.max("runtime").over(own))
-    rows = rows.withColumn("top", F.max("u").over(own)).withColumn("kinds", F.size(F.collect_set("strategy").over(own))).filter("kinds >= 2")
-    each = rows.groupBy("scenario", "payload_size", "seed", "strategy").agg(F.max("u").alias("u"), F.max("top").alias("top"))
+    most = rows.groupBy(*keys).agg(F.max("overhead").alias("_o"), F.max("runtime").alias("_r"), F.size(F.collect_set("strategy")).alias("_kinds")).filter("_kinds >= 2")
+    u = F.col("recovered").cast("int") - 0.20 * F.col("overhead") / F.col("_o") - 0.05 * F.col("runtime") / F.col("_r")
+    each = rows.join(most, keys).groupBy(*keys, "strategy").agg(F.max(u).alias("u"))
+    each = each.withColumn("top", F.max("u").over(Window.partitionBy(*keys)))  # a row for each strategy
     return each.groupBy("strategy").agg(F.count(F.lit(1)).alias("groups"), F.avg(F.greatest(F.lit(0.0), F.col("top") - F.col("u"))).alias("mean_regret"), F.count_if(F.col("top") == F.col("u")).alias("best"))
 
 
@@ -71,7 +77,7 @@ def completed_by_all(rows: DataFrame, item: str, method: str) -> DataFrame:
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in the given order."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+    return _one_of(rows, keys, F.min_by(F.struct(*(c for c in rows.columns if c not in keys)), F.struct(*order)))
 
 
 def distances(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -86,3 +92,43 @@ def distances(rows: DataFrame, by: list[str]) -> DataFrame:
 def conflicts(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """(keys, copies, versions): how often each key occurs and in how many different contents; more than one is a conflict."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), F.count_distinct(F.sha2(F.to_json(F.struct(*fields)), 256)).alias("versions"))
+
+
+def profile_comparison(left: DataFrame, right: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """(keys, left_/right_/change_ of each metric, side): two summaries side by side, keys that only one of them has included."""
+    a = left.select(*keys, *(F.col(m).alias(f"left_{m}") for m in metrics), F.lit(True).alias("_l"))
+    b = right.select(*keys, *(F.col(m).alias(f"right_{m}") for m in metrics), F.lit(True).alias("_r"))
+    side = F.when(F.col("_r").isNull(), "left only").when(F.col("_l").isNull(), "right only").otherwise("both")
+    return a.join(b, keys, "full").select(*keys, *(c for m in metrics for c in (f"left_{m}", f"right_{m}")), *((F.col(f"right_{m}") - F.col(f"left_{m}")).alias(f"change_{m}") for m in metrics), side.alias("side"))
+
+
+def timeouts(trials: DataFrame, keys: list[str], limit: float) -> DataFrame:
+    """(keys, trials, timeouts, completed, recovered, timeout_rate, median_runtime): trials above the limit count as timed out, and the median is that of the others."""
+    late = F.col("runtime") > limit
+    return trials.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("trials"), F.count_if(late).alias("timeouts"), F.count_if(~late).alias("completed"), F.count_if(~late & F.col("recovered")).alias("recovered"),
+        F.avg(late.cast("int")).alias("timeout_rate"), F.median(F.when(~late, F.col("runtime"))).alias("median_runtime"),
+    )
+
+
+def partials(trials: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of one shard of trials that add up over shards."""
+    return trials.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("recovered").cast("long")).alias("successes"), F.sum("overhead").alias("overhead"), F.sum("runtime").alias("runtime"))
+
+
+def reaggregated(shards: list[DataFrame], keys: list[str], z: float = stats.Z_SHORT) -> DataFrame:
+    """The summary of all shards' partials."""
+    rows = shards[0]
+    for x in shards[1:]:
+        rows = rows.unionByName(x)
+    rows = rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", "successes", "overhead", "runtime")))
+    low, high = stats.wilson(F.col("successes"), F.col("n"), z)
+    mean = {f"mean_{c}": F.col(c) / F.col("n") for c in ("overhead", "runtime")}
+    return rows.select(*keys, F.col("n").alias("trials"), "successes", (F.col("successes") / F.col("n")).alias("rate"), low.alias("low"), high.alias("high"), *(v.alias(k) for k, v in mean.items()))
+
+
+def assignment_summary(assigned: DataFrame, total: DataFrame) -> DataFrame:
+    """(reads, mapped, mapping_rate, reversed, references, median_distance, exact) of assigned (id, ref, reverse, distance) among all reads of total."""
+    all_ = total.agg(F.count(F.lit(1)).alias("reads"))
+    own = assigned.agg(F.count(F.lit(1)).alias("mapped"), F.count_if("reverse").alias("reversed"), F.count_distinct("ref").alias("references"), F.median("distance").alias("median_distance"), F.count_if(F.col("distance") == 0).alias("exact"))
+    return all_.join(own).select("reads", "mapped", (F.col("mapped") / F.col("reads")).alias("mapping_rate"), "reversed", "references", "median_distance", "exact")

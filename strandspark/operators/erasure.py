@@ -1,6 +1,6 @@
 """Redundancy over chunks: XOR groups, single repair, interleaved sparse XOR symbols, peeling and elimination, soliton weights.
 
-Chunks are (archive, idx, payload binary); the XOR aggregate works on the bytes' positions with bit_xor, so it combines on the
+Chunks are (archive, idx, payload binary); the XOR aggregate works on longs of seven bytes with bit_xor, so it combines on the
 map side and no group is ever collected; only what peeling leaves of an archive is solved in one task.
 """
 
@@ -23,24 +23,23 @@ def chunks(payloads: DataFrame, size: int, key: str = "archive", data: str = "pa
     return rows.select(key, F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("idx"), "_all", "total").select(key, "idx", F.substring(F.col("_all"), F.col("idx") * size + 1, F.lit(size)).alias("payload"), "total")
 
 
-def _cells(rows: DataFrame, keys: list[str], data: str, width: int) -> DataFrame:
-    """One row for each byte: (keys, pos, v)."""
-    hexed = rows.filter(F.octet_length(data) > 0).select(*keys, F.hex(F.substring(F.col(data), 1, width)).alias("_hex"))
-    placed = hexed.select(*keys, "_hex", F.explode(F.sequence(F.lit(0), (F.length("_hex") / 2).cast("int") - 1)).alias("pos"))
-    return placed.select(*keys, "pos", F.conv(F.substring(F.col("_hex"), F.col("pos") * 2 + 1, F.lit(2)), 16, 10).cast("int").alias("v"))
+def _words(data: Column, width: int) -> list[Column]:
+    """A binary as longs of seven bytes each, padded with zeros at its end. `data`: its hex digits."""
+    padded = F.rpad(data, 14 * -(-width // 7), "0")
+    return [F.conv(F.substring(padded, 14 * k + 1, 14), 16, 10).cast("long") for k in range(-(-width // 7))]
 
 
-def xor_cells(rows: DataFrame, keys: list[str], data: str = "payload", width: int = 255) -> DataFrame:
-    """(keys, pos, v): the XOR of the payloads of each key, by byte."""
-    return _cells(rows, keys, data, width).groupBy(*keys, "pos").agg(F.bit_xor("v").alias("v"))
+def _joined(words: list[Column], width: int) -> Column:
+    return F.unhex(F.substring(F.concat(*(F.lpad(F.hex(w), 14, "0") for w in words)), 1, 2 * width))
 
 
 def xor_payloads(rows: DataFrame, keys: list[str], data: str = "payload", width: int = 255) -> DataFrame:
-    """(keys, payload): as one binary of the width, right-padded with zeros. A key's cells are at most width many."""
-    cells = xor_cells(rows, keys, data, width)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "v")))
-    text = F.array_join(F.transform(ordered, lambda x: F.lpad(F.hex(x["v"]), 2, "0")), "")
-    return cells.groupBy(*keys).agg(text.alias("_hex")).select(*keys, F.unhex(F.rpad("_hex", 2 * width, "0")).alias("payload"))
+    """(keys, payload): the XOR of the payloads of each key, as one binary of the width, right-padded with zeros. A payload is a few longs, whose bit_xor combines on the map side."""
+    hexed = rows.filter(F.octet_length(data) > 0).select(*keys, F.hex(F.substring(F.col(data), 1, width)).alias("_hex"))
+    n = -(-width // 7)
+    cells = hexed.select(*keys, *(w.alias(f"_w{k}") for k, w in enumerate(_words(F.col("_hex"), width))))
+    sums = cells.groupBy(*keys).agg(*(F.bit_xor(f"_w{k}").alias(f"_w{k}") for k in range(n)))
+    return sums.select(*keys, _joined([F.col(f"_w{k}") for k in range(n)], width).alias("payload"))
 
 
 def parity(chunk_rows: DataFrame, group: int, width: int, key: str = "archive") -> DataFrame:
@@ -50,13 +49,20 @@ def parity(chunk_rows: DataFrame, group: int, width: int, key: str = "archive")
 
 
 def repaired(known: DataFrame, parities: DataFrame, totals: DataFrame, group: int, width: int, key: str = "archive") -> DataFrame:
-    """known (archive, idx, payload) and the chunks that parity restores: those that are alone missing in a group whose parity is known. totals: (archive, total)."""
-    spine = totals.select(key, F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("idx"))
-    missing = spine.join(known.select(key, "idx"), [key, "idx"], "left_anti").withColumn("grp", F.floor(F.col("idx") / group).cast("int"))
-    one = missing.groupBy(key, "grp").agg(F.min("idx").alias("idx"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n").join(parities.select(key, "grp"), [key, "grp"], "left_semi")
-    members = known.withColumn("grp", F.floor(F.col("idx") / group).cast("int")).join(one.select(key, "grp"), [key, "grp"], "left_semi").select(key, "grp", "payload")
-    filled = xor_payloads(members.unionByName(parities.select(key, "grp", "payload").join(one.select(key, "grp"), [key, "grp"], "left_semi")), [key, "grp"], "payload", width)
-    return known.select(key, "idx", "payload").unionByName(filled.join(one, [key, "grp"]).select(key, "idx", "payload"))
+    """known (archive, idx, payload) and the chunks that parity restores: those that are alone missing in a group whose parity is known. totals: (archive, total).
+
+    One aggregate gives each group's XOR with its parity, and the count and sum of its known indexes, from which a lone missing one follows."""
+    n = -(-width // 7)
+    data = known.select(key, F.floor(F.col("idx") / group).cast("int").alias("grp"), F.col("idx").cast("long").alias("_idx"), F.lit(0).alias("_parity"), F.col("payload"))
+    block = parities.select(key, F.col("grp").cast("int").alias("grp"), F.lit(None).cast("long").alias("_idx"), F.lit(1).alias("_parity"), "payload")
+    hexed = data.unionByName(block).select(key, "grp", "_idx", "_parity", F.hex(F.substring(F.col("payload"), 1, width)).alias("_hex"))
+    cells = hexed.select(key, "grp", "_idx", "_parity", *(w.alias(f"_w{k}") for k, w in enumerate(_words(F.col("_hex"), width))))
+    sums = cells.groupBy(key, "grp").agg(F.count("_idx").alias("_n"), F.coalesce(F.sum("_idx"), F.lit(0)).alias("_sum"), F.max("_parity").alias("_parity"), *(F.bit_xor(f"_w{k}").alias(f"_w{k}") for k in range(n)))
+    first = F.col("grp").cast("long") * group
+    size = F.least(F.lit(group).cast("long"), F.col("total") - first)
+    lone = sums.filter("_parity = 1").join(totals.select(key, F.col("total").cast("long").alias("total")), key).filter(size - F.col("_n") == 1)
+    idx = size * first + (size * (size - 1) / 2).cast("long") - F.col("_sum")
+    return known.select(key, "idx", "payload").unionByName(lone.select(key, idx.cast("int").alias("idx"), _joined([F.col(f"_w{k}") for k in range(n)], width).alias("payload")))
 
 
 def coprime_multiplier(total: int, layer: int) -> int:

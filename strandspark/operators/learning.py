@@ -63,3 +63,10 @@ def predicted(rows: DataFrame, coefficients: np.ndarray) -> DataFrame:
     """rows with their predicted utility."""
     parts = [float(c) * x for c, x in zip(coefficients, features(), strict=True)]
     return rows.withColumn("utility", sum(parts[1:], parts[0]))
+
+
+def recommended(scores: DataFrame, by: str) -> DataFrame:
+    """The one policy with the best score, the smallest of equal ones."""
+    policy = F.struct(*((-F.col(c)).alias(c) for c in POLICY))
+    best = scores.agg(F.max(F.struct(F.col(by).alias("best"), policy.alias("policy"))).alias("x"))
+    return best.filter("x is not null").select(*((-F.col(f"x.policy.{c}")).alias(c) for c in POLICY), F.col("x.best").alias(by))

@@ -94,6 +94,18 @@ def tier_scores(workloads: DataFrame, key: str, assumptions: dict | None = None,
     return scored.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), place))).select(key, "tier", "score", "nth")
 
 
+def tier_terms(workloads: DataFrame, key: str) -> DataFrame:
+    """(key, tier, one column for each trait term, penalty): what a tier's score adds up from."""
+    rows = workloads.withColumn("tier", F.explode(F.array(*map(F.lit, TIERS))))
+    tier = F.col("tier")
+    needs = {"retention_need": F.least(F.lit(1.0), F.col("retention_years") / 100), "access_need": F.least(F.lit(1.0), F.col("accesses_per_year") / 365), "probability_need": F.coalesce("access_probability", F.lit(0.0))}
+    names = ("latency", "mutable", "durability", "idle_energy", "long_term", "redundancy")
+    trait = lambda t: _by_tier(tier, {x: v[names.index(t)] for x, v in TIERS.items()})
+    terms = [(w * trait(t) * (needs[n] if n in needs else F.col(n))).alias(f"{t}_{n}") for w, t, n in TERMS]
+    penalty = F.when(tier == "dna_future", DNA_PENALTY[0] * F.col("retrieval_urgency") + DNA_PENALTY[1] * F.col("mutability")).otherwise(0.0)
+    return rows.select(key, "tier", *terms, penalty.alias("penalty"))
+
+
 def objective_of(workloads: DataFrame) -> DataFrame:
     """Durability, overhead and speed priorities of workloads."""
     return workloads.withColumn("durability", F.col("durability_priority")).withColumn("overhead_priority", F.col("cost_priority")).withColumn("speed_priority", F.col("retrieval_urgency"))
@@ -123,7 +135,7 @@ def objective_rank(candidates: DataFrame, keys: list[str], weights: dict[str, fl
     total = sum(weights.values())
     within = within or []
     tops = candidates.groupBy(*within).agg(*(F.max(x).alias(f"max_{x}") for x in ("overhead", "redundancy", "runtime")))
-    rows = candidates.join(F.broadcast(tops), within) if within else candidates.crossJoin(F.broadcast(tops))
+    rows = candidates.join(tops, within) if within else candidates.join(F.broadcast(tops))
     share = lambda x: F.when(F.col(f"max_{x}") > 0, F.col(x) / F.col(f"max_{x}")).otherwise(0.0) if x in ("overhead", "redundancy", "runtime") else F.col(x)
     score = reduce(Column.__add__, [F.lit(sign * weights.get(x, 0.0) / total) * share(x) for x, sign in OBJECTIVE.items()])
     rows = rows.withColumn("score", score)

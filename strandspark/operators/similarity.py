@@ -109,12 +109,17 @@ def column_votes(members: DataFrame) -> DataFrame:
     return best.join(voters, "cluster", "left").join(texts, "cluster", "left").select("cluster", F.when(F.col("voters") >= 2, F.col("voted")).otherwise(F.col("medoid")).alias("consensus"))
 
 
-def nearest(reads: DataFrame, references: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(id, ref, similarity) of each read (id, seq): the most similar reference (ref, seq), the smallest on ties; null below the threshold. Distinct reads meet the stated references once, block by block."""
+def nearest(reads: DataFrame, references: DataFrame, threshold: float = 0.7, block: int = 200) -> DataFrame:
+    """(id, ref, similarity) of each read (id, seq): the most similar reference (ref, seq), the smallest on ties; null below the threshold. The references are the stated query set: they come
+    to each distinct read as literals, block by block, so no pairs are made as rows."""
     heads = reads.filter(F.trim("seq") != "").groupBy("seq").agg(F.min("id").alias("head"))
-    refs = references.select("ref", F.col("seq").alias("target"))
-    scored = heads.crossJoin(F.broadcast(refs)).select("seq", "ref", dna.similarity(F.col("seq"), F.col("target")).alias("similarity"))
-    best = scored.groupBy("seq").agg(F.max(F.struct("similarity", (-F.col("ref")).alias("neg"))).alias("x"))
+    refs = references.select("ref", "seq").filter("seq is not null").collect()
+    tops = []
+    for k in range(0, len(refs), block):
+        some = F.array(*(F.struct(F.lit(r["seq"]).alias("seq"), F.lit(r["ref"]).cast("long").alias("ref")) for r in refs[k : k + block]))
+        tops.append(F.array_max(F.transform(some, lambda x: F.struct(dna.similarity(F.col("seq"), x["seq"]).alias("similarity"), (-x["ref"]).alias("neg")))))
+    none = F.lit(None).cast("struct<similarity: double, neg: bigint>")
+    best = heads.select("seq", (F.array_max(F.array(*tops)) if tops else none).alias("x"))
     good = F.col("x.similarity") >= threshold
     return reads.join(best, "seq").select("id", F.when(good, -F.col("x.neg")).alias("ref"), F.when(good, F.col("x.similarity")).alias("similarity"))
 

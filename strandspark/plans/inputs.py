@@ -12,9 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer tasks than there are; large inputs, whose scans have tasks enough, are not shuffled."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() * 2 <= n else df
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(archive, payload): every document's whole text in UTF-8."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("archive"), F.encode("text", "UTF-8").alias("payload"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("archive"), F.encode("text", "UTF-8").alias("payload"))
 
 
 PAYLOADS = "payloads AS (SELECT doc_id AS archive, lower(hex(encode(text))) AS hexed, strlen(text) AS size FROM documents)"
@@ -23,7 +29,7 @@ PAYLOADS = "payloads AS (SELECT doc_id AS archive, lower(hex(encode(text))) AS h
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, seq): every document's whole text as a strand with one base for each word, by its length. Near copies are noisy reads of one template."""
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(F.transform(words, lambda w: F.substring(F.lit("ACGT"), F.length(w) % 4 + 1, F.lit(1))), "").alias("seq"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.array_join(F.transform(words, lambda w: F.substring(F.lit("ACGT"), F.length(w) % 4 + 1, F.lit(1))), "").alias("seq"))
 
 
 READS = rf"reads AS (SELECT doc_id AS id, array_to_string(list_transform(regexp_extract_all(text, '{WORD}'), lambda w: 'ACGT'[length(w) % 4 + 1]), '') AS seq FROM documents)"

@@ -25,19 +25,40 @@ layers AS (SELECT archive, total, unnest([1, 2]) AS layer FROM totals),
 mults AS (SELECT archive, total, layer, CASE WHEN total <= 1 THEN 1 ELSE list_min(list_filter(list_transform(range(0, 64), lambda i: greatest(3, 2 * layer + 1) + 2 * i), lambda m: gcd(m, total) = 1)) END AS mult, (layer * 2654435761) % total AS shift FROM layers),
 indexes AS (SELECT archive, layer, 1 + (layer - 1) * ((total + 7) // 8) + p // 8 AS seed, ((mult * p + shift) % total)::INT AS idx FROM (SELECT *, unnest(range(0, total)) AS p FROM mults))"""
 
-_EDGES = f"""{READS.replace('FROM documents)', "FROM documents WHERE regexp_matches(text, '" + WORD + "'))")},
-heads AS (SELECT seq, min(id) AS id, length(seq) AS n FROM reads GROUP BY seq),
-edges AS (SELECT a.id AS src, b.id AS dst, 1 - levenshtein(a.seq, b.seq)::DOUBLE / greatest(a.n, b.n) AS weight FROM heads a JOIN heads b
-  ON a.id < b.id AND abs(a.n - b.n) <= floor(0.1 * greatest(a.n, b.n) + 1e-9) WHERE levenshtein(a.seq, b.seq) <= floor((1 - 0.9::DOUBLE) * greatest(a.n, b.n) + 1e-12)
+# pairs that reach the threshold keep enough common 8-grams: k edits spoil at most 8 k
+_EDGES = f"""{READS.replace('reads AS (', 'reads AS MATERIALIZED (').replace('FROM documents)', "FROM documents WHERE regexp_matches(text, '" + WORD + "'))")},
+heads AS MATERIALIZED (SELECT seq, min(id) AS id, length(seq) AS n FROM reads GROUP BY seq),
+grams AS MATERIALIZED (SELECT DISTINCT id, substr(seq, pos, 8) AS gram FROM (SELECT id, seq, unnest(range(1, n - 6)) AS pos FROM heads WHERE n >= 8)),
+sizes AS MATERIALIZED (SELECT h.id, h.n, count(gram) AS g FROM heads h LEFT JOIN grams USING (id) GROUP BY ALL),
+common AS MATERIALIZED (SELECT x.id AS a, y.id AS b, count(*) AS c FROM grams x JOIN grams y ON x.gram = y.gram AND x.id < y.id GROUP BY ALL),
+near AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM sizes x JOIN sizes y ON x.id < y.id AND abs(x.n - y.n) <= floor(0.1 * greatest(x.n, y.n) + 1e-9) LEFT JOIN common ON common.a = x.id AND common.b = y.id
+  WHERE coalesce(c, 0) >= greatest(x.g, y.g) - 8 * floor(0.1 * greatest(x.n, y.n) + 1e-9)),
+edges AS MATERIALIZED (SELECT a.id AS src, b.id AS dst, 1 - levenshtein(a.seq, b.seq)::DOUBLE / greatest(a.n, b.n) AS weight FROM near JOIN heads a ON a.id = near.a JOIN heads b ON b.id = near.b
+  WHERE levenshtein(a.seq, b.seq) <= floor((1 - 0.9::DOUBLE) * greatest(a.n, b.n) + 1e-12)
   UNION ALL SELECT h.id, r.id, 1.0 FROM reads r JOIN heads h ON r.seq = h.seq WHERE r.id <> h.id)"""
-_CLASSES = f"""WITH RECURSIVE {_EDGES}, ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+_CLASSES = f"""WITH RECURSIVE {_EDGES}, ways AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 reach(a, b) AS (SELECT id, id FROM reads UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
-classes AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY 1),
-clusters AS (SELECT component AS cluster, r.id, r.seq FROM classes c JOIN reads r ON c.id = r.id WHERE component IN (SELECT component FROM classes GROUP BY 1 HAVING count(*) > 1)),
-counts AS (SELECT cluster, seq, count(*) AS freq FROM clusters GROUP BY ALL),
-costs AS (SELECT a.cluster, a.seq, sum(levenshtein(a.seq, b.seq) * b.freq) AS cost FROM counts a JOIN counts b ON a.cluster = b.cluster GROUP BY ALL),
+classes AS MATERIALIZED (SELECT a AS id, min(b) AS component FROM reach GROUP BY 1),
+clusters AS MATERIALIZED (SELECT component AS cluster, r.id, r.seq FROM classes c JOIN reads r ON c.id = r.id WHERE component IN (SELECT component FROM classes GROUP BY 1 HAVING count(*) > 1)),
+counts AS MATERIALIZED (SELECT cluster, seq, count(*) AS freq FROM clusters GROUP BY ALL),
+costs AS MATERIALIZED (SELECT a.cluster, a.seq, sum(levenshtein(a.seq, b.seq) * b.freq) AS cost FROM counts a JOIN counts b ON a.cluster = b.cluster GROUP BY ALL),
 medoids AS (SELECT cluster, seq AS medoid FROM costs QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY cost, length(seq), seq) = 1)"""
 
+_ANCHORED = f"""WITH {READS}, directions AS (SELECT id, false AS reverse, seq FROM reads UNION ALL SELECT id, true, translate(reverse(seq), 'ACGT', 'TGCA') FROM reads),
+g AS (SELECT id, substr(seq, pos + 1, 13) AS gram FROM (SELECT id, seq, unnest(range(20, length(seq) - 32, 8)) AS pos FROM reads WHERE length(seq) - 33 >= 20)),
+u AS (SELECT gram, min(id) AS ref FROM g GROUP BY 1 HAVING count(DISTINCT id) = 1),
+grams AS (SELECT id, reverse, substr(seq, pos, 13) AS gram FROM (SELECT id, reverse, seq, unnest(range(1, length(seq) - 11)) AS pos FROM directions WHERE length(seq) >= 13)),
+hits AS (SELECT id, reverse, ref, count(*) AS hits FROM grams JOIN u USING (gram) GROUP BY ALL),
+top AS (SELECT *, coalesce(lead(hits) OVER w, 0) AS nxt, row_number() OVER w AS nth FROM hits WINDOW w AS (PARTITION BY id, reverse ORDER BY hits DESC, ref)),
+found AS MATERIALIZED (SELECT t.id, t.reverse, t.ref, t.hits, t.nxt, b.seq, r.seq AS target FROM top t JOIN directions b ON t.id = b.id AND t.reverse = b.reverse JOIN reads r ON r.id = t.ref WHERE nth = 1 AND hits >= 3 AND hits - nxt >= 1),
+far AS MATERIALIZED (SELECT *, CASE WHEN seq = target THEN 0 WHEN length(seq) = length(target) AND list_sum(list_transform(range(1, length(seq) + 1), lambda i: (seq[i] <> target[i])::INT)) <= 15 THEN list_sum(list_transform(range(1, length(seq) + 1), lambda i: (seq[i] <> target[i])::INT))
+  WHEN abs(length(seq) - length(target)) <= 15 AND levenshtein(seq, target) <= 15 THEN levenshtein(seq, target) END::INT AS distance FROM found),
+anchored AS (SELECT id, ref, reverse, hits, distance FROM far WHERE distance IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, hits DESC, nxt - hits, ref, seq, reverse) = 1)"""
+
+_ROTATED = f"""{_CELLS}, trits AS (SELECT archive, idx, flatten(list_transform(range(0, (length(x) + 3) // 4), lambda p: list_transform(range(CASE WHEN length(substr(x, p * 4 + 1, 4)) = 4 THEN 0 ELSE 5 END, 11),
+  lambda k: (('0x' || substr(x, p * 4 + 1, 4))::INT // (3 ** (10 - k))::INT % 3)::VARCHAR))) AS t FROM chunks),
+strands AS (SELECT archive, idx, len(t) AS n, substr(list_reduce(list_concat(['A'], t), lambda s, v: s || substr(replace('ACGT', right(s, 1), ''), v::INT + 1, 1)), 2) AS seq FROM trits)"""
+
 _ACGT = f"array_to_string(list_transform(regexp_extract_all(text, '{WORD}'), lambda w: 'ACGT'[length(w) % 4 + 1]), '')"
 
 
@@ -153,6 +174,22 @@ SELECT lang, count(*) AS n, round(avg(x), 9) AS mean, median(x) AS median, max(x
     "empirical_policy": f"WITH {_OBSERVED} SELECT chunk_size, rs_nsym, parity_group, round(sum((CASE WHEN recovered THEN 1.0 ELSE -1.0 END - 0.15 * nucleotides / max_nt - 0.05 * runtime / max_rt) / (0.001 + {_L1})), 4) AS score, count(*) AS support FROM observed GROUP BY ALL",
     "kernel_policy": f"""WITH {_OBSERVED}, w AS (SELECT *, exp(-({_L2}) / 0.0008::DOUBLE) AS w, recovered::INT - 0.20 * nucleotides / max_nt - 0.05 * runtime / max_rt AS u FROM observed)
 SELECT chunk_size, rs_nsym, parity_group, round(CASE WHEN sum(w) <= 1e-15 THEN -1e6 ELSE sum(w * u) / sum(w) END, 9) AS utility FROM w GROUP BY ALL""",
+    "rotating_ternary": f"WITH {_ROTATED} SELECT archive, count(*) AS strands, sum(n)::BIGINT AS trits, min(seq) AS first, max(seq) AS last FROM strands GROUP BY 1",
+    "rotating_roundtrip": "SELECT doc_id AS archive, sha256(encode(text)) AS digest, true AS verified FROM documents",
+    "anchored_reads": f"{_ANCHORED} SELECT * FROM anchored",
+    "assignment_summary": f"{_ANCHORED} SELECT (SELECT count(*) FROM reads) AS reads, count(*) AS mapped, round(count(*)::DOUBLE / (SELECT count(*) FROM reads), 9) AS mapping_rate, count(*) FILTER (reverse) AS reversed, count(DISTINCT ref) AS \"references\", median(distance) AS median_distance, count(*) FILTER (distance = 0) AS exact FROM anchored",
+    "empirical_choice": f"WITH {_OBSERVED}, s AS (SELECT chunk_size, rs_nsym, parity_group, sum((CASE WHEN recovered THEN 1.0 ELSE -1.0 END - 0.15 * nucleotides / max_nt - 0.05 * runtime / max_rt) / (0.001 + {_L1})) AS score FROM observed GROUP BY ALL) SELECT chunk_size, rs_nsym, parity_group, round(score, 4) AS score FROM s ORDER BY s.score DESC, chunk_size, rs_nsym, parity_group LIMIT 1",
+    "kernel_choice": f"""WITH {_OBSERVED}, w AS (SELECT *, exp(-({_L2}) / 0.0008::DOUBLE) AS w, recovered::INT - 0.20 * nucleotides / max_nt - 0.05 * runtime / max_rt AS u FROM observed),
+s AS (SELECT chunk_size, rs_nsym, parity_group, CASE WHEN sum(w) <= 1e-15 THEN -1e6 ELSE sum(w * u) / sum(w) END AS utility FROM w GROUP BY ALL) SELECT chunk_size, rs_nsym, parity_group, round(utility, 9) AS utility FROM s ORDER BY s.utility DESC, chunk_size, rs_nsym, parity_group LIMIT 1""",
+    "tier_breakdown": f"WITH {WORKLOADS}, tiers AS (SELECT *, unnest(['ssd', 'object_archive', 'tape', 'dna_future']) AS tier FROM workloads) SELECT workload, tier, {', '.join(f'round({w}::DOUBLE * {_trait(t)} * {_NEEDS.get(n, n)}, 9) AS {t}_{n}' for w, t, n in scoring.TERMS)}, round(({_PENALTY})::DOUBLE, 9) AS penalty FROM tiers",
+    "timeout_summary": f"""WITH {TRIALS} SELECT strategy, scenario, count(*) AS trials, count(*) FILTER (runtime > 55) AS timeouts, count(*) FILTER (runtime <= 55) AS completed, count(*) FILTER (runtime <= 55 AND recovered) AS recovered,
+  round(avg((runtime > 55)::INT), 9) AS timeout_rate, round(median(runtime) FILTER (runtime <= 55), 6) AS median_runtime FROM trials GROUP BY ALL""",
+    "shard_summary": f"""WITH {TRIALS}, g AS (SELECT strategy, scenario, payload_size, count(*) AS n, sum(recovered::INT)::BIGINT AS s, avg(overhead) AS o, avg(runtime) AS r FROM trials GROUP BY ALL)
+SELECT strategy, scenario, payload_size, n AS trials, s AS successes, round(s::DOUBLE / n, 9) AS rate, round(greatest(0.0, {_wilson('-')}), 9) AS low, round(least(1.0, {_wilson('+')}), 9) AS high, round(o, 9) AS mean_overhead, round(r, 9) AS mean_runtime FROM g""",
+    "profile_changes": f"""WITH {TRIALS}, g AS (SELECT strategy, scenario, payload_size, avg(recovered::INT) AS rate, avg(runtime) AS rt FROM trials WHERE strategy <> 'fixed' OR payload_size < 5000 GROUP BY ALL),
+a AS (SELECT * FROM g WHERE strategy = 'fixed'), b AS (SELECT * FROM g WHERE strategy = 'combined')
+SELECT coalesce(a.scenario, b.scenario) AS scenario, coalesce(a.payload_size, b.payload_size) AS payload_size, CASE WHEN b.strategy IS NULL THEN 'left only' WHEN a.strategy IS NULL THEN 'right only' ELSE 'both' END AS side,
+  round(a.rate, 6) AS left_rate, round(b.rate, 6) AS right_rate, round(b.rate - a.rate, 6) AS change_rate, round(b.rt - a.rt, 6) AS change_mean_runtime FROM a FULL JOIN b ON a.scenario = b.scenario AND a.payload_size = b.payload_size""",
     "event_windows": """WITH e AS (SELECT DISTINCT user_id, ts, event_type FROM events), w AS (SELECT event_type, unnest([floor(epoch(ts))::BIGINT // 1800 * 1800, floor(epoch(ts))::BIGINT // 1800 * 1800 - 1800]) AS start FROM e)
 SELECT start, event_type, count(*) AS n FROM w GROUP BY ALL""",
 }

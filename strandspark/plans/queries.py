@@ -162,9 +162,17 @@ def soliton_cdf(spark, d):
 
 @query
 def rotating_ternary(spark, d):
-    """Benchmark items as strands without repeated bases."""
-    rows = archive.rotating(inputs.table(spark, d, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("payload")))
-    return rows.select("item_id", "seq", F.size("trits").alias("trits"))
+    """All documents' 32-byte chunks as strands without repeated bases."""
+    rows = archive.rotating(erasure.chunks(inputs.payloads(spark, d), 32))
+    return rows.groupBy("archive").agg(F.count(F.lit(1)).alias("strands"), F.sum(F.size("trits")).alias("trits"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
+@query
+def rotating_roundtrip(spark, d):
+    """Rotating strands of all documents' chunks back to bytes, put together."""
+    p = inputs.payloads(spark, d)
+    rows = archive.unrotated(archive.rotating(erasure.chunks(p, 32)).select("archive", "idx", "seq"))
+    return archive.joined(rows, archive.metadata(p, archive.Config(32))).select("archive", F.sha2("payload", 256).alias("digest"), "verified")
 
 
 @query
@@ -402,6 +410,60 @@ def ridge_policy(spark, d):
     return learning.predicted(o, learning.ridge(o)).groupBy(*learning.POLICY).agg(F.avg("utility").alias("utility"), F.count(F.lit(1)).alias("n"))
 
 
+@query
+def empirical_choice(spark, d):
+    """The policy that the inverse-distance votes recommend."""
+    best = learning.recommended(learning.empirical(inputs.observations(spark, d), QUERY), "score")
+    return best.select(*learning.POLICY, F.round("score", 4).alias("score"))
+
+
+@query
+def kernel_choice(spark, d):
+    """The policy that the kernel regression recommends."""
+    best = learning.recommended(learning.kernel(inputs.observations(spark, d), QUERY), "utility")
+    return best.select(*learning.POLICY, F.round("utility", 9).alias("utility"))
+
+
+@query
+def tier_breakdown(spark, d):
+    """What each workload's tier scores add up from."""
+    rows = scoring.tier_terms(inputs.workloads(spark, d), "workload")
+    return rows.select("workload", "tier", *(F.round(c, 9).alias(c) for c in rows.columns[2:]))
+
+
+@query
+def timeout_summary(spark, d):
+    """Trials above a limit of runtime, by strategy and scenario."""
+    rows = analytics.timeouts(inputs.trials(spark, d), ["strategy", "scenario"], 55.0)
+    return rows.select("strategy", "scenario", "trials", "timeouts", "completed", "recovered", F.round("timeout_rate", 9).alias("timeout_rate"), F.round("median_runtime", 6).alias("median_runtime"))
+
+
+@query
+def shard_summary(spark, d):
+    """Trials summed up in four shards by their seeds, and the shards' sums put together."""
+    t = inputs.trials(spark, d)
+    rows = analytics.reaggregated([analytics.partials(t.filter(F.col("seed") % 4 == k), analytics.KEYS) for k in range(4)], analytics.KEYS)
+    return rows.select(*analytics.KEYS, "trials", "successes", *(F.round(c, 9).alias(c) for c in ("rate", "low", "high", "mean_overhead", "mean_runtime")))
+
+
+@query
+def profile_changes(spark, d):
+    """Two strategies' summaries by scenario and size side by side, with what only one of them has."""
+    t = inputs.trials(spark, d).filter("strategy <> 'fixed' or payload_size < 5000")
+    s = analytics.summary(t)
+    left, right = (s.filter(F.col("strategy") == x) for x in ("fixed", "combined"))
+    rows = analytics.profile_comparison(left, right, ["scenario", "payload_size"], ["rate", "mean_runtime"])
+    return rows.select("scenario", "payload_size", "side", *(F.round(c, 6).alias(c) for c in ("left_rate", "right_rate", "change_rate", "change_mean_runtime")))
+
+
+@query
+def assignment_summary(spark, d):
+    """How many documents anchors assign, how, and how far off."""
+    r = inputs.reads(spark, d)
+    rows = analytics.assignment_summary(kept(similarity.anchored(r, r.withColumnRenamed("id", "ref")), "assigned"), r)
+    return rows.withColumn("mapping_rate", F.round("mapping_rate", 9))
+
+
 @query
 def event_windows(spark, d):
     """Events in windows of an hour, sliding by half of one, without repeated (user, time, type)."""

@@ -143,6 +143,8 @@ def test_rotating_strands_repeat_no_base(spark):
     got = archive.rotating(spark.createDataFrame([(b"",), (b"\x00\xff",), (b"abc",)], "payload binary")).collect()
     assert [len(r.seq) for r in got] == [0, 11, 17]
     assert all(x != y for r in got for x, y in zip("A" + r.seq, r.seq))
+    back = archive.unrotated(archive.rotating(spark.createDataFrame([(b"",), (b"\x00\xff",), (b"abc",)], "payload binary")).select("seq")).collect()
+    assert [bytes(r.payload) for r in back] == [b"", b"\x00\xff", b"abc"]
     value = 0
     for t in got[1].trits:
         value = value * 3 + t
@@ -155,6 +157,31 @@ def test_wilson_and_mcnemar(spark):
     assert round(low, 3) == 0.890 and round(high, 3) == 0.955
     assert one.select(stats.mcnemar(F.lit(4), F.lit(0))).first()[0] == pytest.approx(0.125)
     assert one.select(stats.mcnemar(F.lit(0), F.lit(0))).first()[0] == 1.0
+    assert one.select(stats.mcnemar(F.lit(50_000), F.lit(50_600))).first()[0] == pytest.approx(0.0589, abs=2e-3)
+
+
+def test_ridge_equals_numpy(spark):
+    from strandspark.operators import learning
+
+    rng = np.random.default_rng(4)
+    names = [*learning.RATES, *learning.POLICY, "nucleotides", "runtime"]
+    data = [(bool(rng.random() < 0.5), *map(float, rng.random(9) + 0.5)) for _ in range(40)]
+    df = spark.createDataFrame(data, "recovered boolean, " + ", ".join(f"{n} double" for n in names))
+    x = np.array(df.select(*learning.features()).collect())
+    v = {n: np.array([r[k + 1] for r in data]) for k, n in enumerate(names)}
+    y = np.array([r[0] for r in data]) - 0.2 * v["nucleotides"] / v["nucleotides"].max() - 0.05 * v["runtime"] / v["runtime"].max()
+    want = np.linalg.solve(x.T @ x + 1e-3 * np.eye(x.shape[1]), x.T @ y)
+    got = learning.ridge(df)
+    assert np.allclose(got, want, atol=1e-6)
+    assert np.allclose([r.utility for r in learning.predicted(df, got).collect()], x @ want, atol=1e-6)
+
+
+def test_repairs_are_all_strands_one_indel_away():
+    for s in ("AACGT", "ACG", "AAA", "ACGTA"):
+        want = {s[:k] + s[k + 1 :] for k in range(len(s))} if len(s) % 4 == 1 else {s[:k] + b + s[k:] for k in range(len(s) + 1) for b in "ACGT"}
+        found = frames.repairs(s)
+        assert set(found) == want and len(found) == len(want)
+    assert frames.repairs("AN") == [] and frames.repairs("ACGT") == []
 
 
 def test_profiles_have_the_known_archive_shape(spark):
@@ -166,7 +193,7 @@ def test_profiles_have_the_known_archive_shape(spark):
 
 def test_crc_of_legacy_frames():
     inner = frames.inner(frames.Layout(), b"abc", 1, 2, 0)
-    assert inner[15:19] == zlib.crc32(b"abc").to_bytes(4, "big") and len(inner) == 22
+    assert inner[14:18] == zlib.crc32(b"abc").to_bytes(4, "big") and len(inner) == 21
 
 
 def test_grid_has_no_repeats(spark):
