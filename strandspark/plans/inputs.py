@@ -13,9 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files make fewer tasks than there are; large inputs, whose scans have tasks enough, are not shuffled."""
+    """df over all cores where its scan has no more tasks than there are cores and few files, as tasks beyond a file's row groups find no rows. Such inputs have at most
+    spark.sql.files.maxPartitionBytes a core; larger ones, whose scans have tasks enough, are not shuffled."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() * 2 <= n else df
+    few = df.rdd.getNumPartitions() <= n and 2 * len(df.inputFiles()) <= n
+    return df.repartition(n) if few else df
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
