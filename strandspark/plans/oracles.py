@@ -126,7 +126,7 @@ SQL: dict[str, str] = {
 m AS (SELECT k, s, greatest(1, least(floor(k / s), k)) AS m, unnest(range(1, k::BIGINT + 1)) AS degree FROM s),
 w AS (SELECT k, degree, greatest(0.0, CASE WHEN degree = 1 THEN 1 / k ELSE 1.0::DOUBLE / (degree * (degree - 1)) END + CASE WHEN degree < m THEN s / (k * degree) WHEN degree = m THEN s / k * ln(s / 0.001) ELSE 0 END) AS w FROM m)
 SELECT k, degree, round(CASE WHEN degree = k THEN 1.0 ELSE sum(w) OVER (PARTITION BY k ORDER BY degree) / sum(w) OVER (PARTITION BY k) END, 9) AS cdf FROM w""",
-    "archive_recover": "SELECT item_id AS archive, sha256(encode(text)) AS digest, true AS verified FROM benchmark",
+    "archive_recover": "SELECT doc_id AS archive, sha256(encode(text)) AS digest, true AS verified FROM documents WHERE text IS NOT NULL",
     "qgram_postings": f"WITH {READS}, g AS (SELECT id, unnest(CASE WHEN length(seq) < 8 THEN [seq] ELSE list_transform(range(1, length(seq) - 6), lambda i: substr(seq, i, 8)) END) AS gram FROM reads) SELECT gram, count(DISTINCT id) AS reads, count(*) AS times FROM g GROUP BY 1",
     "similarity_edges": f"WITH {_EDGES} SELECT src, dst, round(weight, 9) AS weight FROM edges",
     "similarity_classes": f"{_CLASSES} SELECT id, component FROM classes",

@@ -177,8 +177,8 @@ def rotating_roundtrip(spark, d):
 
 @query
 def archive_recover(spark, d):
-    """Framed, whitened and Reed-Solomon coded strands of every benchmark item, one of eight lost and the others with a wrong base, back to bytes."""
-    p = inputs.table(spark, d, "benchmark").select(F.col("item_id").alias("archive"), F.encode("text", "UTF-8").alias("payload"))
+    """Framed, whitened and Reed-Solomon coded strands of every document, one of eight lost and the others with a wrong base, back to bytes."""
+    p = inputs.payloads(spark, d)
     s = kept(archive.encoded(p, CODE), "strands").filter("kind <> 'data' or idx % 8 <> 5")
     at = 6 + (F.col("idx") % 40).cast("int")
     wrong = F.concat(F.substring(F.col("seq"), F.lit(1), at), F.translate(F.substring(F.col("seq"), at + 1, F.lit(1)), "ACGT", "CGTA"), F.substring(F.col("seq"), at + 2, F.length("seq")))
@@ -241,10 +241,9 @@ def alignment_consensus(spark, d):
 
 @query
 def simulated_reads(spark, d):
-    """A noisy channel over the strands of all benchmark items."""
-    refs = _references(spark, d)
+    """A noisy channel over the strands of all documents."""
     c = channel.Channel(0.015, 0.005, 0.005, 0.05, 0.1, copies=5)
-    return channel.reads(refs.select(F.col("ref").alias("id"), "seq"), c).groupBy("id").agg(F.count(F.lit(1)).alias("reads"), F.sum(F.length("seq")).alias("nt"))
+    return channel.reads(inputs.reads(spark, d).filter("seq is not null"), c).groupBy("id").agg(F.count(F.lit(1)).alias("reads"), F.sum(F.length("seq")).alias("nt"))
 
 
 def _references(spark, d):

@@ -60,6 +60,28 @@ def test_container_archive_and_sinks(spark, tmp_path):
     assert {r.name: r.ok for r in S.checked(files, want).collect()} == {"x": True, "y": False}
 
 
+def test_archive_json_sink(spark, tmp_path):
+    meta = spark.createDataFrame([("a/1", "x", 5, "ab" * 32, 3, 0, None), ("b", "x", 0, "cd" * 32, 0, 0, 0)], "archive string, format string, original_size long, sha256 string, data_strands long, parity_strands long, fountain_strands long")
+    strands = spark.createDataFrame([("a/1", n, s) for n, s in ((2, "GG"), (0, "AC"), (10, "TT"))] + [("lost", 0, "A")], "archive string, ordinal long, seq string")
+    out = str(tmp_path / "json")
+    S.write_archive_json(meta, strands, out)
+    back, own = S.archive_json(spark, out)
+    assert sorted((r.sha256, r.original_size, r.data_strands, r.fountain_strands) for r in back.collect()) == [("ab" * 32, 5, 3, None), ("cd" * 32, 0, 0, 0)]
+    assert [r.seq for r in own.orderBy("ordinal").collect()] == ["AC", "GG", "TT"]
+
+
+def test_dataset_manifests(spark, tmp_path):
+    import json
+
+    good = {"dataset": "d", "doi": "10.1/x", "bioproject": "P", "run_accessions": ["R1", "R2"], "data_restrictions": "none", "reference_mapping_status": "mapped", "notes": ""}
+    bad = {k: v for k, v in good.items() if k != "doi"} | {"dataset": "e", "run_accessions": ["R1", None]}
+    for k, m in enumerate((good, bad)):
+        (tmp_path / f"{k}.json").write_text(json.dumps(m, indent=2))
+    got = {r.dataset: r for r in S.dataset_manifest(spark, str(tmp_path)).collect()}
+    assert got["d"].problems == [] and got["d"].run_accessions == ["R1", "R2"] and got["d"].path.endswith("0.json")
+    assert got["e"].problems == ["doi", "run_accessions"]
+
+
 def test_event_stream(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     stream = spark.readStream.schema(events.schema).parquet("/root/testdata/sf0.001/events*.parquet")
