@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, html, linededup, minhash, packing, quality, sharding, tokens, toxicity, warc
+from . import ballkmeans, decontam, html, lexical, linededup, minhash, packing, quality, sharding, suffixes, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,12 +67,74 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder, files)
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code and the error of every vector, its label's error, and a digest of the codebooks."""
+    table, books = ballkmeans.compressed(_table(spark, sf_dir, "embeddings"))
+    code = F.lower(F.hex("codes")).alias("code")
+    return ballkmeans.with_label_error(table).select(F.col("id").alias("vec_id"), code, "error", "label_error", F.lit(ballkmeans.fingerprint(books)).alias("codebooks_sha256"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark item."""
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 100 bytes that occur earlier."""
+    return suffixes.digest(_table(spark, sf_dir, "documents"))
+
+
+def _codes_sql() -> str:
+    """Assignment and update of each round as common tables; floor division of a sum s by n is (s - ((s % n) + n) % n) // n."""
+    rounds = []
+    for r in range(7):
+        rounds.append(f"""
+a{r} AS (SELECT id, label, part, min_by(entry, (d, entry)) AS entry, min(d) AS d FROM (
+  SELECT p.id, p.label, p.part, entry, list_sum(list_transform(range(1, len(p.q) + 1), lambda i: (p.q[i] - c.q[i]) * (p.q[i] - c.q[i])))::BIGINT AS d FROM p JOIN c{r} c ON p.part = c.part) GROUP BY ALL),""")
+        if r < 6:
+            rounds.append(f"""
+m{r} AS (SELECT part, entry, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT a.part, a.entry, unnest(p.q) AS x, unnest(range(1, len(p.q) + 1)) AS i FROM a{r} a JOIN p ON a.id = p.id AND a.part = p.part) GROUP BY ALL),
+u{r} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q FROM m{r} GROUP BY ALL),
+c{r + 1} AS (SELECT c.part, c.entry, coalesce(u.q, c.q) AS q FROM c{r} c LEFT JOIN u{r} u ON c.part = u.part AND c.entry = u.entry),""")
+    return f"""
+WITH k AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT id, label, part, v[part * len(v) // 8 + 1:(part + 1) * len(v) // 8] AS q FROM k, range(8) t(part)),
+c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY id) - 1 AS entry, q FROM p QUALIFY entry < 16),{"".join(rounds)}
+b AS (SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c6),
+e AS (SELECT id AS vec_id, label, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY ALL)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM e, b"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_minhash, op3_linededup, op4_quality, op5_tokens, op6_decontamination, op7_packing, op8_sharding, op9_html, op10_warc)
+    for f in (op1_toxicity, op2_minhash, op3_linededup, op4_quality, op5_tokens, op6_decontamination, op7_packing, op8_sharding, op9_html, op10_warc, op11_codes, op12_search, op13_suffixes)
 }
 
 SQL: dict[str, str] = {
+    "op11_codes": _codes_sql(),
+    "op12_search": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM benchmark),
+z AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest(ts) AS t FROM i) GROUP BY 1, 2),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY 1, 2, 3),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY 1),
+x AS (SELECT doc_id, p.t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))) AS v FROM p JOIN f ON p.t = f.t, z),
+s AS (SELECT item_id, doc_id, sum(c * v)::BIGINT AS score FROM q JOIN x ON q.t = x.t GROUP BY 1, 2 HAVING sum(c * v) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s QUALIFY rank <= 20""",
+    "op13_suffixes": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(list_transform(range(0, len(h) // 2 - 99), lambda i: {'i': i, 'w': substr(h, 2 * i + 1, 200)}), recursive := true) FROM d WHERE len(h) >= 200),
+f AS (SELECT w, min((doc_id, i)) AS first FROM w GROUP BY 1),
+k AS (SELECT doc_id, i, (doc_id, i) <> first AS later FROM w JOIN f ON w.w = f.w),
+r AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, -1) AS fresh FROM k WHERE later),
+g AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM r),
+s AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY 1, 2),
+e AS (SELECT s.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0))) AS ahead FROM s JOIN d ON s.doc_id = d.doc_id),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, string_agg(ahead, '' ORDER BY a) AS ahead, max(b) AS b FROM e GROUP BY 1)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(ahead || substr(h, 2 * b + 1), h))) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id""",
     "op2_minhash": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
