@@ -1,8 +1,8 @@
-"""Similarity joins over strands: q-gram candidates, edges, connected classes, medoids, column votes, nearest references, anchors."""
+"""Similarity joins over strands: q-gram postings, segment candidates, edges, connected classes, medoids, column votes, nearest references, anchors."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -18,49 +18,63 @@ def edits_allowed(length: Column, threshold: float) -> Column:
     return F.floor((1 - threshold) * length + 1e-12).cast("int")
 
 
-def rare_grams(reads: DataFrame, q: int, threshold: float) -> DataFrame:
-    """(id, gram, size) of each strand's rarest occurrences: k edits spoil at most k q of them, so two strands within k edits share one of their
-    k q + 1 rarest (gram, occurrence) pairs, in any one order. Frequent grams hence make no pairs."""
-    each = reads.select("id", F.length("seq").alias("size"), F.posexplode(dna.qgrams(F.col("seq"), q)).alias("at", "gram"))
-    each = each.withColumn("nth", F.row_number().over(Window.partitionBy("id", "gram").orderBy("at")))
-    counts = each.groupBy("gram", "nth").agg(F.count(F.lit(1)).alias("c"))
-    # the partner is at most size / threshold long
-    most = edits_allowed(F.col("size") / threshold, threshold) * q + 1
-    ranked = each.join(counts, ["gram", "nth"]).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("c", "gram", "nth")))
-    return ranked.filter((F.col("r") <= most) & (F.col("c") > 1)).select("id", "size", "gram", "nth")
-
-
-def edges(reads: DataFrame, threshold: float = 0.9, q: int = 8) -> DataFrame:
-    """(src, dst, weight) of all pairs src < dst of reads (id, seq) whose similarity reaches the threshold. Equal strands meet by their text, the others by rare q-grams.
-
-    The filters lose nothing: lengths, then a shared rare gram, then the edit distance up to what the threshold allows."""
-    heads = reads.groupBy("seq").agg(F.min("id").alias("id"))
-    rare = kept(rare_grams(heads, q, threshold), "rare")
-    longer = F.greatest(F.col("x.size"), F.col("y.size"))
-    fits = (F.col("x.id") < F.col("y.id")) & (F.abs(F.col("x.size") - F.col("y.size")) <= edits_allowed(longer, threshold))
-    near = rare.alias("x").join(rare.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.nth") == F.col("y.nth")) & fits).select(F.col("x.id").alias("src"), F.col("y.id").alias("dst")).distinct()
-    short = short_pairs(heads, threshold, q)
-    both = near.unionByName(short).distinct() if short is not None else near
-    pairs = both.join(heads.select(F.col("id").alias("src"), F.col("seq").alias("a")), "src").join(heads.select(F.col("id").alias("dst"), F.col("seq").alias("b")), "dst")
-    limit = edits_allowed(F.greatest(F.length("a"), F.length("b")), threshold)
+def segments(heads: DataFrame, threshold: float) -> DataFrame:
+    """(h, id, size, most, at, nth): each strand of heads (id, seq) cut evenly into one segment more than the edits that it may have to a strand no longer than itself, as hashes of equally long
+    beginnings of the segments. A strand that may have no edit has no other partner than itself and gives none."""
+    rows = heads.select("id", "seq", F.length("seq").alias("size")).withColumn("most", edits_allowed(F.col("size"), threshold)).filter("most > 0")
+    cut = rows.withColumn("width", F.expr("size div (most + 1)")).select("*", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("nth"))
+    at = F.expr("cast(nth * cast(size as long) div (most + 1) as int)")
+    return cut.withColumn("at", at).select(F.xxhash64(F.substring("seq", F.col("at") + 1, F.col("width"))).alias("h"), "id", "size", "most", "at", "nth")
+
+
+def probes(heads: DataFrame, threshold: float) -> DataFrame:
+    """(h, id, size, at): the hashes of all substrings that may equal a segment of a strand at least as long: one or two lengths for each strand, as the segments' width hardly depends on the length."""
+    longest = F.floor(F.col("size") / threshold + 1e-9).cast("int")
+    width = lambda n: F.floor(n / (F.floor((1 - threshold) * n + 1e-12) + 1)).cast("int")
+    rows = heads.select("id", "seq", F.length("seq").alias("size"))
+    rows = rows.select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.col("size"), longest), width))).alias("width")).filter("width <= size")
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("width"))).alias("at"))
+    return each.select(F.xxhash64(F.substring("seq", F.col("at") + 1, F.col("width"))).alias("h"), "id", "size", "at")
+
+
+def candidates(heads: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst) of all pairs of heads (id, seq) that a segment shows, each once; every pair within the threshold is among them.
+
+    With k edits or fewer, k + 1 segments and P(i) edits before segment i, take the first i with P(i + 1) <= i: segment i has no edit, i edits lie before it and at most k - i behind. So it stands in
+    the other strand within i places of its own place, counted from the start, and within k - i places counted from the end."""
+    y, x = segments(heads, threshold).alias("y"), probes(heads, threshold).alias("x")
+    lag = F.col("y.size") - F.col("x.size")
+    shift = F.col("x.at") - F.col("y.at")
+    fits = (F.col("x.id") != F.col("y.id")) & lag.between(F.lit(0), F.col("y.most")) & (F.abs(shift) <= F.col("y.nth")) & (F.abs(shift + lag) <= F.col("y.most") - F.col("y.nth"))
+    both = y.join(x, (F.col("x.h") == F.col("y.h")) & fits)
+    return both.select(F.least("x.id", "y.id").alias("src"), F.greatest("x.id", "y.id").alias("dst")).distinct()
+
+
+def edges(reads: DataFrame, threshold: float = 0.9, observed: Observation | None = None) -> DataFrame:
+    """(src, dst, weight) of all pairs src < dst of reads (id, seq) whose similarity reaches the threshold (above 0). Equal strands meet by their text, the others by segments.
+
+    The filters lose nothing: a segment in its place, then counts of bases (which no edit changes by more than one, a substitution by one up and one down), then the edit distance up to what the
+    threshold allows. A frequent segment is an ordinary skewed key, which adaptive execution splits. observed counts the pairs compared and the edges among distinct strands while they are made."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is above 0 and at most 1")
+    heads = kept(reads.groupBy("seq").agg(F.min("id").alias("id")), "heads")
+    pairs = candidates(heads, threshold)
+    counts = F.array(*(F.length(F.regexp_replace("seq", f"[^{b}]", "")) for b in dna.BASES))
+    texts = heads.select("id", "seq", counts.alias("c"))
+    pairs = pairs.join(texts.select(F.col("id").alias("src"), F.col("seq").alias("a"), F.col("c").alias("ca")), "src").join(texts.select(F.col("id").alias("dst"), F.col("seq").alias("b"), F.col("c").alias("cb")), "dst")
     size = F.greatest(F.lit(1), F.length("a"), F.length("b"))
-    pairs = pairs.withColumn("most", limit).withColumn("d", F.expr("levenshtein(a, b, most)")).filter((F.col("d") >= 0) & (1 - F.col("d") / size >= threshold))
-    links = pairs.select("src", "dst", (1 - F.col("d") / size).alias("weight"))
+    pairs = pairs.withColumn("most", edits_allowed(F.greatest(F.length("a"), F.length("b")), threshold))
+    surplus = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: F.greatest(p - q, F.lit(0))), F.lit(0), lambda s, d: s + d)
+    near = pairs.filter(F.greatest(surplus("ca", "cb"), surplus("cb", "ca")) <= F.col("most"))
+    near = near.withColumn("d", F.expr("levenshtein(a, b, most)"))
+    good = (F.col("d") >= 0) & (1 - F.col("d") / size >= threshold)
+    if observed is not None:
+        near = near.observe(observed, F.count(F.lit(1)).alias("compared"), F.count_if(good).alias("edges"))
+    links = near.filter(good).select("src", "dst", (1 - F.col("d") / size).alias("weight"))
     equal = reads.join(heads.withColumnRenamed("id", "head"), "seq").filter("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight"))
     return links.unionByName(equal)
 
 
-def short_pairs(heads: DataFrame, threshold: float, q: int) -> DataFrame | None:
-    """Pairs of which one is so short that its allowed edits may spoil all its q-grams: there are at most 4^length distinct strands of a length, and they meet by length."""
-    spoiled = edits_allowed(F.length("seq") / threshold, threshold) * q + 1 > F.length("seq") - q + 1
-    short = heads.filter(spoiled).select("id", F.length("seq").alias("size"))
-    if short.isEmpty():
-        return None
-    other = heads.select(F.col("id").alias("other"), F.length("seq").alias("other_size"))
-    lengths = short.select("id", "size", F.explode(F.sequence(F.ceil(F.col("size") * threshold - 1e-9).cast("int"), F.floor(F.col("size") / threshold + 1e-9).cast("int"))).alias("other_size"))
-    return lengths.join(other, "other_size").filter("id <> other").select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
-
-
 def classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): the smallest id of each node's connected class. Every round points each label at the smallest label around it and then
     jumps over one step, so that long chains halve."""

@@ -26,6 +26,12 @@ mults AS (SELECT archive, total, layer, CASE WHEN total <= 1 THEN 1 ELSE list_mi
 indexes AS (SELECT archive, layer, 1 + (layer - 1) * ((total + 7) // 8) + p // 8 AS seed, ((mult * p + shift) % total)::INT AS idx FROM (SELECT *, unnest(range(0, total)) AS p FROM mults))"""
 
 # pairs that reach the threshold keep enough common 8-grams: k edits spoil at most 8 k
+# all pages as one file: chunks, runs of chunks, and the digests of digests
+_FILE = """WITH whole AS (SELECT hex(encode(string_agg(coalesce(html, ''), '' ORDER BY page_id))) AS h FROM pages),
+cut AS (SELECT unnest(list_transform(range(0, (len(h) + 2 * {chunk} - 1) // (2 * {chunk})), lambda i: {{'idx': i, 'x': substr(h, i * 2 * {chunk} + 1, 2 * {chunk})}}), recursive := true) FROM whole),
+runs AS (SELECT idx // {span} AS run, count(*) AS chunks, sum(len(x) // 2)::BIGINT AS bytes, sha256(unhex(string_agg(sha256(unhex(x)), '' ORDER BY idx))) AS digest FROM cut GROUP BY 1),
+whole_file AS (SELECT sha256(unhex(string_agg(digest, '' ORDER BY run))) AS file_digest FROM runs)"""
+
 _EDGES = f"""{READS.replace('reads AS (', 'reads AS MATERIALIZED (').replace('FROM documents)', "FROM documents WHERE regexp_matches(text, '" + WORD + "'))")},
 heads AS MATERIALIZED (SELECT seq, min(id) AS id, length(seq) AS n FROM reads GROUP BY seq),
 grams AS MATERIALIZED (SELECT DISTINCT id, substr(seq, pos, 8) AS gram FROM (SELECT id, seq, unnest(range(1, n - 6)) AS pos FROM heads WHERE n >= 8)),
@@ -39,7 +45,7 @@ edges AS MATERIALIZED (SELECT a.id AS src, b.id AS dst, 1 - levenshtein(a.seq, b
 _CLASSES = f"""WITH RECURSIVE {_EDGES}, ways AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 reach(a, b) AS (SELECT id, id FROM reads UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
 classes AS MATERIALIZED (SELECT a AS id, min(b) AS component FROM reach GROUP BY 1),
-clusters AS MATERIALIZED (SELECT component AS cluster, r.id, r.seq FROM classes c JOIN reads r ON c.id = r.id WHERE component IN (SELECT component FROM classes GROUP BY 1 HAVING count(*) > 1)),
+clusters AS MATERIALIZED (SELECT component AS cluster, r.id, r.seq FROM classes c JOIN reads r ON c.id = r.id),
 counts AS MATERIALIZED (SELECT cluster, seq, count(*) AS freq FROM clusters GROUP BY ALL),
 costs AS MATERIALIZED (SELECT a.cluster, a.seq, sum(levenshtein(a.seq, b.seq) * b.freq) AS cost FROM counts a JOIN counts b ON a.cluster = b.cluster GROUP BY ALL),
 medoids AS (SELECT cluster, seq AS medoid FROM costs QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY cost, length(seq), seq) = 1)"""
@@ -128,6 +134,8 @@ w AS (SELECT k, degree, greatest(0.0, CASE WHEN degree = 1 THEN 1 / k ELSE 1.0::
 SELECT k, degree, round(CASE WHEN degree = k THEN 1.0 ELSE sum(w) OVER (PARTITION BY k ORDER BY degree) / sum(w) OVER (PARTITION BY k) END, 9) AS cdf FROM w""",
     "archive_recover": "SELECT doc_id AS archive, sha256(encode(text)) AS digest, true AS verified FROM documents WHERE text IS NOT NULL",
     "qgram_postings": f"WITH {READS}, g AS (SELECT id, unnest(CASE WHEN length(seq) < 8 THEN [seq] ELSE list_transform(range(1, length(seq) - 6), lambda i: substr(seq, i, 8)) END) AS gram FROM reads) SELECT gram, count(DISTINCT id) AS reads, count(*) AS times FROM g GROUP BY 1",
+    "file_ranges": f"""{_FILE.format(chunk=4096, span=16)} SELECT run, chunks, bytes, digest, file_digest FROM runs, whole_file""",
+    "file_repair": f"""{_FILE.format(chunk=240, span=64)} SELECT run, chunks, bytes, digest, true AS same FROM runs""",
     "similarity_edges": f"WITH {_EDGES} SELECT src, dst, round(weight, 9) AS weight FROM edges",
     "similarity_classes": f"{_CLASSES} SELECT id, component FROM classes",
     "cluster_medoids": f"{_CLASSES} SELECT cluster, medoid FROM medoids",

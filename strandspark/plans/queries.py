@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dna, frames
 from ..operators import analytics, archive, channel, consensus, erasure, learning, scoring, similarity
+from ..sources import ranges
 from . import inputs
-from .store import kept
+from .store import kept, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 QUERY = {"substitution": 0.004, "insertion": 0.002, "deletion": 0.001, "dropout": 0.05}
@@ -82,6 +83,34 @@ def chunk_digest(spark, d):
     return erasure.chunks(pages, 4096).select("archive", "idx", F.sha2("payload", 256).alias("digest"))
 
 
+def _pages_file(spark, d, chunk):
+    """All pages, one behind the other, as the chunks of one file."""
+    pages = inputs.table(spark, d, "pages").select("page_id", F.encode("html", "UTF-8").alias("payload"))
+    return ranges.concatenated(pages, ["page_id"], "payload", chunk, kept).select(F.lit("pages").alias("file"), "idx", "payload")
+
+
+@query
+def file_ranges(spark, d):
+    """All pages as one file, written in parts under a manifest and read back: digests of its ranges and of the whole."""
+    path = new_path(spark, "file")
+    ranges.written(_pages_file(spark, d, 4096), path, 16)
+    runs = kept(ranges.digests(ranges.read_back(spark, path), 16), "runs")
+    whole = ranges.file_digests(runs).select("file", F.col("digest").alias("file_digest"))
+    return runs.join(F.broadcast(whole), "file").select("run", "chunks", "bytes", "digest", "file_digest")
+
+
+@query
+def file_repair(spark, d):
+    """The file of all pages with every eighth chunk lost, repaired by parity range by range, and its ranges' digests against those of the original."""
+    rows = kept(_pages_file(spark, d, 240), "chunks").withColumnRenamed("file", "archive")
+    sizes = rows.groupBy("archive").agg(F.sum(F.octet_length("payload")).alias("bytes"), F.count(F.lit(1)).alias("total"))
+    full = erasure.repaired(rows.filter("idx % 8 <> 3"), erasure.parity(rows, 8, 240), sizes.select("archive", "total"), 8, 240)
+    size = F.least(F.lit(240).cast("long"), F.col("bytes") - F.col("idx") * 240).cast("int")
+    full = full.join(F.broadcast(sizes), "archive").select(F.col("archive").alias("file"), "idx", F.substring(F.col("payload"), F.lit(1), size).alias("payload"))
+    own = ranges.digests(rows.withColumnRenamed("archive", "file"), 64).select("file", "run", F.col("digest").alias("original"))
+    return ranges.digests(full, 64).join(own, ["file", "run"], "left").select("run", "chunks", "bytes", "digest", (F.col("digest") == F.col("original")).alias("same"))
+
+
 @query
 def mask_selectors(spark, d):
     """The selector byte of each event's mask, and back."""
@@ -211,8 +240,7 @@ def similarity_classes(spark, d):
 def _clusters(spark, d):
     r = inputs.reads(spark, d).filter("seq <> ''")
     labels = kept(similarity_classes(spark, d), "classes")
-    many = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return r.join(labels.join(many, "component"), "id").select(F.col("component").alias("cluster"), "id", "seq")
+    return r.join(labels, "id").select(F.col("component").alias("cluster"), "id", "seq")
 
 
 @query

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,77 @@ def test_commands(spark, tmp_path):
     got = spark.read.parquet(o).collect()
     assert got[0].verified and bytes(got[0].payload).startswith(b"some words")
     cli.main(["inspect", a])
+
+
+def _file_bytes(n):
+    return bytes((7 * k + k // 251) % 256 for k in range(n))
+
+
+def test_byte_ranges_of_any_split(spark, tmp_path):
+    """The same chunks for any span; empty files are one empty chunk; no partition has more than its range."""
+    from strandspark.sources import ranges
+
+    (tmp_path / "sub").mkdir()
+    want = {"a.bin": _file_bytes(10_007), "sub/b.bin": _file_bytes(64), "empty": b""}
+    for name, data in want.items():
+        (tmp_path / name).write_bytes(data)
+    spark.dataSource.register(ranges.ByteRanges)
+    for span in (1, 3, 1000):
+        df = spark.read.format("byteranges").option("path", str(tmp_path)).option("chunk", 64).option("span", span).load()
+        rows = sorted((r.file, r.idx, bytes(r.payload), r.size) for r in df.collect())
+        assert {f: b"".join(p for g, _, p, _ in rows if g == f) for f in want} == want
+        assert [i for f, i, _, _ in rows if f == "a.bin"] == list(range(157)) and all(s == len(want[f]) for f, _, _, s in rows)
+        if span == 3:
+            assert df.rdd.getNumPartitions() == 53 + 1 + 1
+
+
+def test_parts_under_a_manifest(spark, tmp_path):
+    """Files written in parts come back chunk by chunk; missing chunks are refused on writing, torn or foreign parts on reading; parts without a manifest are no bundle."""
+    import json
+
+    from strandspark.sources import ranges
+
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    want = {"a": _file_bytes(5000), "b": b"short", "empty": b""}
+    for name, data in want.items():
+        (source / name).write_bytes(data)
+    spark.dataSource.register(ranges.ByteRanges)
+    chunks = spark.read.format("byteranges").option("path", str(source)).option("chunk", 100).load().repartition(7)
+    ranges.written(chunks, str(out), span=8)
+    back = ranges.read_back(spark, str(out))
+    rows = sorted((r.file, r.idx, bytes(r.payload)) for r in back.collect())
+    assert {f: b"".join(p for g, _, p in rows if g == f) for f in want} == want and rows == sorted((r.file, r.idx, bytes(r.payload)) for r in chunks.collect())
+    made = ranges.manifest(str(out))
+    digest = {r.file: r.digest for r in ranges.file_digests(ranges.digests(chunks, 8)).collect()}
+    assert digest == {f["file"]: f["digest"] for f in made["files"]} and {f["file"]: f["size"] for f in made["files"]} == {k: len(v) for k, v in want.items()}
+    assert all(p["chunks"] <= 8 for f in made["files"] for p in f["parts"])
+    with pytest.raises(Exception, match="missing"):
+        ranges.written(chunks.filter("not (file = 'a' and idx = 20)"), str(tmp_path / "gap"), span=8)
+    assert not (tmp_path / "gap" / "manifest.json").exists()
+    with pytest.raises(Exception, match="(?i)no such file|not exist|cannot open"):
+        ranges.read_back(spark, str(tmp_path / "gap")).collect()
+    part = out / next(p["name"] for f in made["files"] for p in f["parts"] if f["file"] == "a")
+    data = part.read_bytes()
+    part.write_bytes(data[:-1] + bytes([data[-1] ^ 1]))
+    with pytest.raises(Exception, match="torn"):
+        ranges.read_back(spark, str(out)).collect()
+    part.write_bytes(data)
+    made["files"][0]["parts"][0]["digest"] = "00" * 32
+    (out / "manifest.json").write_text(json.dumps(made))
+    with pytest.raises(Exception, match="digest"):
+        ranges.read_back(spark, str(out)).collect()
+
+
+def test_concatenation_of_rows(spark):
+    """Rows of any size make one stream of chunks, in order, across partitions; nulls and empties add nothing."""
+    from strandspark.plans.store import kept
+    from strandspark.sources import ranges
+
+    rng = random.Random(4)
+    rows = [(k, None if k % 11 == 3 else rng.randbytes(rng.choice([0, 1, 5, 63, 64, 65, 700]))) for k in range(200)] + [(200, b"same"), (200, b"same")]
+    df = spark.createDataFrame(rows, "k long, data binary").repartition(6)
+    got = ranges.concatenated(df, ["k"], "data", 64, kept).orderBy("idx").collect()
+    whole = b"".join(x or b"" for _, x in sorted(rows, key=lambda r: r[0]))
+    assert [r.idx for r in got] == list(range(-(-len(whole) // 64))) and b"".join(bytes(r.payload) for r in got) == whole and all(len(r.payload) == 64 for r in got[:-1])
+    assert ranges.concatenated(df.limit(0), ["k"], "data", 64, kept).count() == 0

@@ -108,14 +108,43 @@ def test_archive_recovers_from_losses_and_noise(spark):
     assert sum(bool(r.verified) for r in got) >= 4
 
 
+def test_segments_lose_no_pair(spark):
+    """Long and short strands with edits bunched at either end, at the limit of the threshold, against all pairs; few of the others are compared."""
+    from pyspark.sql import Observation
+
+    rng = random.Random(21)
+    seqs = []
+    for n in (9, 10, 19, 20, 40, 101, 300):
+        base = "".join(rng.choices("ACGT", k=n))
+        seqs.append(base)
+        for where in ("head", "tail", "even", "any"):
+            s, most = list(base), n // 10
+            for e in range(most):
+                at = {"head": e, "tail": len(s) - 1 - e, "even": e * len(s) // most, "any": rng.randrange(len(s))}[where]
+                kind = rng.choice("sid")
+                s[at : at + (kind != "i")] = [] if kind == "d" else [rng.choice("ACGT")]
+            seqs.append("".join(s))
+    seqs = sorted(set(seqs)) + ["".join(rng.choices("ACGT", k=300)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(seqs)), "id long, seq string")
+    for t in (0.8, 0.9):
+        seen = Observation()
+        got = {(r.src, r.dst) for r in similarity.edges(df, t, seen).collect()}
+        want = {(i, j) for i in range(len(seqs)) for j in range(i + 1, len(seqs)) if 1 - align.edit_distance(seqs[i], seqs[j]) / max(len(seqs[i]), len(seqs[j])) >= t}
+        assert got == want and seen.get["edges"] == len(want)
+        if t == 0.9:
+            assert seen.get["compared"] < 300  # of 4465 pairs
+    with pytest.raises(ValueError):
+        similarity.edges(df, 0.0)
+
+
 def test_edges_equal_all_pairs(spark):
     rng = random.Random(8)
     base = ["".join(rng.choices("ACGT", k=n)) for n in (4, 12, 24, 60, 60)]
     seqs = base + [s[:5] + rng.choice("ACGT") + s[6:] for s in base[2:]] + [base[3], base[0]]
     df = spark.createDataFrame(list(enumerate(seqs)), "id long, seq string")
     for t in (0.7, 0.9, 0.99):
-        got = {(r.src, r.dst) for r in similarity.edges(df, t, 5).collect()}
-        labels = {r.id: r.component for r in similarity.classes(df, similarity.edges(df, t, 5)).collect()}
+        got = {(r.src, r.dst) for r in similarity.edges(df, t).collect()}
+        labels = {r.id: r.component for r in similarity.classes(df, similarity.edges(df, t)).collect()}
         want = {(i, j) for i in range(len(seqs)) for j in range(i + 1, len(seqs)) if 1 - align.edit_distance(seqs[i], seqs[j]) / max(len(seqs[i]), len(seqs[j])) >= t}
         heads = {s: seqs.index(s) for s in seqs}
         assert {(min(heads[seqs[i]], heads[seqs[j]]), max(heads[seqs[i]], heads[seqs[j]])) for i, j in want if seqs[i] != seqs[j]} <= got
