@@ -132,3 +132,31 @@ def assignment_summary(assigned: DataFrame, total: DataFrame) -> DataFrame:
     all_ = total.agg(F.count(F.lit(1)).alias("reads"))
     own = assigned.agg(F.count(F.lit(1)).alias("mapped"), F.count_if("reverse").alias("reversed"), F.count_distinct("ref").alias("references"), F.median("distance").alias("median_distance"), F.count_if(F.col("distance") == 0).alias("exact"))
     return all_.join(own).select("reads", "mapped", (F.col("mapped") / F.col("reads")).alias("mapping_rate"), "reversed", "references", "median_distance", "exact")
+
+
+def design(spark, axes: dict[str, list]) -> DataFrame:
+    """One row for each combination of the axes' values: the keys that a complete experiment has. Values are stated, so the rows come of literals, not of data."""
+    rows = spark.range(1)
+    for name, values in axes.items():
+        rows = rows.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return rows.drop("id")
+
+
+def gaps(rows: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, reason, n): keys of the design without a row (missing), of rows outside the design (surplus), and of several rows (repeated), with their number of rows. One aggregate and one full join;
+    null keys are compared as values."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    have, want = counts.alias("have"), expected.select(*keys).distinct().withColumn("_want", F.lit(True)).alias("want")
+    same = [F.col(f"have.{k}").eqNullSafe(F.col(f"want.{k}")) for k in keys]
+    both = have.join(want, same, "full")
+    n = F.coalesce("_n", F.lit(0).cast("long"))
+    reason = F.when(F.col("_n").isNull(), "missing").when(F.col("_want").isNull(), "surplus").when(n > 1, "repeated")
+    key = [F.when(F.col("_n").isNull(), F.col(f"want.{k}")).otherwise(F.col(f"have.{k}")).alias(k) for k in keys]
+    return both.select(*key, reason.alias("reason"), n.alias("n")).filter("reason is not null")
+
+
+def gates(found: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """(failures, passed) of gaps(): a text for each reason that more keys have than its limit allows."""
+    counts = found.groupBy().agg(*(F.count_if(F.col("reason") == r).alias(r) for r in limits))
+    said = F.array(*(F.when(F.col(r) > most, F.format_string(f"%d keys {r}, at most {most}", F.col(r))) for r, most in limits.items()))
+    return counts.select(F.filter(said, lambda x: x.isNotNull()).alias("failures")).withColumn("passed", F.size("failures") == 0)

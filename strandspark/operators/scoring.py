@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dna
+
 # The tiers in the order that settles ties, and their traits latency, mutable, durability, idle_energy, long_term, redundancy.
 TIERS = {
     "ssd": (1.0, 1.0, 0.45, 0.30, 0.20, 0.70),
@@ -69,41 +71,56 @@ def lifecycle(workloads: DataFrame, assumptions: dict[str, tuple[float, float, f
     )
 
 
-def tier_scores(workloads: DataFrame, key: str, assumptions: dict | None = None, storage_index: dict[str, float] | None = None, retrieval_index: dict[str, float] | None = None) -> DataFrame:
-    """(key, tier, score, nth): each workload's tiers by score; equal scores keep the order of TIERS. Four rows a workload come of an explode, and the maxima of a window of four."""
-    rows = lifecycle(workloads, assumptions) if assumptions else workloads.withColumn("tier", F.explode(F.array(*map(F.lit, TIERS))))
-    tier = F.col("tier")
-    traits = {name: _by_tier(tier, {t: v[k] for t, v in TIERS.items()}) for k, name in enumerate(("latency", "mutable", "durability", "idle_energy", "long_term", "redundancy"))}
-    needs = {
-        "retention_need": F.least(F.lit(1.0), F.col("retention_years") / 100),
-        "access_need": F.least(F.lit(1.0), F.col("accesses_per_year") / 365),
-        "probability_need": F.coalesce("access_probability", F.lit(0.0)),
-    }
-    score = reduce(Column.__add__, [w * traits[t] * needs.get(n, F.col(n) if n not in needs else None) for w, t, n in TERMS])
-    half = {t: 0.5 for t in TIERS}
-    for weight, index in zip(INDEX_WEIGHTS, (storage_index or half, retrieval_index or half), strict=True):
-        score = score + weight * (1 - _by_tier(tier, index)) * F.col("cost_priority")
-    if assumptions:
-        own = Window.partitionBy(key)
-        for weight, value, priority in LIFECYCLE:
-            top = F.max(value).over(own)
-            score = score + weight * F.when(top <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col(value) / top)) * F.col(priority)
-    score = score - F.when(tier == "dna_future", DNA_PENALTY[0] * F.col("retrieval_urgency") + DNA_PENALTY[1] * F.col("mutability")).otherwise(0.0)
-    place = _by_tier(tier, {t: k for k, t in enumerate(TIERS)})
-    scored = rows.withColumn("score", F.greatest(F.lit(0.0), score))
-    return scored.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), place))).select(key, "tier", "score", "nth")
-
+def tier_terms(workloads: DataFrame, key: str, assumptions: dict | None = None, storage_index: dict[str, float] | None = None, retrieval_index: dict[str, float] | None = None) -> DataFrame:
+    """(key, tier, one column for each trait term, storage_index, retrieval_index, cost, energy, latency, penalty): all that a tier's score adds up from. The lifecycle terms are 0 without assumptions.
 
-def tier_terms(workloads: DataFrame, key: str) -> DataFrame:
-    """(key, tier, one column for each trait term, penalty): what a tier's score adds up from."""
-    rows = workloads.withColumn("tier", F.explode(F.array(*map(F.lit, TIERS))))
+    Four rows a workload come of an explode, and the lifecycle's maxima of a window of four."""
+    rows = lifecycle(workloads, assumptions) if assumptions else workloads.withColumn("tier", F.explode(F.array(*map(F.lit, TIERS))))
     tier = F.col("tier")
     needs = {"retention_need": F.least(F.lit(1.0), F.col("retention_years") / 100), "access_need": F.least(F.lit(1.0), F.col("accesses_per_year") / 365), "probability_need": F.coalesce("access_probability", F.lit(0.0))}
     names = ("latency", "mutable", "durability", "idle_energy", "long_term", "redundancy")
     trait = lambda t: _by_tier(tier, {x: v[names.index(t)] for x, v in TIERS.items()})
     terms = [(w * trait(t) * (needs[n] if n in needs else F.col(n))).alias(f"{t}_{n}") for w, t, n in TERMS]
+    half = {t: 0.5 for t in TIERS}
+    for name, weight, index in zip(("storage_index", "retrieval_index"), INDEX_WEIGHTS, (storage_index or half, retrieval_index or half), strict=True):
+        terms.append((weight * (1 - _by_tier(tier, index)) * F.col("cost_priority")).alias(name))
+    own = Window.partitionBy(key)
+    for weight, value, priority in LIFECYCLE:
+        top = F.max(value).over(own) if assumptions else F.lit(0.0)
+        term = weight * F.when(top <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col(value) / top)) * F.col(priority) if assumptions else F.lit(0.0)
+        terms.append(term.alias(f"{value}_term"))
     penalty = F.when(tier == "dna_future", DNA_PENALTY[0] * F.col("retrieval_urgency") + DNA_PENALTY[1] * F.col("mutability")).otherwise(0.0)
-    return rows.select(key, "tier", *terms, penalty.alias("penalty"))
+    return rows.select(key, "tier", *terms, (F.lit(0.0) - penalty).alias("penalty"))
+
+
+def tier_scores(workloads: DataFrame, key: str, assumptions: dict | None = None, storage_index: dict[str, float] | None = None, retrieval_index: dict[str, float] | None = None) -> DataFrame:
+    """(key, tier, score, nth): each workload's tiers by score, the sum of tier_terms and at least 0; equal scores keep the order of TIERS."""
+    terms = tier_terms(workloads, key, assumptions, storage_index, retrieval_index)
+    scored = terms.select(key, "tier", F.greatest(F.lit(0.0), reduce(Column.__add__, [F.col(c) for c in terms.columns[2:]])).alias("score"))
+    place = _by_tier(F.col("tier"), {t: k for k, t in enumerate(TIERS)})
+    return scored.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), place))).select(key, "tier", "score", "nth")
+
+
+def stratified(rows: DataFrame, strata: list[str], keys: list[str], quota: int, seed: object) -> DataFrame:
+    """The rows that turns over the strata give until the quota is reached: in each turn every stratum, in ascending order, gives its next row by hash rank. The same rows for any order of the input.
+
+    How many rows each stratum gives follows from the strata's counts alone, so no stratum but by its own rows is ranked, and rows beyond its share are cut by the window's own limit."""
+    counts = [(tuple(r[c] for c in strata), r["n"]) for r in rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("n")).orderBy(*strata).collect()]
+    full = max(n for _, n in counts) if counts else 0
+    low, high = 0, full  # the most whole turns within the quota
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if sum(min(n, mid) for _, n in counts) <= quota else (low, mid - 1)
+    left = quota - sum(min(n, low) for _, n in counts)
+    shares = []
+    for key, n in counts:
+        extra = 1 if n > low and left > 0 else 0
+        left -= extra
+        shares.append((*key, min(n, low) + extra))
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in strata)
+    table = F.broadcast(rows.sparkSession.createDataFrame(shares, f"{schema}, _share long"))
+    ranked = rows.join(table, strata).withColumn("turn", F.row_number().over(Window.partitionBy(*strata).orderBy(dna.hash_rank(seed, *(F.col(c) for c in keys)), *keys)))
+    return ranked.filter(F.col("turn") <= F.col("_share")).drop("_share")
 
 
 def objective_of(workloads: DataFrame) -> DataFrame:

@@ -85,7 +85,17 @@ _READ = "size_gb * accesses_per_year * retention_years"
 _LIFE = f"""{WORKLOADS}, tiers AS (SELECT *, unnest(['ssd', 'object_archive', 'tape', 'dna_future']) AS tier FROM workloads),
 life AS (SELECT *, size_gb * retention_years * {_A[0]} AS storage_cost, {_READ} * {_A[1]} AS retrieval_cost, size_gb / 1000 * retention_years * {_A[2]} + {_READ} * {_A[3]} AS energy_kwh,
   coalesce(access_probability, least(1.0, accesses_per_year)) * {_A[4]} AS latency_hours FROM tiers)"""
-_TERMS = " + ".join(f"{w} * CASE WHEN max({v}) OVER (PARTITION BY workload) <= 0 THEN 1.0 ELSE greatest(0.0, 1 - {v} / max({v}) OVER (PARTITION BY workload)) END * {p}" for w, v, p in scoring.LIFECYCLE)
+
+
+def _life_term(w, v, p):
+    return f"{w} * CASE WHEN max({v}) OVER (PARTITION BY workload) <= 0 THEN 1.0 ELSE greatest(0.0, 1 - {v} / max({v}) OVER (PARTITION BY workload)) END * {p}"
+
+
+_GAPS = """want AS (SELECT unnest(['fixed', 'adaptive', 'planned']) AS strategy, s.scenario, p.payload_size, d.seed FROM (SELECT 's' || unnest(range(8)) AS scenario) s, (SELECT 1024 * unnest(range(1, 7)) AS payload_size) p, (SELECT unnest(range(16)) AS seed) d),
+have AS (SELECT strategy, scenario, payload_size, seed, count(*) AS n FROM trials GROUP BY ALL),
+gaps AS (SELECT strategy, scenario, payload_size, seed, CASE WHEN n IS NULL THEN 'missing' WHEN w IS NULL THEN 'surplus' WHEN n > 1 THEN 'repeated' END AS reason, coalesce(n, 0) AS n
+  FROM have FULL JOIN (SELECT *, true AS w FROM want) USING (strategy, scenario, payload_size, seed) WHERE n IS NULL OR w IS NULL OR n > 1)"""
+_TERMS = " + ".join(_life_term(*x) for x in scoring.LIFECYCLE)
 
 _OBSERVED = f"""{TRIALS}, e AS (SELECT *, substitution + insertion + deletion AS error, overhead - 0.2 AS durability, runtime / 60 AS overhead_priority FROM trials),
 p AS (SELECT *, CASE WHEN error >= 0.02 THEN 48 WHEN error >= 0.005 THEN 64 ELSE 96 END AS chunk, CASE WHEN error >= 0.02 THEN 24 WHEN error >= 0.005 THEN 16 ELSE 8 END AS nsym,
@@ -189,7 +199,30 @@ SELECT chunk_size, rs_nsym, parity_group, round(CASE WHEN sum(w) <= 1e-15 THEN -
     "empirical_choice": f"WITH {_OBSERVED}, s AS (SELECT chunk_size, rs_nsym, parity_group, sum((CASE WHEN recovered THEN 1.0 ELSE -1.0 END - 0.15 * nucleotides / max_nt - 0.05 * runtime / max_rt) / (0.001 + {_L1})) AS score FROM observed GROUP BY ALL) SELECT chunk_size, rs_nsym, parity_group, round(score, 4) AS score FROM s ORDER BY s.score DESC, chunk_size, rs_nsym, parity_group LIMIT 1",
     "kernel_choice": f"""WITH {_OBSERVED}, w AS (SELECT *, exp(-({_L2}) / 0.0008::DOUBLE) AS w, recovered::INT - 0.20 * nucleotides / max_nt - 0.05 * runtime / max_rt AS u FROM observed),
 s AS (SELECT chunk_size, rs_nsym, parity_group, CASE WHEN sum(w) <= 1e-15 THEN -1e6 ELSE sum(w * u) / sum(w) END AS utility FROM w GROUP BY ALL) SELECT chunk_size, rs_nsym, parity_group, round(utility, 9) AS utility FROM s ORDER BY s.utility DESC, chunk_size, rs_nsym, parity_group LIMIT 1""",
-    "tier_breakdown": f"WITH {WORKLOADS}, tiers AS (SELECT *, unnest(['ssd', 'object_archive', 'tape', 'dna_future']) AS tier FROM workloads) SELECT workload, tier, {', '.join(f'round({w}::DOUBLE * {_trait(t)} * {_NEEDS.get(n, n)}, 9) AS {t}_{n}' for w, t, n in scoring.TERMS)}, round(({_PENALTY})::DOUBLE, 9) AS penalty FROM tiers",
+    "tier_breakdown": f"""WITH {_LIFE} SELECT workload, tier, {', '.join(f'round({w}::DOUBLE * {_trait(t)} * {_NEEDS.get(n, n)}, 9) AS {t}_{n}' for w, t, n in scoring.TERMS)},
+  round(0.06 * 0.5 * cost_priority, 9) AS storage_index, round(0.04 * 0.5 * cost_priority, 9) AS retrieval_index, {', '.join(f'round({_life_term(*x)}, 9) AS {x[1]}_term' for x in scoring.LIFECYCLE)},
+  round(0.0 - ({_PENALTY})::DOUBLE, 9) AS penalty, round(greatest(0.0, {_SCORE} + {_TERMS} - {_PENALTY}), 9) AS score, true AS adds_up FROM life""",
+    "learner_evaluation": f"""WITH {_OBSERVED}, o AS MATERIALIZED (SELECT * FROM observed WHERE strategy IN ('fixed', 'adaptive')),
+tops AS (SELECT max(nucleotides) AS nt, max(runtime) AS rt FROM o),
+m AS (SELECT seed, chunk_size, rs_nsym, parity_group, sum(recovered::INT - 0.2 * nucleotides / nt - 0.05 * runtime / rt) AS u, count(*) AS n FROM o, tops GROUP BY ALL),
+predictions AS (SELECT m.*, CASE WHEN sum(n) OVER w > n THEN (sum(u) OVER w - u) / (sum(n) OVER w - n) END AS predicted FROM m WINDOW w AS (PARTITION BY chunk_size, rs_nsym, parity_group)),
+grp_tops AS (SELECT seed, scenario, payload_size, max(overhead) AS mo, max(runtime) AS mr FROM o GROUP BY 1, 2, 3 HAVING count(DISTINCT (chunk_size, rs_nsym, parity_group)) > 1),
+each_row AS (SELECT o.seed, scenario, payload_size, recovered, recovered::INT - 0.2 * overhead / mo - 0.05 * runtime / mr AS u,
+  row_number() OVER (PARTITION BY o.seed, scenario, payload_size ORDER BY predicted IS NULL, predicted DESC, chunk_size, rs_nsym, parity_group, recovered DESC, overhead, runtime, trial, line) AS nth
+  FROM o JOIN grp_tops USING (seed, scenario, payload_size) JOIN predictions USING (seed, chunk_size, rs_nsym, parity_group)),
+c AS (SELECT seed, scenario, payload_size, max(u) AS top, max(u) FILTER (nth = 1) AS u, bool_or(recovered) FILTER (nth = 1) AS recovered FROM each_row GROUP BY 1, 2, 3)
+SELECT seed, count(*) AS groups, round(avg(greatest(0, top - u)), 9) AS mean_regret, round(avg(recovered::INT), 9) AS recovery_rate, round(avg((u >= top)::INT), 9) AS accuracy FROM c GROUP BY 1""",
+    "stratified_parts": """WITH t AS (SELECT p_partkey, p_brand, p_size % 3 AS size_class, row_number() OVER (PARTITION BY p_brand, p_size % 3 ORDER BY sha256('7:' || p_partkey), p_partkey)::INT AS turn FROM part)
+SELECT * FROM t QUALIFY row_number() OVER (ORDER BY turn, p_brand, size_class) <= 300""",
+    "design_gaps": f"WITH {TRIALS}, {_GAPS} SELECT * FROM gaps",
+    "design_gates": f"""WITH {TRIALS}, {_GAPS}, c AS (SELECT count(*) FILTER (reason = 'missing') AS m, count(*) FILTER (reason = 'surplus') AS s FROM gaps)
+SELECT array_to_string(list_filter([CASE WHEN m > 0 THEN m || ' keys missing, at most 0' END, CASE WHEN s > 50 THEN s || ' keys surplus, at most 50' END], lambda x: x IS NOT NULL), '; ') AS failures, m = 0 AND s <= 50 AS passed FROM c""",
+    "result_candidates": """WITH b AS (SELECT l_orderkey, min_by(l_linenumber, (l_extendedprice, l_linenumber)) AS best FROM lineitem GROUP BY 1)
+SELECT l.l_orderkey AS id, (row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l_linenumber, l_extendedprice, l_quantity >= 12) - 1)::INT AS place, l_linenumber AS line, l_extendedprice AS cost, l_quantity >= 12 AS ok, l_linenumber = best AS selected
+FROM lineitem l JOIN b ON l.l_orderkey = b.l_orderkey WHERE l.l_orderkey % 97 <> 0 AND (l.l_orderkey % 89 <> 0 OR l.l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1))""",
+    "broken_results": """WITH o AS (SELECT l_orderkey AS k, min(l_linenumber) AS least FROM lineitem GROUP BY 1),
+r AS (SELECT k, CASE WHEN k % 97 = 0 THEN 'not of the schema' WHEN k % 89 = 0 AND least = 1 THEN 'lacks candidates.line' END AS reason FROM o)
+SELECT reason, count(*) AS n, min(k) AS first FROM r WHERE reason IS NOT NULL GROUP BY 1""",
     "timeout_summary": f"""WITH {TRIALS} SELECT strategy, scenario, count(*) AS trials, count(*) FILTER (runtime > 55) AS timeouts, count(*) FILTER (runtime <= 55) AS completed, count(*) FILTER (runtime <= 55 AND recovered) AS recovered,
   round(avg((runtime > 55)::INT), 9) AS timeout_rate, round(median(runtime) FILTER (runtime <= 55), 6) AS median_runtime FROM trials GROUP BY ALL""",
     "shard_summary": f"""WITH {TRIALS}, g AS (SELECT strategy, scenario, payload_size, count(*) AS n, sum(recovered::INT)::BIGINT AS s, avg(overhead) AS o, avg(runtime) AS r FROM trials GROUP BY ALL)

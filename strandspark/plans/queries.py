@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna, frames
 from ..operators import analytics, archive, channel, consensus, erasure, learning, scoring, similarity
-from ..sources import ranges
+from ..sources import documents, ranges
 from . import inputs
 from .store import kept, new_path
 
@@ -453,9 +453,90 @@ def kernel_choice(spark, d):
 
 @query
 def tier_breakdown(spark, d):
-    """What each workload's tier scores add up from."""
-    rows = scoring.tier_terms(inputs.workloads(spark, d), "workload")
-    return rows.select("workload", "tier", *(F.round(c, 9).alias(c) for c in rows.columns[2:]))
+    """What each workload's tier scores add up from, with lifecycle terms, and whether they do."""
+    w = inputs.workloads(spark, d)
+    terms = scoring.tier_terms(w, "workload", inputs.ASSUMPTIONS)
+    names = terms.columns[2:]
+    scores = scoring.tier_scores(w, "workload", inputs.ASSUMPTIONS).select("workload", "tier", F.col("score"))
+    added = F.aggregate(F.array(*names), F.lit(0.0), lambda s, x: s + x)
+    rows = terms.join(scores, ["workload", "tier"]).withColumn("adds_up", F.abs(F.greatest(F.lit(0.0), added) - F.col("score")) < 1e-12)
+    return rows.select("workload", "tier", *(F.round(c, 9).alias(c) for c in (*names, "score")), "adds_up")
+
+
+def _held_out(spark, d):
+    """The observations of the strategies that a learner may choose from."""
+    return inputs.observations(spark, d).filter(F.col("strategy").isin("fixed", "adaptive"))
+
+
+def _rounded(rows):
+    return rows.select("seed", "groups", *(F.round(c, 9).alias(c) for c in ("mean_regret", "recovery_rate", "accuracy")))
+
+
+@query
+def learner_evaluation(spark, d):
+    """Choosing policies by their mean utility over all other seeds, for each held-out seed."""
+    o = _held_out(spark, d)
+    rows = o.join(learning.means_without(o, "seed"), ["seed", *learning.POLICY])
+    return _rounded(learning.evaluated(rows, "seed", ["scenario", "payload_size"], ["trial", "line"]))
+
+
+@query
+def ridge_evaluation(spark, d):
+    """Choosing policies by the ridge model of all other seeds, for each held-out seed."""
+    rows = learning.fitted_without(_held_out(spark, d), "seed")
+    return _rounded(learning.evaluated(rows, "seed", ["scenario", "payload_size"], ["trial", "line"]))
+
+
+@query
+def stratified_parts(spark, d):
+    """Three hundred parts in turns over brands and size classes."""
+    p = inputs.table(spark, d, "part").select("p_partkey", "p_brand", (F.col("p_size") % 3).alias("size_class"))
+    return scoring.stratified(p, ["p_brand", "size_class"], ["p_partkey"], 300, 7)
+
+
+def _design(spark):
+    return analytics.design(spark, {"strategy": ["fixed", "adaptive", "planned"], "scenario": [f"s{k}" for k in range(8)], "payload_size": [1024 * k for k in range(1, 7)], "seed": list(range(16))})
+
+
+@query
+def design_gaps(spark, d):
+    """Trials against the design of an experiment: missing, surplus and repeated keys."""
+    keys = ["strategy", "scenario", "payload_size", "seed"]
+    return analytics.gaps(inputs.trials(spark, d), _design(spark), keys)
+
+
+@query
+def design_gates(spark, d):
+    """Whether the trials may be summed up: at most so many keys of each reason."""
+    rows = analytics.gaps(inputs.trials(spark, d), _design(spark), ["strategy", "scenario", "payload_size", "seed"])
+    return analytics.gates(rows, {"missing": 0, "surplus": 50, "repeated": 1_000_000_000}).select(F.array_join("failures", "; ").alias("failures"), "passed")
+
+
+RESULT = "id bigint NOT NULL, best int, candidates array<struct<line: int NOT NULL, cost: double, ok: boolean>>"
+
+
+def _result_documents(spark, d):
+    """Every order as a nested result document with its lines as candidates; that of every 97th order is cut short, that of every 89th has a candidate without its line."""
+    line = F.when((F.col("l_orderkey") % 89 == 0) & (F.col("l_linenumber") == 1), None).otherwise(F.col("l_linenumber")).cast("int")
+    c = F.struct(line.alias("line"), F.col("l_extendedprice").alias("cost"), (F.col("l_quantity") >= 12).alias("ok"))
+    docs = inputs.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(c)).alias("candidates"), F.min_by("l_linenumber", F.struct("l_extendedprice", "l_linenumber")).cast("int").alias("best"))
+    text = F.to_json(F.struct(F.col("l_orderkey").alias("id"), "best", "candidates"))
+    cut = F.when(F.col("source") % 97 == 0, F.expr("left(text, length(text) - 9)")).otherwise(F.col("text"))
+    return docs.select(F.col("l_orderkey").alias("source"), text.alias("text")).withColumn("text", cut)
+
+
+@query
+def result_candidates(spark, d):
+    """Nested result documents as rows of candidates, the selected one marked."""
+    good, _ = documents.parsed(_result_documents(spark, d), RESULT)
+    rows = documents.unnested(good, "candidates", "best", "line")
+    return rows.select(F.col("doc.id").alias("id"), "place", F.col("item.line").alias("line"), F.col("item.cost").alias("cost"), F.col("item.ok").alias("ok"), "selected")
+
+
+@query
+def broken_results(spark, d):
+    """The result documents that break their schema, by reason."""
+    return documents.parsed(_result_documents(spark, d), RESULT)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("first"))
 
 
 @query
