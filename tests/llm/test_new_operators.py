@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandspark.llm import ballkmeans, lexical, suffixes
+from strandspark.llm import ballkmeans, html, lexical, suffixes
 
 SF = "/root/testdata/sf0.001"
 CLASHING = ("id", "doc", "t", "q", "codes", "error", "label_error", "part", "block", "m", "row", "terms", "spans", "runs", "key", "piece", "place", "rank", "score", "item", "c")
@@ -195,3 +195,55 @@ def test_suffix_array():
     for _ in range(1500):
         s = [rng.randint(0, rng.choice([0, 1, 2, 5, 3_000_000])) for _ in range(rng.randint(0, 40))]
         assert suffixes.suffix_array(np.array(s, np.int64)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+# ---- main text by structure and whole names
+
+PROSE = "Plain prose that a reader came for, " * 6
+
+
+@pytest.mark.parametrize("name", ["post format-standard tag-news", "tag-a", "tag-b type-post", "hentry category-social", "side-story"])
+def test_articles_of_common_class_names_stay(name):
+    own = f"<article class='{name}'><h2>T</h2><p>{PROSE}</p></article>"
+    for head in ("", "<h1>Blog</h1>"):
+        assert html.main_text(f"<body>{head}<main>{own * 4}</main></body>").count("Plain prose") == 24
+
+
+@pytest.mark.parametrize("name", ["post tag-a", "post", "story", "content", "entry", "text"])
+def test_comments_and_notices_stay_out_however_long(name):
+    page = f"<div class='{name}'><p>{PROSE}</p></div><div id='comments'><p>Reader {PROSE * 3}</p></div><div class='cookie-notice'><p>Cookie {PROSE * 9}</p></div>"
+    got = html.main_text(page)
+    assert got == PROSE.strip()
+
+
+@pytest.mark.parametrize("name", ["id='related-work'", "id='search-methods'", "id='formulation'", "class='social-history'", "class='side-effects'", "class='legal-aspects'", "id='notice-of-meeting'"])
+def test_sections_named_after_their_subject_stay(name):
+    assert html.main_text(f"<article><p>{PROSE}</p><section {name}><h2>Head</h2><p>Section {PROSE}</p></section></article>").count("Plain prose") == 12
+
+
+@pytest.mark.parametrize("name", ["post-tags", "tags", "search-box", "related-posts", "share-buttons", "comment-list", "nav-menu", "site-footer", "sidebar", "cookieNotice", "newsletter-signup", "AdBox", "socialLinks"])
+def test_parts_named_against_content_go(name):
+    assert html.main_text(f"<article><p>{PROSE}</p></article><div class='{name}'><p>Bad {PROSE}</p></div>") == PROSE.strip()
+
+
+def test_lists_of_links_between_paragraphs_stay():
+    links = "<ul><li><a href='x'>Paper one</a></li><li><a href='y'>Paper two</a></li></ul>"
+    assert html.main_text(f"<p>{PROSE}</p>{links}<p>{PROSE}</p>").count("Paper") == 2
+    assert "Paper" not in html.main_text(f"{links}<div><p>{PROSE}</p><p>{PROSE}</p></div>")
+
+
+def test_elimination_finds_the_cut_of_large_pages():
+    rng = random.Random(3)
+    parts = ["<p>Short.</p>", "<div>Plain words here</div>", "<ul><li><a href='x'>Link</a></li><li>Item</li></ul>", "<div class='ad'>Buy</div>", "<h2>Head</h2>", "<div><a href='y'>More of this</a></div>", "<section><div>One</div><div><a href='q'>Two</a></div></section>"]
+    for _ in range(100):
+        found = html.blocks("<body>" + "".join(rng.choices(parts, k=rng.randint(1, 40))) + "</body>")
+        unary, ties = html.graph(found)
+        unary = [u + rng.uniform(-1.5, 1.5) for u in unary]
+        n = len(found)
+
+        def energy(c, unary=unary, ties=ties, n=n):
+            return sum(max(-unary[k], 0) if k in c else max(unary[k], 0) for k in range(n)) + sum(w for k in range(n) for j, w in ties[k].items() if j < k and (j in c) != (k in c))
+
+        assert energy(html._eliminated(list(range(n)), unary, ties)) == pytest.approx(energy(html._cut(list(range(n)), unary, ties)))
+    found = html.blocks("<ul>" + "".join(f"<li><a href='x'>l{k}</a></li><li>plain {k} text</li>" for k in range(50_000)) + "</ul>")
+    assert len(html.labels(found)) == 100_000  # in linear time; by augmenting paths alone it would not end
