@@ -1,7 +1,7 @@
 """Redundancy over chunks: XOR groups, single repair, interleaved sparse XOR symbols, peeling and elimination, soliton weights.
 
 Chunks are (archive, idx, payload binary); the XOR aggregate works on longs of seven bytes with bit_xor, so it combines on the
-map side and no group is ever collected; only what peeling leaves of an archive is solved in one task.
+map side and no group is ever collected; only what peeling leaves of symbols that hang together is solved in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .similarity import classes
+
 # Fixed value: the multiplier of a layer's shift.
 WEYL = 0x9E3779B1
 
@@ -133,16 +135,24 @@ def solved(rows: list[tuple[list[int], bytes]]) -> dict[int, bytes]:
     return out
 
 
+def blocks(unknown: DataFrame, key: str = "archive") -> DataFrame:
+    """(archive, seed, block): symbols that lack a common chunk, straight or by others, have one block. Systems of different blocks share no unknown, so each can be solved by itself."""
+    nodes = unknown.select(key, "seed", F.xxhash64(key, "idx").alias("id"))
+    heads = nodes.groupBy(key, "seed").agg(F.min("id").alias("src"))
+    labels = classes(nodes.select("id").distinct(), nodes.join(heads, [key, "seed"]).select("src", F.col("id").alias("dst")))
+    return heads.join(labels, F.col("src") == F.col("id")).select(key, "seed", F.col("component").alias("block"))
+
+
 def eliminated(unknown: DataFrame, values: DataFrame, key: str = "archive") -> DataFrame:
     """(archive, idx, payload) that elimination gives from unknown (archive, seed, idx), the chunks each symbol lacks, and values (archive, seed, payload), the symbols less
-    their known chunks. A task solves one archive, whose chunks are one value later anyway."""
-    rows = unknown.groupBy(key, "seed").agg(F.collect_list("idx").alias("members")).join(values, [key, "seed"])
+    their known chunks. A task solves one block of symbols that hang together; a block's cost is cubic in its own unknowns, not in its archive's."""
+    rows = unknown.groupBy(key, "seed").agg(F.collect_list("idx").alias("members")).join(values, [key, "seed"]).join(blocks(unknown, key), [key, "seed"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         found = solved([([int(i) for i in m], bytes(v)) for m, v in zip(group["members"], group["payload"], strict=True)])
         return pd.DataFrame({key: [group[key].iloc[0]] * len(found), "idx": pd.Series(list(found), dtype="int32"), "payload": list(found.values())})
 
-    return rows.groupBy(key).applyInPandas(run, f"{key} {unknown.schema[key].dataType.simpleString()}, idx int, payload binary")
+    return rows.groupBy(key, "block").applyInPandas(run, f"{key} {unknown.schema[key].dataType.simpleString()}, idx int, payload binary")
 
 
 def peeled(known: DataFrame, indexes: DataFrame, payloads: DataFrame, width: int, keep, key: str = "archive", rounds: int = 8) -> DataFrame:

@@ -91,6 +91,17 @@ def classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
+def graph_report(reads: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+    """(nodes, distinct_strands, edges, components, singletons, largest): figures of a similarity graph as one row, each from an aggregate."""
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    parts = [
+        reads.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("seq").alias("distinct_strands")),
+        links.agg(F.count(F.lit(1)).alias("edges")),
+        sizes.agg(F.count(F.lit(1)).alias("components"), F.count_if(F.col("n") == 1).alias("singletons"), F.max("n").alias("largest")),
+    ]
+    return parts[0].join(parts[1]).join(parts[2])
+
+
 def costs(members: DataFrame) -> DataFrame:
     """(cluster, seq, freq, cost): each distinct read of a cluster (cluster, seq) and its edit distance to all reads. Quadratic in a cluster's distinct reads, as the medoid is."""
     counts = members.groupBy("cluster", "seq").agg(F.count(F.lit(1)).alias("freq"))

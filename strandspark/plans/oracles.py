@@ -148,6 +148,15 @@ SELECT k, degree, round(CASE WHEN degree = k THEN 1.0 ELSE sum(w) OVER (PARTITIO
     "file_repair": f"""{_FILE.format(chunk=240, span=64)} SELECT run, chunks, bytes, digest, true AS same FROM runs""",
     "similarity_edges": f"WITH {_EDGES} SELECT src, dst, round(weight, 9) AS weight FROM edges",
     "similarity_classes": f"{_CLASSES} SELECT id, component FROM classes",
+    "similarity_report": f"""{_CLASSES}, class_sizes AS (SELECT component, count(*) AS n FROM classes GROUP BY 1)
+SELECT (SELECT count(*) FROM reads) AS nodes, (SELECT count(*) FROM heads) AS distinct_strands, (SELECT count(*) FROM edges) AS edges, count(*) AS components, count(*) FILTER (n = 1) AS singletons, max(n) AS largest FROM class_sizes""",
+    "rescue_modes": f"""{_CLASSES.replace('clusters AS MATERIALIZED (', 'members AS MATERIALIZED (').replace('counts AS MATERIALIZED', 'clusters AS MATERIALIZED (SELECT * FROM members WHERE id <> cluster), counts AS MATERIALIZED')}, same AS (SELECT c.cluster, c.seq, medoid FROM clusters c JOIN medoids m ON c.cluster = m.cluster AND length(c.seq) = length(medoid)),
+v AS (SELECT cluster, medoid, pos, seq[pos] AS base, count(*) AS n FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS pos FROM same) GROUP BY ALL),
+w AS (SELECT cluster, pos, base FROM v QUALIFY row_number() OVER (PARTITION BY cluster, pos ORDER BY n DESC, (base = medoid[pos]) DESC, base) = 1),
+votes AS (SELECT cluster, string_agg(base, '' ORDER BY pos) AS voted FROM w GROUP BY 1),
+r AS (SELECT m.cluster, m.seq, (SELECT count(*) FROM clusters c WHERE c.cluster = m.cluster) AS reads, m.seq IN (SELECT c.seq FROM clusters c WHERE c.cluster = m.cluster) AS direct FROM members m WHERE m.id = m.cluster),
+f AS (SELECT r.cluster, reads, direct, coalesce(medoid = r.seq, false) AS medoid, coalesce(voted = r.seq, false) AS votes FROM r LEFT JOIN medoids ON r.cluster = medoids.cluster LEFT JOIN votes ON r.cluster = votes.cluster)
+SELECT *, NOT direct AND medoid AS medoid_rescued, NOT direct AND votes AS votes_rescued FROM f""",
     "cluster_medoids": f"{_CLASSES} SELECT cluster, medoid FROM medoids",
     "cluster_votes": f"""{_CLASSES}, same AS (SELECT c.cluster, c.seq, medoid FROM clusters c JOIN medoids m ON c.cluster = m.cluster AND length(c.seq) = length(medoid)),
 v AS (SELECT cluster, medoid, pos, seq[pos] AS base, count(*) AS n FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS pos FROM same) GROUP BY ALL),

@@ -259,6 +259,21 @@ def cluster_anchors(spark, d):
     return similarity.anchors(_clusters(spark, d), 300, 2)
 
 
+@query
+def similarity_report(spark, d):
+    """Figures of the similarity graph of all documents' strands."""
+    r, links = inputs.reads(spark, d).filter("seq <> ''"), kept(_edges(spark, d), "edges")
+    return similarity.graph_report(r, links, kept(similarity.classes(r, links), "classes"))
+
+
+@query
+def rescue_modes(spark, d):
+    """Every class's first strand as a reference, and the class's other strands through direct, medoid and column-vote recovery."""
+    rows = kept(_clusters(spark, d), "clusters")
+    refs = rows.filter("id = cluster").select("cluster", "seq")
+    return consensus.rescue(refs, rows.filter("id <> cluster").select("cluster", "seq"))
+
+
 @query
 def alignment_consensus(spark, d):
     """Alignment consensus of noisy reads of every benchmark item against the item."""

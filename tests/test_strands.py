@@ -273,3 +273,34 @@ def test_proportional_losses_against_brute_force(spark, tmp_path):
         want[all(1 << k in span for k in range(len(lost)))] += 1
     assert want == {True: 5, False: 1}
     assert {r.verified: r.n for r in queries.QUERIES["peel_proportional"](spark, str(tmp_path)).collect()} == want
+
+
+def test_blocks_part_systems_that_share_nothing(spark):
+    rng = random.Random(11)
+    rows, truth = [], {}
+    for a in range(3):  # symbols over disjoint runs of four chunks
+        for idx in range(24):
+            truth[a, idx] = rng.randbytes(6)
+        for seed in range(18):
+            run = seed % 6
+            rows += [(a, seed, 4 * run + k) for k in rng.sample(range(4), rng.choice([2, 3]))]
+    unknown = spark.createDataFrame(rows, "archive long, seed long, idx int")
+    xor = {}
+    for a, seed, idx in rows:
+        xor[a, seed] = bytes(x ^ y for x, y in zip(xor.get((a, seed), bytes(6)), truth[a, idx], strict=True))
+    values = spark.createDataFrame([(a, s, v) for (a, s), v in xor.items()], "archive long, seed long, payload binary")
+    got = {(r.archive, r.idx): bytes(r.payload) for r in erasure.eliminated(unknown, values).collect()}
+    want = {}
+    for a in range(3):
+        own = [([i for x, s, i in rows if (x, s) == (a, seed)], xor[a, seed]) for seed in range(18)]
+        want |= {(a, i): v for i, v in erasure.solved(own).items()}
+    assert got == want and all(truth[k] == v for k, v in got.items()) and got
+    parts = erasure.blocks(unknown).collect()
+    assert len({(r.archive, r.block) for r in parts}) >= 18 and len({r.block for r in parts if r.archive == 0 and r.seed % 6 == 1}) <= 2
+
+
+def test_rescue_flags(spark):
+    refs = spark.createDataFrame([(1, "ACGTACGT"), (2, "AAAA"), (3, "CCCC"), (4, "GGGG")], "cluster long, seq string")
+    reads = spark.createDataFrame([(1, "ACGTACGA"), (1, "ACGTACCT"), (1, "ACCTACGT"), (2, "AAAA"), (2, "AATA"), (3, "CCCG"), (3, "CCCG")], "cluster long, seq string")
+    got = {r.cluster: tuple(r)[1:] for r in consensus.rescue(refs, reads).collect()}
+    assert got == {1: (3, False, False, True, False, True), 2: (2, True, True, True, False, False), 3: (2, False, False, False, False, False), 4: (0, False, False, False, False, False)}
