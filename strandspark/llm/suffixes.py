@@ -43,6 +43,10 @@ class Params:
     gram: int = 40
     hot: int = 100_000
 
+    def __post_init__(self):
+        if not 0 < self.grams < 64:
+            raise ValueError("a window begins with 1 to 63 grams")
+
     @property
     def grams(self) -> int:
         """Grams that begin in a window."""
@@ -185,8 +189,16 @@ def _once(named: DataFrame) -> DataFrame:
     return named.join(again, ["doc", "t"], "left_anti").unionByName(named.join(again, ["doc", "t"], "left_semi").groupBy("doc", "t").agg(F.min("text").alias("text")))
 
 
+def _place(lo: np.ndarray, size: np.ndarray, kind: np.ndarray | int = 0) -> np.ndarray:
+    """First start, number of windows (a run has as many as a window has grams at most) and a kind of 0 to 3 in one number, for narrow shuffles."""
+    return (lo * 64 + size) * 4 + kind
+
+
+ALONE, AGAIN, KNOWN = 0, 1, 2
+
+
 def minimizer_runs(named: DataFrame, p: Params) -> DataFrame:
-    """(key, doc, t, lo, hi, c) for each run of windows. Within a step's texts, the first run of a minimizer stands for c of them and the others have c = 0: they are known to be repeated."""
+    """(key, doc, t, place) for each run of windows. Within a step's texts, the first run of a minimizer is ALONE, or AGAIN if there are more, and those are KNOWN to be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,16 +208,16 @@ def minimizer_runs(named: DataFrame, p: Params) -> DataFrame:
                 doc, t = (batch.column(c).slice(first, end_row - first).to_numpy()[row] for c in (0, 1))
                 order = np.argsort(key, kind="stable")
                 new = _first_of(order, key)
-                c = np.zeros(len(key), np.int64)
+                kind = np.full(len(key), KNOWN)
                 at = np.flatnonzero(new)
-                c[order[at]] = np.diff(np.concatenate((at, [len(key)])))
-                yield _batch("key doc t lo hi c", key, doc, t, lo - offsets[row], hi - offsets[row], c)
+                kind[order[at]] = np.where(np.diff(np.concatenate((at, [len(key)]))) > 1, AGAIN, ALONE)
+                yield _batch("key doc t place", key, doc, t, _place(lo - offsets[row], hi - lo, kind))
 
-    return named.mapInArrow(run, "key long, doc long, t long, lo long, hi long, c long")
+    return named.mapInArrow(run, "key long, doc long, t long, place long")
 
 
 def repeated_runs(runs: DataFrame) -> DataFrame:
-    """(key, doc, t, lo, hi) of the runs whose minimizer is that of another run, too."""
+    """Those of minimizer_runs whose minimizer is that of another run, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, before = None, None  # the last row waits for what follows; before: the key ahead of it
@@ -214,21 +226,22 @@ def repeated_runs(runs: DataFrame) -> DataFrame:
                 continue
             if held is not None:
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            key, c = batch.column(0).to_numpy(), batch.column(5).to_numpy()
+            key, kind = batch.column(0).to_numpy(), batch.column(3).to_numpy() & 3
             same = key[1:] == key[:-1]
-            again = c != 1
+            again = kind != ALONE
             again[1:] |= same
             again[:-1] |= same
             again[0] |= before is not None and before == key[0]
-            yield batch.slice(0, len(key) - 1).filter(pa.array(again[:-1])).select([0, 1, 2, 3, 4])
+            yield batch.slice(0, len(key) - 1).filter(pa.array(again[:-1]))
             before = key[-2] if len(key) > 1 else before
             held = batch.slice(len(key) - 1)
         if held is not None:
             last = held.column(0)[0].as_py()
-            yield held.slice(0, 1 if held.column(5)[0].as_py() != 1 or before == last else 0).select([0, 1, 2, 3, 4])
+            yield held.slice(0, 1 if held.column(3)[0].as_py() & 3 != ALONE or before == last else 0)
 
-    dealt = runs.repartition(F.when(F.col("c") == 0, F.xxhash64("doc", "t", "lo")).otherwise(F.col("key"))).sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "key long, doc long, t long, lo long, hi long")
+    known = F.col("place").bitwiseAND(3) == KNOWN
+    dealt = runs.repartition(F.when(known, F.xxhash64("doc", "t", "place")).otherwise(F.col("key"))).sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "key long, doc long, t long, place long")
 
 
 def _collapsed(key: np.ndarray, doc: np.ndarray, t: np.ndarray, lo: np.ndarray, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -249,24 +262,24 @@ def _collapsed(key: np.ndarray, doc: np.ndarray, t: np.ndarray, lo: np.ndarray,
 
 
 def pieces(texts: DataFrame, p: Params) -> DataFrame:
-    """(key, doc, t, lo, hi, piece) of texts (doc, t, text, runs): the bytes of each run's windows, those of hot minimizers cut into single windows with keys of their own. Copies of a piece within a
-    step's texts come without it: the bytes lo to hi of their document are repeated for certain."""
+    """(key, doc, t, place, piece) of texts (doc, t, text, runs): the bytes of each run's windows, those of hot minimizers cut into single windows with keys of their own. Copies of a piece within a
+    step's texts come without it: their windows are repeated for certain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(3).offsets.to_numpy()
-            fields = [batch.column(3).values.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            fields = [batch.column(3).values.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
             for first, end_row, raw, offsets in text_pieces(batch.column(2), RUN_BYTES):
                 a, b = int(at[first]), int(at[end_row])
                 row = np.repeat(np.arange(end_row - first), np.diff(at[first : end_row + 1]))
-                lo, hi, key, hot = (x[a:b] for x in fields)
-                hot = hot.astype(bool)
-                each = np.where(hot, hi - lo, 1)  # single windows of hot runs
+                place, key, hot = (x[a:b] for x in fields)
+                lo, windows, hot = place >> 8, place >> 2 & 63, hot.astype(bool)
+                each = np.where(hot, windows, 1)  # single windows of hot runs
                 back = np.repeat(np.arange(len(lo)), each)
                 start = _ranges(lo, each)
-                end = np.where(hot[back], start + 1, hi[back])
+                windows = np.where(hot, 1, windows)[back]
                 key, row = key[back].view(U).copy(), row[back]
-                begin, size = start + offsets[row], end - start + p.length - 1
+                begin, size = start + offsets[row], windows + p.length - 1
                 if hot.any():
                     own = np.flatnonzero(hot[back])
                     key[own] = W.mix(gram_hashes(raw, p.length)[begin[own]])
@@ -278,9 +291,9 @@ def pieces(texts: DataFrame, p: Params) -> DataFrame:
                 valid = np.packbits(~copy, bitorder="little").tobytes()
                 places = np.concatenate(([0], np.cumsum(np.where(copy, 0, size)))).astype(np.int32)
                 column = pa.Array.from_buffers(pa.binary(), len(copy), [pa.py_buffer(valid), pa.py_buffer(places), pa.py_buffer(kept.tobytes())])
-                yield _batch("key doc t lo hi piece", key, doc, t, start, start + size, column)
+                yield _batch("key doc t place piece", key, doc, t, _place(start, windows), column)
 
-    return texts.select("doc", "t", "text", "runs").mapInArrow(run, "key long, doc long, t long, lo long, hi long, piece binary")
+    return texts.select("doc", "t", "text", "runs").mapInArrow(run, "key long, doc long, t long, place long, piece binary")
 
 
 # ---- buckets
@@ -329,8 +342,8 @@ def repeated_intervals(dealt: DataFrame, p: Params) -> DataFrame:
 
     def sorted_out(table: pa.Table) -> pa.RecordBatch:
         batch = table.combine_chunks().to_batches()[0]
-        piece = batch.column(5)
-        doc, t, lo = (batch.column(c).to_numpy() for c in (1, 2, 3))
+        piece = batch.column(4)
+        doc, t, lo = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy() >> 8
         raw, ends = np.frombuffer(piece.buffers()[2], np.uint8), np.frombuffer(piece.buffers()[1], np.int32, len(piece) + 1, piece.offset * 4).astype(np.int64)
         row, a, b = repeated_bytes(batch.column(0).to_numpy(), doc, t, lo, raw, ends, p)
         return _batch("doc t lo hi", doc[row], t[row], a, b)
@@ -338,21 +351,22 @@ def repeated_intervals(dealt: DataFrame, p: Params) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            null = batch.column(5).is_null()
+            null = batch.column(4).is_null()
             known = batch.filter(null)
             if known.num_rows:
-                yield known.select([1, 2, 3, 4])
+                place = known.column(3).to_numpy()
+                yield _batch("doc t lo hi", known.column(1), known.column(2), place >> 8, (place >> 8) + (place >> 2 & 63) + p.length - 1)
             rest = batch.filter(pc.invert(null))
             if not rest.num_rows:
                 continue
             held.append(rest)
-            size += rest.column(5).nbytes
+            size += rest.column(4).nbytes
             if size < BUCKET_BYTES:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             key = table.column(0).to_numpy()
             cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-            width = table.column(5).nbytes / max(1, len(key))
+            width = table.column(4).nbytes / max(1, len(key))
             a = 0
             while len(cut) and (len(key) - a) * width >= BUCKET_BYTES:
                 k = min(int(np.searchsorted(cut, a + max(1, int(BUCKET_BYTES / width)))), len(cut) - 1)
@@ -362,11 +376,11 @@ def repeated_intervals(dealt: DataFrame, p: Params) -> DataFrame:
                 yield sorted_out(table.slice(a, b - a))
                 a = b
             held = [x for x in table.slice(a).to_batches() if x.num_rows]
-            size = sum(x.column(5).nbytes for x in held)
+            size = sum(x.column(4).nbytes for x in held)
         if held:
             yield sorted_out(pa.Table.from_batches(held))
 
-    by = F.when(F.col("piece").isNull(), F.xxhash64("doc", "t", "lo")).otherwise(F.col("key"))
+    by = F.when(F.col("piece").isNull(), F.xxhash64("doc", "t", "place")).otherwise(F.col("key"))
     return dealt.repartition(by).sortWithinPartitions("key").mapInArrow(run, "doc long, t long, lo long, hi long")
 
 
@@ -398,7 +412,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p:
     once = _once(_named(docs, id_col, text_col))
     runs = kept_table(repeated_runs(minimizer_runs(once, p)), "runs")
     hot = small(kept_table(runs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > p.hot).select("key", F.lit(True).alias("hot")), "hot"))
-    lists = runs.join(hot, "key", "left").groupBy("doc", "t").agg(F.collect_list(F.struct("lo", "hi", "key", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
+    lists = runs.join(hot, "key", "left").groupBy("doc", "t").agg(F.collect_list(F.struct("place", "key", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
     texts = once.join(lists, ["doc", "t"])
     return kept_table(merged(repeated_intervals(pieces(texts, p), p)), "spans")
 
