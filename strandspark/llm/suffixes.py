@@ -263,7 +263,7 @@ def _collapsed(key: np.ndarray, doc: np.ndarray, t: np.ndarray, lo: np.ndarray,
 
 def pieces(texts: DataFrame, p: Params) -> DataFrame:
     """(key, doc, t, place, piece) of texts (doc, t, text, runs): the bytes of each run's windows, those of hot minimizers cut into single windows with keys of their own. Copies of a piece within a
-    step's texts come without it: their windows are repeated for certain."""
+    step's texts come without it: the bytes of their document from the first start up to `key` are repeated for certain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,6 +273,8 @@ def pieces(texts: DataFrame, p: Params) -> DataFrame:
                 a, b = int(at[first]), int(at[end_row])
                 row = np.repeat(np.arange(end_row - first), np.diff(at[first : end_row + 1]))
                 place, key, hot = (x[a:b] for x in fields)
+                order = np.lexsort((place, row))
+                place, key, hot, row = place[order], key[order], hot[order], row[order]
                 lo, windows, hot = place >> 8, place >> 2 & 63, hot.astype(bool)
                 each = np.where(hot, windows, 1)  # single windows of hot runs
                 back = np.repeat(np.arange(len(lo)), each)
@@ -287,11 +289,17 @@ def pieces(texts: DataFrame, p: Params) -> DataFrame:
                 data = raw[_ranges(begin, size)]
                 ends = np.concatenate(([0], np.cumsum(size)))
                 copy = _collapsed(key.view(np.int64), doc, t, start, data, ends)
-                kept = data[_ranges(ends[:-1][~copy], size[~copy])]
-                valid = np.packbits(~copy, bitorder="little").tobytes()
-                places = np.concatenate(([0], np.cumsum(np.where(copy, 0, size)))).astype(np.int32)
-                column = pa.Array.from_buffers(pa.binary(), len(copy), [pa.py_buffer(valid), pa.py_buffer(places), pa.py_buffer(kept.tobytes())])
-                yield _batch("key doc t place piece", key, doc, t, _place(start, windows), column)
+                kept, own = data[_ranges(ends[:-1][~copy], size[~copy])], np.flatnonzero(~copy)
+                places = np.concatenate(([0], np.cumsum(size[own]))).astype(np.int32)
+                column = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(places), pa.py_buffer(kept.tobytes())])
+                yield _batch("key doc t place piece", key[own], doc[own], t[own], _place(start[own], windows[own]), column)
+                # copies that overlap or touch are one interval
+                own = np.flatnonzero(copy)
+                fresh = np.ones(len(own), bool)
+                fresh[1:] = (row[own][1:] != row[own][:-1]) | (start[own][1:] > (start + size)[own][:-1])
+                last = np.flatnonzero(np.concatenate((fresh[1:], [True]))) if len(own) else own
+                own, end = own[fresh], (start + size)[own[last]]
+                yield _batch("key doc t place piece", end, doc[own], t[own], _place(start[own], 0), pa.nulls(len(own), pa.binary()))
 
     return texts.select("doc", "t", "text", "runs").mapInArrow(run, "key long, doc long, t long, place long, piece binary")
 
@@ -355,7 +363,7 @@ def repeated_intervals(dealt: DataFrame, p: Params) -> DataFrame:
             known = batch.filter(null)
             if known.num_rows:
                 place = known.column(3).to_numpy()
-                yield _batch("doc t lo hi", known.column(1), known.column(2), place >> 8, (place >> 8) + (place >> 2 & 63) + p.length - 1)
+                yield _batch("doc t lo hi", known.column(1), known.column(2), place >> 8, known.column(0))
             rest = batch.filter(pc.invert(null))
             if not rest.num_rows:
                 continue
