@@ -71,7 +71,12 @@ def patterns(classes: int) -> list[tuple[int, ...]]:
 
 
 def plan(histogram: dict[int, int], limit: int = LIMIT, classes: int = CLASSES) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths of a sequence, repeats)] that use every length of the histogram as often as it occurs."""
+    """[(lengths of a sequence, repeats)] that use every length of the histogram as often as it occurs: by patterns, or by best fit alone where that takes fewer sequences."""
+    fitted, plain = _by_patterns(histogram, limit, classes), _best_fit(Counter(), {n: c for n, c in histogram.items() if c > 0}, limit)
+    return min(fitted, plain, key=lambda p: sum(c for _, c in p))
+
+
+def _by_patterns(histogram: dict[int, int], limit: int, classes: int) -> list[tuple[tuple[int, ...], int]]:
     left = {n: c for n, c in histogram.items() if c > 0}
     made: Counter[tuple[int, ...]] = Counter()
     if limit in left:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandspark.llm import ballkmeans, html, lexical, suffixes
+from strandspark.llm import ballkmeans, html, lexical, packing, suffixes
 
 SF = "/root/testdata/sf0.001"
 CLASHING = ("id", "doc", "t", "q", "codes", "error", "label_error", "part", "block", "m", "row", "terms", "spans", "runs", "key", "piece", "place", "rank", "score", "item", "c")
@@ -247,3 +247,20 @@ def test_elimination_finds_the_cut_of_large_pages():
         assert energy(html._eliminated(list(range(n)), unary, ties)) == pytest.approx(energy(html._cut(list(range(n)), unary, ties)))
     found = html.blocks("<ul>" + "".join(f"<li><a href='x'>l{k}</a></li><li>plain {k} text</li>" for k in range(50_000)) + "</ul>")
     assert len(html.labels(found)) == 100_000  # in linear time; by augmenting paths alone it would not end
+
+
+@pytest.mark.parametrize("draw", ["uniform", "normal", "few", "short"])
+def test_packing_takes_the_better_of_patterns_and_best_fit(draw):
+    rng = np.random.default_rng(5)
+    lengths = {"uniform": rng.integers(1, 2049, 4000), "normal": np.clip(rng.normal(700, 150, 4000), 1, 2048).astype(int), "few": np.array([2048, 1025, 1024, 1023, 5]), "short": rng.integers(1, 40, 3000)}[draw]
+    histogram = Counter(lengths.tolist())
+    plan = packing.plan(histogram)
+    used = Counter()
+    for members, c in plan:
+        assert sum(members) <= packing.LIMIT
+        for n in members:
+            used[n] += c
+    assert used == histogram
+    size = sum(c for _, c in plan)
+    assert size <= sum(c for _, c in packing._best_fit(Counter(), dict(histogram), packing.LIMIT)) and size <= sum(c for _, c in packing._by_patterns(histogram, packing.LIMIT, packing.CLASSES))
+    assert packing.plan({}) == []
