@@ -150,7 +150,8 @@ def eliminated(unknown: DataFrame, values: DataFrame, key: str = "archive") -> D
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         found = solved([([int(i) for i in m], bytes(v)) for m, v in zip(group["members"], group["payload"], strict=True)])
-        return pd.DataFrame({key: [group[key].iloc[0]] * len(found), "idx": pd.Series(list(found), dtype="int32"), "payload": list(found.values())})
+        own = pd.Series([group[key].iloc[0]] * len(found), dtype=object)  # also where nothing is found
+        return pd.DataFrame({key: own, "idx": pd.Series(list(found), dtype="int32"), "payload": pd.Series(list(found.values()), dtype=object)})
 
     return rows.groupBy(key, "block").applyInPandas(run, f"{key} {unknown.schema[key].dataType.simpleString()}, idx int, payload binary")
 
