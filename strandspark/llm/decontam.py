@@ -17,7 +17,7 @@ verbatim_below words count only where they stand word for word, as chance would
 
 Defined results: null or wordless texts and items match nothing; items without an id match with a null one; each (document row,
 item) gives one row, its best match, and on ties the first; repeated rows give theirs each; other columns are left out or passed
-through, whatever they are called.
+through, whatever they are called; very long texts are searched whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ counted nor dropped. A page counts once for a line that it repeats. What stands
 however few pages the host has (min_pages, 2).
 
 Defined results: a null text stays null; a null host is a host of its own; a text that loses all lines becomes empty; repeated
-rows count as so many pages; n_lines and n_dropped replace columns of these names, all others stay whatever they are called.
+rows count as so many pages; n_lines and n_dropped replace columns of these names, all others stay whatever they are called;
+very long texts are read whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations

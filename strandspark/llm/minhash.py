@@ -6,7 +6,8 @@ round that reaches it; two sets agree in a coordinate with a probability equal t
 
 Defined results: a null or wordless text has no shingles and no links; rows with a null id are never linked and are kept;
 equal sets are one class without any pair being made; repeated rows of one id give that row as often, and rows of one id with
-different texts are linked each by its own text; other columns are left out or passed through, whatever they are called.
+different texts are linked each by its own text; very long texts are read whole; an empty table gives an empty table; other columns
+are left out or passed through, whatever they are called.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 number of versioned policies, or ablations of them, are read off the ledger without touching the texts again.
 
 Defined results: a null or wordless text measures zero and fails too_few_words; repeated rows give that row as often; rows with
-a null id keep it.
+a null id keep it; very long texts are measured whole; an empty table gives an empty table; other columns are left out or passed
+through, whatever they are called.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ ids before it, is a prefix sum over the partitions' totals.
 
 Defined results: a null text is empty and gives the end id alone; a null document id is written as the smallest long, comes
 first and reads back as null; rows of one id follow each other in the order of their texts' hashes, repeated rows are written as
-often; other columns are left out, so their names don't matter; empty input gives no files.
+often; very long texts are encoded whole; other columns are left out, so their names don't matter; empty input gives no files.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ among toxic rows, else 1. Marks are the features that labelled toxic rows have f
 
 The fit reads a bounded sample of labelled rows, those with the smallest hashes of their ids (SAMPLE); scoring reads all rows.
 Defined results: a null or wordless text has the severity of no features; without two kinds of labels every severity is 0;
-repeated rows give that row as often; a null id is kept.
+repeated rows give that row as often; a null id is kept; very long texts are scored whole; an empty table gives an empty table;
+other columns are left out, whatever they are called.
 """
 
 from __future__ import annotations

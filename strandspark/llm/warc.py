@@ -9,7 +9,8 @@ payload. Payloads below min_revisit bytes are all responses.
 Defined results: a null page is an empty payload; a null id can't be referred to: such rows are responses; repeated rows of
 one id and payload are all responses where that id is the smallest, and share their record's id; rows of one id with different
 payloads are told apart by their digests; a null url is written without a target and reads back as null; line feeds in a url are
-percent-coded in the standard header and kept exactly in one of our own; other columns are left out, whatever they are called.
+percent-coded in the standard header and kept exactly in one of our own; very long pages are one record each; an empty table gives
+no archives and no rows; other columns are left out, whatever they are called.
 """
 
 from __future__ import annotations
