@@ -6,7 +6,7 @@ Parquet and read again as the next one's docs; all but the last return the colum
 Rows are judged one by one, not by their ids. Defined results for all stages: a row with a null id is judged as any other, and is a
 group of its own in near dedup; rows of one id are each kept or dropped by their own text, and repeated rows share one fate; a null
 or empty text has no words, so the quality rules drop it, and a stage called by itself passes it on (packing: its end id alone);
-extra columns come through whatever they are called; an empty table gives an empty table.
+extra columns come through whatever they are called; very long texts are read whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
