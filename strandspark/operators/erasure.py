@@ -85,13 +85,80 @@ def multiplier(total: Column, layer: Column, tries: int = 64) -> Column:
     return F.when(total <= 1, F.lit(1).cast("long")).otherwise(F.element_at(F.filter(odd, lambda m: gcd(m, total) == 1), 1).cast("long"))
 
 
-def interleaved(totals: DataFrame, layers: int, degree: int, first_seed: int = 1, key: str = "archive") -> DataFrame:
-    """(archive, seed, idx): the chunks of each interleaved symbol. A layer's symbols cover every chunk once; the layer's affine map scatters its runs."""
-    rows = totals.select(key, F.col("total").cast("long").alias("total"), F.explode(F.sequence(F.lit(1), F.lit(layers))).alias("layer"))
+def _scattered(rows: DataFrame, layers: int, degree: int, first_seed: int) -> DataFrame:
+    """rows (total, ...) with a row for each chunk of each interleaved symbol: columns seed and idx in place of total."""
+    own = [c for c in rows.columns if c != "total"]
+    rows = rows.select(*own, F.col("total").cast("long").alias("total"), F.explode(F.sequence(F.lit(1), F.lit(layers))).alias("layer"))
     rows = rows.withColumn("mult", multiplier(F.col("total"), F.col("layer"))).withColumn("shift", (F.col("layer") * F.lit(WEYL).cast("long")) % F.col("total"))
     rows = rows.withColumn("groups", F.ceil(F.col("total") / degree)).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("p"))
     seed = first_seed + (F.col("layer") - 1) * F.col("groups") + F.floor(F.col("p") / degree)
-    return rows.select(key, seed.cast("long").alias("seed"), ((F.col("mult") * F.col("p") + F.col("shift")) % F.col("total")).cast("int").alias("idx"))
+    return rows.select(*own, seed.cast("long").alias("seed"), ((F.col("mult") * F.col("p") + F.col("shift")) % F.col("total")).cast("int").alias("idx"))
+
+
+def interleaved(totals: DataFrame, layers: int, degree: int, first_seed: int = 1, key: str = "archive") -> DataFrame:
+    """(archive, seed, idx): the chunks of each interleaved symbol. A layer's symbols cover every chunk once; the layer's affine map scatters its runs."""
+    return _scattered(totals.select(key, "total"), layers, degree, first_seed)
+
+
+def _hashed(*parts: Column) -> Column:
+    """60 bits that depend on the parts alone."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
+
+
+def _drawn(rows: DataFrame, count: Column, most: int, first_seed: int, cdf: DataFrame | None) -> DataFrame:
+    """rows (total, ...) with a row for each chunk of each of `count` random symbols: columns seed and idx in place of total.
+
+    A symbol depends on (total, seed) alone, so a decoder needs no more. Its chunks are drawn by Floyd's method: for j from total - degree on, a hashed number up to j, or j where that is taken. So they
+    differ without rejection, and every set of a size is as likely as any other. A row's draws are one array, smaller than what they draw from, so that a payload beside them is not copied for each."""
+    own = [c for c in rows.columns if c != "total"]
+    total = F.col("total")
+    rows = rows.select(*own, total.cast("long").alias("total"), count.cast("long").alias("_count")).filter("_count > 0 and total > 0").withColumn("_bound", F.least(F.lit(most).cast("long"), total))
+    if cdf is not None:
+        steps = cdf.groupBy(F.col("k").cast("long").alias("_bound")).agg(F.transform(F.array_sort(F.collect_list(F.struct("degree", "cdf"))), lambda x: x["cdf"]).alias("_steps"))
+        rows = rows.join(F.broadcast(steps), "_bound")
+
+    def degree(seed: Column) -> Column:
+        bits = _hashed(F.lit("degree"), total, seed)
+        return bits % F.col("_bound") + 1 if cdf is None else F.size(F.filter("_steps", lambda c: c <= bits / F.lit(float(1 << 60)))) + 1
+
+    def draw(seed: Column) -> Column:
+        def step(taken: Column, j: Column) -> Column:
+            t = _hashed(total, seed, j) % (j + 1)
+            return F.concat(taken, F.array(F.when(F.array_contains(taken, t), j).otherwise(t)))
+
+        chosen = F.aggregate(F.sequence(total - degree(seed), total - 1), F.array().cast("array<bigint>"), step)
+        return F.transform(chosen, lambda i: F.struct(seed.alias("seed"), i.cast("int").alias("idx")))
+
+    seeds = F.sequence(F.lit(first_seed).cast("long"), first_seed + F.col("_count") - 1)
+    # no list is empty; the outer form keeps the optimizer from drawing twice to find that out
+    return rows.withColumn("_draws", F.flatten(F.transform(seeds, draw))).select(*own, F.explode_outer("_draws").alias("_draw")).select(*own, "_draw.seed", "_draw.idx")
+
+
+def random_layout(totals: DataFrame, count: Column, most: int = 4, first_seed: int = 1, cdf: DataFrame | None = None, key: str = "archive") -> DataFrame:
+    """(archive, seed, idx): the chunks of each of `count` (a column over total) random symbols, of any degree up to `most` with the same chance, or by the weights of cdf, the rows of soliton() for
+    every k up to `most` (at most most * most of them, which is what is broadcast)."""
+    return _drawn(totals.select(key, "total"), count, most, first_seed, cdf)
+
+
+def _cut(payloads: DataFrame, width: int, key: str, data: str) -> DataFrame:
+    total = F.greatest(F.lit(1), F.ceil(F.octet_length(data) / width)).cast("long")
+    return payloads.filter(F.col(data).isNotNull()).select(key, F.col(data).alias("_all"), total.alias("total"))
+
+
+def _within(rows: DataFrame, width: int, key: str) -> DataFrame:
+    piece = F.substring(F.col("_all"), F.col("idx") * width + 1, F.lit(width))
+    return xor_payloads(rows.select(key, "seed", piece.alias("payload")), [key, "seed"], "payload", width)
+
+
+def interleaved_symbols(payloads: DataFrame, layers: int, degree: int, width: int, first_seed: int = 1, key: str = "archive", data: str = "payload") -> DataFrame:
+    """(archive, seed, payload): interleaved symbols of whole payloads (archive, payload). A payload's chunks are cut where it stands, so only symbols, already combined, are shuffled."""
+    return _within(_scattered(_cut(payloads, width, key, data), layers, degree, first_seed), width, key)
+
+
+def random_symbols(payloads: DataFrame, redundancy: float, width: int, most: int = 4, first_seed: int = 1, cdf: DataFrame | None = None, key: str = "archive", data: str = "payload") -> DataFrame:
+    """(archive, seed, payload): random symbols of whole payloads, as many as symbol_count says; their chunks are those of random_layout."""
+    count = symbol_count(F.col("total"), redundancy, most, False)
+    return _within(_drawn(_cut(payloads, width, key, data), count, most, first_seed, cdf), width, key)
 
 
 def symbol_count(total: Column, redundancy: float, degree: int, interleaved_layout: bool) -> Column:

@@ -25,6 +25,18 @@ layers AS (SELECT archive, total, unnest([1, 2]) AS layer FROM totals),
 mults AS (SELECT archive, total, layer, CASE WHEN total <= 1 THEN 1 ELSE list_min(list_filter(list_transform(range(0, 64), lambda i: greatest(3, 2 * layer + 1) + 2 * i), lambda m: gcd(m, total) = 1)) END AS mult, (layer * 2654435761) % total AS shift FROM layers),
 indexes AS (SELECT archive, layer, 1 + (layer - 1) * ((total + 7) // 8) + p // 8 AS seed, ((mult * p + shift) % total)::INT AS idx FROM (SELECT *, unnest(range(0, total)) AS p FROM mults))"""
 
+# random symbols: degree and then chunk after chunk by Floyd's method from hashed numbers of 60 bits
+_BITS = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
+_DRAWN = f"""drawn(total, seed, degree, j, taken) AS (SELECT total, seed, degree, total - degree, []::BIGINT[] FROM wanted
+  UNION ALL SELECT total, seed, degree, j + 1, list_append(taken, CASE WHEN list_contains(taken, {_BITS.format("concat_ws(':', total, seed, j)")} % (j + 1)) THEN j ELSE {_BITS.format("concat_ws(':', total, seed, j)")} % (j + 1) END) FROM drawn WHERE j < total),
+chosen AS MATERIALIZED (SELECT total, seed, degree, unnest(taken) AS idx FROM drawn WHERE j = total)"""
+_SEEDS = "seeds AS (SELECT total, unnest(range(1, 1 + greatest(1, ceil(total * {0}::DOUBLE))::BIGINT)) AS seed FROM (SELECT DISTINCT total FROM totals))"
+_SOLITON = """s AS (SELECT k, greatest(0.025 * ln(k / 0.001) * sqrt(k), 1e-12) AS s FROM ks),
+m AS (SELECT k, s, greatest(1, least(floor(k / s), k)) AS m, unnest(range(1, k::BIGINT + 1)) AS degree FROM s),
+w AS (SELECT k, degree, greatest(0.0, CASE WHEN degree = 1 THEN 1 / k ELSE 1.0::DOUBLE / (degree * (degree - 1)) END + CASE WHEN degree < m THEN s / (k * degree) WHEN degree = m THEN s / k * ln(s / 0.001) ELSE 0 END) AS w FROM m),
+cdfs AS (SELECT k, degree, CASE WHEN degree = k THEN 1.0 ELSE sum(w) OVER (PARTITION BY k ORDER BY degree) / sum(w) OVER (PARTITION BY k) END AS cdf FROM w)"""
+_TOTALS = "totals AS (SELECT archive, greatest(1, (size + 31) // 32)::BIGINT AS total FROM payloads)"
+
 # pairs that reach the threshold keep enough common 8-grams: k edits spoil at most 8 k
 # all pages as one file: chunks, runs of chunks, and the digests of digests
 _FILE = """WITH whole AS (SELECT hex(encode(string_agg(coalesce(html, ''), '' ORDER BY page_id))) AS h FROM pages),
@@ -136,12 +148,14 @@ SQL: dict[str, str] = {
     "xor_repair": "SELECT doc_id AS archive, sha256(encode(text)) AS digest, true AS verified FROM documents",
     "fountain_indexes": f"WITH {_INDEX} SELECT archive, seed, count(*) AS degree, sum(idx)::BIGINT AS total_idx, min(idx) AS least, max(idx) AS most FROM indexes GROUP BY ALL",
     "fountain_payloads": f"WITH {_CELLS}, {_INDEX[_INDEX.index('totals AS'):]}, x AS (SELECT c.archive, seed, pos, bit_xor(v) AS v FROM cells c JOIN indexes i ON c.archive = i.archive AND c.idx = i.idx AND layer = 1 GROUP BY ALL) SELECT archive, seed, {_BLOCK} AS block FROM x GROUP BY ALL",
+    "random_fountain": f"""WITH RECURSIVE {_CELLS}, {_TOTALS}, {_SEEDS.format(0.35)}, wanted AS MATERIALIZED (SELECT total, seed, {_BITS.format("concat_ws(':', 'degree', total, seed)")} % least(4, total) + 1 AS degree FROM seeds), {_DRAWN},
+x AS (SELECT c.archive, seed, pos, bit_xor(v) AS v FROM cells c JOIN chosen i ON c.total = i.total AND c.idx = i.idx GROUP BY ALL) SELECT archive, seed, {_BLOCK} AS block FROM x GROUP BY ALL""",
+    "soliton_fountain": f"""WITH RECURSIVE {PAYLOADS}, {_TOTALS}, {_SEEDS.format(0.5)}, ks AS (SELECT unnest(range(1, 33))::DOUBLE AS k), {_SOLITON},
+wanted AS MATERIALIZED (SELECT total, seed, min(degree) AS degree FROM (SELECT total, seed, {_BITS.format("concat_ws(':', 'degree', total, seed)")} / 1152921504606846976::DOUBLE AS u FROM seeds) JOIN cdfs ON k = least(32, total) AND u < cdf GROUP BY ALL), {_DRAWN},
+each AS (SELECT archive, c.seed, any_value(degree) AS degree, sum(idx) AS s FROM totals t JOIN chosen c ON t.total = c.total GROUP BY ALL) SELECT degree, count(*) AS symbols, sum(s)::BIGINT AS total_idx FROM each GROUP BY 1""",
     "symbol_counts": f"WITH {PAYLOADS}, t AS (SELECT archive, greatest(1, (size + 31) // 32) AS n FROM payloads) SELECT archive, (3 * ((n + 7) // 8))::BIGINT AS interleaved, greatest(1, ceil(n * 0.35::DOUBLE))::BIGINT AS random FROM t",
     "peel_fixpoint": "SELECT true AS verified, count(*) AS n FROM documents",
-    "soliton_cdf": """WITH k AS (SELECT DISTINCT p_size::DOUBLE AS k FROM part), s AS (SELECT k, greatest(0.025 * ln(k / 0.001) * sqrt(k), 1e-12) AS s FROM k),
-m AS (SELECT k, s, greatest(1, least(floor(k / s), k)) AS m, unnest(range(1, k::BIGINT + 1)) AS degree FROM s),
-w AS (SELECT k, degree, greatest(0.0, CASE WHEN degree = 1 THEN 1 / k ELSE 1.0::DOUBLE / (degree * (degree - 1)) END + CASE WHEN degree < m THEN s / (k * degree) WHEN degree = m THEN s / k * ln(s / 0.001) ELSE 0 END) AS w FROM m)
-SELECT k, degree, round(CASE WHEN degree = k THEN 1.0 ELSE sum(w) OVER (PARTITION BY k ORDER BY degree) / sum(w) OVER (PARTITION BY k) END, 9) AS cdf FROM w""",
+    "soliton_cdf": f"WITH ks AS (SELECT DISTINCT p_size::DOUBLE AS k FROM part), {_SOLITON} SELECT k, degree, round(cdf, 9) AS cdf FROM cdfs",
     "archive_recover": "SELECT doc_id AS archive, sha256(encode(text)) AS digest, true AS verified FROM documents WHERE text IS NOT NULL",
     "qgram_postings": f"WITH {READS}, g AS (SELECT id, unnest(CASE WHEN length(seq) < 8 THEN [seq] ELSE list_transform(range(1, length(seq) - 6), lambda i: substr(seq, i, 8)) END) AS gram FROM reads) SELECT gram, count(DISTINCT id) AS reads, count(*) AS times FROM g GROUP BY 1",
     "file_ranges": f"""{_FILE.format(chunk=4096, span=16)} SELECT run, chunks, bytes, digest, file_digest FROM runs, whole_file""",

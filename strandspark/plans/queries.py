@@ -65,15 +65,13 @@ def constraint_violations(spark, d):
 
 @query
 def archive_counts(spark, d):
-    """Strand counts and nucleotides of every document under every profile, without encoding."""
-    rows = inputs.payloads(spark, d).select("archive", F.octet_length("payload").alias("size"))
-    out = None
+    """Strand counts and nucleotides of every document under every profile, without encoding, in one scan."""
+    rows, sums = inputs.payloads(spark, d).select(F.octet_length("payload").alias("size")), []
     for name in archive.PROFILES:
         c = archive.profile(name)
         data, parity, nt = archive.counts(F.col("size"), archive.Config(c.chunk_size, "xor", c.group, layout=c.layout))
-        one = rows.agg(F.lit(name).alias("profile"), F.sum(data).alias("data"), F.sum(parity).alias("parity"), F.sum(nt).alias("nucleotides"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        sums.append(F.struct(F.lit(name).alias("profile"), F.sum(data).alias("data"), F.sum(parity).alias("parity"), F.sum(nt).alias("nucleotides")))
+    return rows.agg(F.array(*sums).alias("all")).select(F.inline("all"))
 
 
 @query
@@ -147,9 +145,22 @@ def fountain_indexes(spark, d):
 @query
 def fountain_payloads(spark, d):
     """The XOR of each symbol's chunks."""
-    rows = erasure.chunks(inputs.payloads(spark, d), 32)
+    return erasure.interleaved_symbols(inputs.payloads(spark, d), 1, 8, 32).select("archive", "seed", F.lower(F.hex("payload")).alias("block"))
+
+
+@query
+def random_fountain(spark, d):
+    """Random symbols of every document: the XOR of one to four chunks that (number of chunks, seed) choose."""
+    return erasure.random_symbols(inputs.payloads(spark, d), 0.35, 32).select("archive", "seed", F.lower(F.hex("payload")).alias("block"))
+
+
+@query
+def soliton_fountain(spark, d):
+    """How many random symbols have each degree, where degrees follow the robust soliton distribution up to 32 chunks, and a sum over the chunks they hold."""
+    weights = erasure.soliton(spark.range(1, 33).select(F.col("id").cast("double").alias("k")))
     totals = archive.metadata(inputs.payloads(spark, d), archive.Config(32)).select("archive", "total")
-    return erasure.symbols(rows, erasure.interleaved(totals, 1, 8), 32).select("archive", "seed", F.lower(F.hex("payload")).alias("block"))
+    held = erasure.random_layout(totals, erasure.symbol_count(F.col("total"), 0.5, 32, False), 32, cdf=weights)
+    return held.groupBy("archive", "seed").agg(F.count(F.lit(1)).alias("degree"), F.sum("idx").alias("s")).groupBy("degree").agg(F.count(F.lit(1)).alias("symbols"), F.sum("s").alias("total_idx"))
 
 
 @query
