@@ -143,6 +143,8 @@ SQL: dict[str, str] = {
     "constraint_violations": f"""WITH {_STRANDS}, m AS (SELECT {_GC} AS gc, {_RUN} AS run FROM strands) SELECT * FROM (SELECT 'below' AS side, 'gc' AS what, count(*) FILTER (gc < 0.35) AS n FROM m UNION ALL SELECT 'above', 'gc', count(*) FILTER (gc > 0.65) FROM m UNION ALL SELECT 'above', 'run', count(*) FILTER (run > 4) FROM m) WHERE n > 0""",
     "archive_counts": _profiles(),
     "chunk_digest": "WITH p AS (SELECT page_id AS archive, hex(encode(html)) AS h FROM pages), c AS (SELECT archive, h, unnest(range(0, greatest(1, (length(h) + 8191) // 8192)))::INT AS idx FROM p) SELECT archive, idx, sha256(unhex(substr(h, idx * 8192 + 1, 8192))) AS digest FROM c",
+    "bundle_contents": f"""WITH {PAYLOADS}, n AS (SELECT sum((size + 31) // 32)::BIGINT AS records, sum(4 * size)::BIGINT AS nucleotides FROM payloads)
+SELECT member, CASE member WHEN 'rejected' THEN 0 ELSE records END AS records, CASE member WHEN 'rejected' THEN 0 ELSE nucleotides END AS nucleotides, records AS declared FROM n, (SELECT unnest(['fasta', 'csv', 'rejected']) AS member)""",
     "mask_selectors": "WITH e AS (SELECT event_id, (event_id % 256)::INT AS mask FROM events) SELECT event_id, mask, CASE WHEN mask < 16 THEN mask + 176 WHEN mask < 192 THEN mask - 16 ELSE mask END::INT AS selector, mask AS back FROM e",
     "xor_parity": f"WITH {_CELLS}, x AS (SELECT archive, idx // 8 AS grp, pos, bit_xor(v) AS v FROM cells GROUP BY ALL) SELECT archive, grp::INT AS grp, {_BLOCK} AS block FROM x GROUP BY ALL",
     "xor_repair": "SELECT doc_id AS archive, sha256(encode(text)) AS digest, true AS verified FROM documents",

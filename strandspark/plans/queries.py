@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna, frames
 from ..operators import analytics, archive, channel, consensus, erasure, learning, scoring, similarity
-from ..sources import documents, ranges, records, shards
+from ..sources import bundles, documents, ranges, records, sequences, shards
 from . import inputs
 from .store import kept, new_path
 
@@ -109,6 +109,20 @@ def file_repair(spark, d):
     return ranges.digests(full, 64).join(own, ["file", "run"], "left").select("run", "chunks", "bytes", "digest", (F.col("digest") == F.col("original")).alias("same"))
 
 
+@query
+def bundle_contents(spark, d):
+    """All documents' strands as FASTA and CSV in one bundle, checked against its manifest and read back by ranges."""
+    rows = kept(_strands(spark, d).filter("seq <> ''").select(F.monotonically_increasing_id().alias("ordinal"), F.lit("data").alias("kind"), "idx", "seq"), "strands")
+    path = new_path(spark, "bundle")
+    bundles.write(spark, path, {"oligos.fasta": lambda p: sequences.write_fasta(rows, p), "oligos.csv": lambda p: sequences.write_oligo_csv(rows, p)}, {"strands": rows.count()})
+    said = bundles.checked(spark, path)["strands"]
+    fasta, rejected = records.sequence_ranges(spark, ranges.uri(f"{path}/oligos.fasta"), 1 << 20)
+    table = spark.read.option("header", "true").csv(f"{path}/oligos.csv").select("sequence")
+    parts = [("fasta", fasta.select("seq")), ("csv", table.toDF("seq")), ("rejected", rejected.select(F.col("head").alias("seq")))]
+    sums = [x.agg(F.lit(name).alias("member"), F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("nucleotides")) for name, x in parts]
+    return sums[0].unionByName(sums[1]).unionByName(sums[2]).withColumn("declared", F.lit(said).cast("long"))
+
+
 @query
 def mask_selectors(spark, d):
     """The selector byte of each event's mask, and back."""
