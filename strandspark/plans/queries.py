@@ -111,10 +111,10 @@ def file_repair(spark, d):
 
 @query
 def bundle_contents(spark, d):
-    """All documents' strands as FASTA and CSV in one bundle, checked against its manifest and read back by ranges."""
+    """All documents' strands as packed FASTA and CSV in one bundle, checked against its manifest and read back part by part."""
     rows = kept(_strands(spark, d).filter("seq <> ''").select(F.monotonically_increasing_id().alias("ordinal"), F.lit("data").alias("kind"), "idx", "seq"), "strands")
     path = new_path(spark, "bundle")
-    bundles.write(spark, path, {"oligos.fasta": lambda p: sequences.write_fasta(rows, p), "oligos.csv": lambda p: sequences.write_oligo_csv(rows, p)}, {"strands": rows.count()})
+    bundles.write(spark, path, {"oligos.fasta": lambda p: sequences.write_fasta(rows, p, "gzip"), "oligos.csv": lambda p: sequences.write_oligo_csv(rows, p, "gzip")}, {"strands": rows.count()})
     said = bundles.checked(spark, path)["strands"]
     fasta, rejected = records.sequence_ranges(spark, ranges.uri(f"{path}/oligos.fasta"), 1 << 20)
     table = spark.read.option("header", "true").csv(f"{path}/oligos.csv").select("sequence")
