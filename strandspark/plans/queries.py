@@ -112,7 +112,8 @@ def file_repair(spark, d):
 @query
 def bundle_contents(spark, d):
     """All documents' strands as packed FASTA and CSV in one bundle, checked against its manifest and read back part by part."""
-    rows = kept(_strands(spark, d).filter("seq <> ''").select(F.monotonically_increasing_id().alias("ordinal"), F.lit("data").alias("kind"), "idx", "seq"), "strands")
+    chunks = erasure.chunks(inputs.payloads(spark, d), 32).filter(F.octet_length("payload") > 0)
+    rows = kept(chunks.select(F.monotonically_increasing_id().alias("ordinal"), F.lit("data").alias("kind"), "idx", F.col("payload").alias("packed")), "strands")
     path = new_path(spark, "bundle")
     bundles.write(spark, path, {"oligos.fasta": lambda p: sequences.write_fasta(rows, p, "gzip"), "oligos.csv": lambda p: sequences.write_oligo_csv(rows, p, "gzip")}, {"strands": rows.count()})
     said = bundles.checked(spark, path)["strands"]
