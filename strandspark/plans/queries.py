@@ -230,6 +230,37 @@ def rotating_roundtrip(spark, d):
     return archive.joined(rows, archive.metadata(p, archive.Config(32))).select("archive", F.sha2("payload", 256).alias("digest"), "verified")
 
 
+ROTATING = archive.RotatingConfig()
+
+
+@query
+def rotating_report(spark, d):
+    """Sizes of every document's framed rotating strands with XOR groups of four chunks."""
+    p = inputs.payloads(spark, d)
+    rows = archive.rotating_report(archive.rotating_encoded(p, ROTATING), archive.metadata(p, archive.Config(ROTATING.chunk_size)))
+    return rows.select(*rows.columns[:-1], F.round("bits_per_nucleotide", 6).alias("bits_per_nucleotide"))
+
+
+@query
+def rotating_recover(spark, d):
+    """Framed rotating strands of all documents, one chunk of each group of four lost and one strand more with a wrong base, repaired by XOR and put together."""
+    p = inputs.payloads(spark, d)
+    s = archive.rotating_encoded(p, ROTATING).filter("kind <> 'data' or idx % 4 <> 1")
+    reads = s.select("archive", F.when(F.col("kind") == "data", F.col("idx")).otherwise(-1).alias("ordinal"), F.when(F.col("idx") % 2 == 0, F.lower("seq")).otherwise(F.col("seq")).alias("seq"))
+    wrong = reads.filter("ordinal = 0").withColumn("seq", F.concat(F.expr("left(seq, length(seq) - 1)"), F.lit("N")))
+    return archive.rotating_recovered(reads.unionByName(wrong), archive.metadata(p, archive.Config(ROTATING.chunk_size)), ROTATING).select("archive", F.sha2("payload", 256).alias("digest"), "verified")
+
+
+@query
+def hybrid_recover(spark, d):
+    """Parity and fountain strands together: of every document's framed strands one chunk of each group of eight is lost, and with every sixteenth group its parity, so that only symbols restore its chunk."""
+    c = archive.Config(48, "hybrid", 8, layers=4, layout=CODE.layout)
+    p = inputs.payloads(spark, d)
+    s = archive.encoded(p, c).filter("not (kind = 'data' and idx % 8 = 5 or kind = 'parity' and idx % 16 = 0)")
+    reads = s.select("archive", F.struct("kind", "idx").alias("ordinal"), "seq")
+    return archive.recovered(reads, archive.metadata(p, c), c).select("archive", F.sha2("payload", 256).alias("digest"), "verified")
+
+
 @query
 def archive_recover(spark, d):
     """Framed, whitened and Reed-Solomon coded strands of every document, one of eight lost and the others with a wrong base, back to bytes."""
