@@ -111,6 +111,30 @@ def timeouts(trials: DataFrame, keys: list[str], limit: float) -> DataFrame:
     )
 
 
+def hotspots(trials: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kind, name, n) of trials (keys, verified, timed_out, stage, stack array of (file, line, function)), nothing left out: how many trials, successes and timeouts there are, in which stages
+    trials timed out (null: unknown), and which innermost frame each was stopped in, as file:line:function with ? for what is null; a timeout without a stack has no location. Kinds without rows are absent,
+    but for trials. Nulls in verified and timed_out count as false."""
+    late = F.coalesce("timed_out", F.lit(False))
+    frame = F.when(late & (F.size("stack") > 0), F.element_at("stack", -1))
+    at = F.concat_ws(":", *(F.coalesce(frame[x].cast("string"), F.lit("?")) for x in ("file", "line", "function")))
+    facts = [
+        (F.lit(True), "trials", F.lit("all")), (F.coalesce("verified", F.lit(False)), "successes", F.lit("all")), (late, "timeouts", F.lit("all")),
+        (late, "stage", F.coalesce("stage", F.lit("unknown"))), (late & (F.size("stack") > 0), "location", at),
+    ]
+    said = F.array(*(F.when(c, F.struct(F.lit(kind).alias("kind"), name.alias("name"))) for c, kind, name in facts))
+    return trials.select(*keys, F.explode(said).alias("x")).filter("x is not null").groupBy(*keys, "x.kind", "x.name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def assignment_histograms(assigned: DataFrame, reads: DataFrame) -> DataFrame:
+    """(measure, value, n): how many reads (id, seq) have each length, how many of assigned (id, ref, hits, distance) each number of anchor hits and each distance, and how many references each number of reads."""
+    lengths = reads.groupBy(F.lit("read_length").alias("measure"), F.length("seq").cast("long").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    each = F.array(*(F.struct(F.lit(name).alias("measure"), F.col(c).cast("long").alias("value")) for name, c in (("anchor_hits", "hits"), ("distance", "distance"))))
+    own = assigned.select(F.explode(each).alias("x")).groupBy("x.measure", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    sizes = assigned.groupBy("ref").agg(F.count(F.lit(1)).alias("value")).groupBy(F.lit("reads_of_reference").alias("measure"), "value").agg(F.count(F.lit(1)).alias("n"))
+    return lengths.unionByName(own).unionByName(sizes)
+
+
 def partials(trials: DataFrame, keys: list[str]) -> DataFrame:
     """Sums of one shard of trials that add up over shards."""
     return trials.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("recovered").cast("long")).alias("successes"), F.sum("overhead").alias("overhead"), F.sum("runtime").alias("runtime"))

@@ -134,19 +134,39 @@ def column_votes(members: DataFrame) -> DataFrame:
     return best.join(voters, "cluster", "left").join(texts, "cluster", "left").select("cluster", F.when(F.col("voters") >= 2, F.col("voted")).otherwise(F.col("medoid")).alias("consensus"))
 
 
-def nearest(reads: DataFrame, references: DataFrame, threshold: float = 0.7, block: int = 200) -> DataFrame:
-    """(id, ref, similarity) of each read (id, seq): the most similar reference (ref, seq), the smallest on ties; null below the threshold. The references are the stated query set: they come
-    to each distinct read as literals, block by block, so no pairs are made as rows."""
-    heads = reads.filter(F.trim("seq") != "").groupBy("seq").agg(F.min("id").alias("head"))
-    refs = references.select("ref", "seq").filter("seq is not null").collect()
-    tops = []
-    for k in range(0, len(refs), block):
-        some = F.array(*(F.struct(F.lit(r["seq"]).alias("seq"), F.lit(r["ref"]).cast("long").alias("ref")) for r in refs[k : k + block]))
-        tops.append(F.array_max(F.transform(some, lambda x: F.struct(dna.similarity(F.col("seq"), x["seq"]).alias("similarity"), (-x["ref"]).alias("neg")))))
-    none = F.lit(None).cast("struct<similarity: double, neg: bigint>")
-    best = heads.select("seq", (F.array_max(F.array(*tops)) if tops else none).alias("x"))
-    good = F.col("x.similarity") >= threshold
-    return reads.join(best, "seq").select("id", F.when(good, -F.col("x.neg")).alias("ref"), F.when(good, F.col("x.similarity")).alias("similarity"))
+#: References that go to all tasks at once: so many bases, a byte each.
+NEAREST_BASES = 32 << 20
+
+
+def nearest(reads: DataFrame, references: DataFrame, threshold: float = 0.7, block: int = 200, most: int = NEAREST_BASES) -> DataFrame:
+    """(id, ref, similarity) of each read (id, seq): the most similar reference (ref, seq), the smallest on ties; null below the threshold, or without references.
+
+    The references are a stated query set. They meet each distinct read in blocks of about `block`, as arrays that are broadcast, so that a read has one row for each block and no pair is a row. Sets of
+    more than `most` bases are dealt into slices by hash, each broadcast by itself against the reads. Lengths that differ too much are passed over, and distances end at what the threshold allows."""
+    heads = kept(reads.filter(F.trim("seq") != "").groupBy("seq").agg(F.min("id").alias("head")).select("seq"), "heads")
+    refs = references.select(F.col("ref").cast("long").alias("ref"), "seq").filter("seq is not null")
+    n, bases = refs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("seq") + 16), F.lit(0))).first()
+    slices = -(-bases // most)
+    where = F.xxhash64("ref", "seq")
+    refs = kept(refs.groupBy(F.pmod(where, F.lit(max(1, slices))).alias("slice"), F.pmod(F.shiftright(where, 20), F.lit(-(-n // (block * max(1, slices))) or 1)).alias("block")).agg(F.collect_list(F.struct("seq", "ref")).alias("refs")), "references")
+    parts = []
+    for k in range(slices):
+        both = heads.crossJoin(F.broadcast(refs.filter(F.col("slice") == k).select("refs")))
+        parts.append(both.select("seq", F.array_max(F.transform("refs", lambda x: _likeness(F.col("seq"), x, threshold))).alias("x")).groupBy("seq").agg(F.max("x").alias("x")))
+    best = heads.select("seq", F.lit(None).cast("struct<similarity: double, neg: bigint>").alias("x"))
+    for part in parts:
+        best = best.unionByName(part)
+    best = best.groupBy("seq").agg(F.max("x").alias("x"))
+    return reads.join(best, "seq").select("id", (-F.col("x.neg")).alias("ref"), F.col("x.similarity").alias("similarity"))
+
+
+def _likeness(seq: Column, ref: Column, threshold: float) -> Column:
+    """(similarity, neg) of a strand and a reference (seq, ref), neg being the reference's negative number; null below the threshold."""
+    longer = F.greatest(F.length(seq), F.length(ref["seq"]), F.lit(1))
+    allowed = edits_allowed(longer, threshold)
+    distance = F.when(F.abs(F.length(seq) - F.length(ref["seq"])) <= allowed, F.call_function("levenshtein", seq, ref["seq"], allowed))
+    likeness = 1 - distance / longer
+    return F.when((distance >= 0) & (likeness >= threshold), F.struct(likeness.alias("similarity"), (-ref["ref"]).alias("neg")))
 
 
 def anchor_index(references: DataFrame, k: int = 13, step: int = 8, edge: int = 20) -> DataFrame:

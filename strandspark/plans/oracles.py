@@ -265,6 +265,14 @@ FROM trials WHERE seed % 4 = 0 AND payload_size % 3072 = 0 GROUP BY ALL""",
 a AS (SELECT * FROM g WHERE strategy = 'fixed'), b AS (SELECT * FROM g WHERE strategy = 'combined')
 SELECT coalesce(a.scenario, b.scenario) AS scenario, coalesce(a.payload_size, b.payload_size) AS payload_size, CASE WHEN b.strategy IS NULL THEN 'left only' WHEN a.strategy IS NULL THEN 'right only' ELSE 'both' END AS side,
   round(a.rate, 6) AS left_rate, round(b.rate, 6) AS right_rate, round(b.rate - a.rate, 6) AS change_rate, round(b.rt - a.rt, 6) AS change_mean_runtime FROM a FULL JOIN b ON a.scenario = b.scenario AND a.payload_size = b.payload_size""",
+    "assignment_histograms": f"""{_ANCHORED} SELECT 'read_length' AS measure, length(seq)::BIGINT AS value, count(*) AS n FROM reads WHERE seq IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'anchor_hits', hits, count(*) FROM anchored GROUP BY hits UNION ALL SELECT 'distance', distance, count(*) FROM anchored GROUP BY distance
+UNION ALL SELECT 'reads_of_reference', c, count(*) FROM (SELECT count(*) AS c FROM anchored GROUP BY ref) GROUP BY c""",
+    "timeout_hotspots": f"""WITH {TRIALS}, late AS (SELECT * FROM trials WHERE runtime > 55)
+SELECT strategy, scenario, 'trials' AS kind, 'all' AS name, count(*) AS n FROM trials GROUP BY ALL UNION ALL SELECT strategy, scenario, 'successes', 'all', count(*) FROM trials WHERE recovered GROUP BY ALL
+UNION ALL SELECT strategy, scenario, 'timeouts', 'all', count(*) FROM late GROUP BY ALL
+UNION ALL SELECT strategy, scenario, 'stage', CASE seed % 3 WHEN 0 THEN 'encode' WHEN 1 THEN 'decode' ELSE 'unknown' END AS stage, count(*) FROM late GROUP BY ALL
+UNION ALL SELECT strategy, scenario, 'location', CASE WHEN line = 2 THEN 'peel:' || seed || ':?' WHEN line % 2 = 0 THEN 'peel:' || line || ':solve' ELSE 'peel:?:solve' END AS place, count(*) FROM late WHERE line > 1 GROUP BY ALL""",
     "event_windows": """WITH e AS (SELECT DISTINCT user_id, ts, event_type FROM events), w AS (SELECT event_type, unnest([floor(epoch(ts))::BIGINT // 1800 * 1800, floor(epoch(ts))::BIGINT // 1800 * 1800 - 1800]) AS start FROM e)
 SELECT start, event_type, count(*) AS n FROM w GROUP BY ALL""",
 }

@@ -693,6 +693,25 @@ def assignment_summary(spark, d):
     return rows.withColumn("mapping_rate", F.round("mapping_rate", 9))
 
 
+@query
+def assignment_histograms(spark, d):
+    """Histograms of the documents' lengths as strands, of anchor hits and distances, and of reads for each reference."""
+    r = inputs.reads(spark, d)
+    return analytics.assignment_histograms(kept(similarity.anchored(r, r.withColumnRenamed("id", "ref")), "assigned"), r.filter("seq is not null"))
+
+
+@query
+def timeout_hotspots(spark, d):
+    """Line items as trials that stop above a limit of runtime, with the frames of their call: counts, stages and innermost frames."""
+    frame = lambda f, n, g: F.struct(F.lit(f).alias("file"), n.alias("line"), F.lit(g).alias("function"))
+    t = inputs.trials(spark, d)
+    inner = F.when(F.col("line") > 2, F.array(frame("peel", F.when(F.col("line") % 2 == 0, F.col("line")), "solve"))).otherwise(F.array(frame("peel", F.col("seed"), None)))
+    stack = F.when(F.col("line") == 1, F.array().cast(t.select(inner.alias("x")).schema["x"].dataType)).otherwise(F.concat(F.array(frame("main", F.lit(9).cast("long"), "run")), inner))
+    stage = F.when(F.col("seed") % 3 == 0, "encode").when(F.col("seed") % 3 == 1, "decode")
+    rows = t.select("strategy", "scenario", F.col("recovered").alias("verified"), (F.col("runtime") > 55).alias("timed_out"), stage.alias("stage"), stack.alias("stack"))
+    return analytics.hotspots(rows, ["strategy", "scenario"])
+
+
 @query
 def event_windows(spark, d):
     """Events in windows of an hour, sliding by half of one, without repeated (user, time, type)."""
