@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from ..plans.inputs import spread
 from ..plans.store import kept
 
 
@@ -143,7 +144,7 @@ def nearest(reads: DataFrame, references: DataFrame, threshold: float = 0.7, blo
 
     The references are a stated query set. They meet each distinct read in blocks of about `block`, as arrays that are broadcast, so that a read has one row for each block and no pair is a row. Sets of
     more than `most` bases are dealt into slices by hash, each broadcast by itself against the reads. Lengths that differ too much are passed over, and distances end at what the threshold allows."""
-    heads = kept(reads.filter(F.trim("seq") != "").groupBy("seq").agg(F.min("id").alias("head")).select("seq"), "heads")
+    heads = spread(kept(reads.filter(F.trim("seq") != "").select("seq").distinct(), "heads"))
     refs = references.select(F.col("ref").cast("long").alias("ref"), "seq").filter("seq is not null")
     n, bases = refs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("seq") + 16), F.lit(0))).first()
     slices = -(-bases // most)
