@@ -1,10 +1,12 @@
 """Similarity joins: no pair at the limit of edits is lost, and nothing many times a table's file is broadcast."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from strandspark.functions import align
 from strandspark.operators import similarity
 
 
@@ -45,3 +47,23 @@ def test_strands_and_their_pieces_are_not_broadcast(spark, tmp_path):
     spark.createDataFrame(rows, "id long, seq string").write.parquet(f"{tmp_path}/heads")
     found = similarity.edges(spark.read.parquet(f"{tmp_path}/heads"), 0.9)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distances_within_a_bound_are_those_of_the_whole_table():
+    rng = random.Random(5)
+    for bases in ("ACGT", "A", "AC"):
+        for n in (0, 1, 2, 17, 40, 90):
+            a = "".join(rng.choices(bases, k=n))
+            for b in (*(_edited(rng, a, k, end) for k in (0, 1, 5, 20) for end in (None, 0, 1) if n), "", "".join(rng.choices(bases, k=30))):
+                want = align.edit_distance(a, b)
+                assert align.distance(a, b) == want
+                for most in (0, 1, want - 1, want, want + 1, 200):
+                    assert most < 0 or align.distance_within(a, b, most) == (want if want <= most else -1)
+
+
+def test_long_strands_that_share_a_segment_end_soon():
+    rng = random.Random(6)
+    a, b = ("".join(rng.choices("ACGT", k=20000)) for _ in range(2))
+    began = time.process_time()
+    assert all(align.distance_within(a, b[:k] + b, 2000) == -1 for k in range(10)) and align.distance(a, _edited(rng, a, 150, None)) <= 150
+    assert time.process_time() - began < 20  # 6 G cells of whole tables
