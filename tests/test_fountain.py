@@ -78,3 +78,18 @@ def test_no_payloads(spark):
     none = spark.createDataFrame([], "archive long, payload binary")
     assert erasure.random_symbols(none, 0.5, 32).count() == 0 and erasure.interleaved_symbols(none, 1, 8, 32).count() == 0
     assert erasure.random_layout(spark.createDataFrame([(1, 5)], "archive long, total int"), F.lit(0)).count() == 0
+
+
+def test_peeling_writes_what_is_known_once(spark):
+    names = []
+
+    def keep(df, name):
+        names.append(name)
+        return kept(df, name)
+
+    payloads = spark.createDataFrame([(k, bytes((k * j) % 251 for j in range(32 * 40))) for k in range(1, 6)], "archive long, payload binary")
+    rows, totals = erasure.chunks(payloads, 32), archive.metadata(payloads, archive.Config(32)).select("archive", "total")
+    index = kept(erasure.interleaved(totals, 3, 8), "index")
+    got = erasure.peeled(rows.filter("idx not in (2, 17, 30)"), index, erasure.symbols(rows, index, 32), 32, keep)
+    assert {(r.archive, r.idx, bytes(r.payload)) for r in got.collect()} == {(r.archive, r.idx, bytes(r.payload)) for r in rows.collect()}
+    assert got.count() == 200 and names.count("known") == 1 and names.count("peeled") > 1
