@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from strandspark.functions import align
+from strandspark.functions import align, near
 from strandspark.operators import similarity
 
 
@@ -67,3 +67,29 @@ def test_long_strands_that_share_a_segment_end_soon():
     began = time.process_time()
     assert all(align.distance_within(a, b[:k] + b, 2000) == -1 for k in range(10)) and align.distance(a, _edited(rng, a, 150, None)) <= 150
     assert time.process_time() - began < 20  # 6 G cells of whole tables
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.75, 0.9, 0.97])
+def test_blocks_give_all_near_pairs(threshold, monkeypatch):
+    monkeypatch.setattr(near, "PIECES", 50)  # strands and hits are cut anywhere
+    monkeypatch.setattr(near, "HITS", 7)
+    rng = random.Random(11)
+    seqs = ["A", "C", "AC", "é" * 30, "é" * 29 + "x"]
+    for n in (3, 9, 40, 130):
+        for bases in ("ACGT", "AAAC", "A"):
+            s = "".join(rng.choices(bases, k=n))
+            seqs += [s, *(_edited(rng, s, max(1, int((1 - threshold) * n)), end) for end in (None, 0, 1))]
+    seqs = sorted(set(seqs) - {""})
+    rng.shuffle(seqs)
+    x, y = seqs[: len(seqs) * 2 // 3], seqs[len(seqs) // 3 :]
+    want = {(a, b, d) for a in x for b in y if (len(a), a) < (len(b), b) and 1 - (d := align.distance(a, b)) / len(b) >= threshold}
+    found = near.near(x, y, threshold)
+    assert len(found) == len(set(found)) and {(x[i], y[j], d) for i, j, d in found if d >= 0} == want and len(want) > 5
+    assert near.near([], y, threshold) == near.near(x, [], threshold) == []
+
+
+def test_segments_and_places_are_no_rows(spark, tmp_path):
+    rng = random.Random(3)
+    spark.createDataFrame([(k, "".join(rng.choices("ACGT", k=60))) for k in range(50)], "id long, seq string").write.parquet(f"{tmp_path}/heads")
+    plan = similarity.edges(spark.read.parquet(f"{tmp_path}/heads"), 0.9)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") <= 1 and plan.count("Exchange") <= 6  # copies find their first; the strands' two sides are dealt once
