@@ -1,6 +1,7 @@
 """Similarity joins: no pair at the limit of edits is lost, and nothing many times a table's file is broadcast."""
 
 import random
+import re
 import time
 
 import pytest
@@ -93,3 +94,14 @@ def test_segments_and_places_are_no_rows(spark, tmp_path):
     spark.createDataFrame([(k, "".join(rng.choices("ACGT", k=60))) for k in range(50)], "id long, seq string").write.parquet(f"{tmp_path}/heads")
     plan = similarity.edges(spark.read.parquet(f"{tmp_path}/heads"), 0.9)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") <= 1 and plan.count("Exchange") <= 6  # copies find their first; the strands' two sides are dealt once
+
+
+def test_links_carry_their_distance_and_costs_compare_a_pair_once(spark):
+    seqs = ["ACGTACGTACGT" * 3, "ACGTACGTACGT" * 2 + "ACGTACGAACGT", "ACGTACGTACGT" * 3, "ACGTACGTACGT" * 2 + "ACGTACGACGT", "TTTT"]
+    reads = spark.createDataFrame(list(enumerate(seqs)), "id long, seq string")
+    got = {(r.src, r.dst): r.distance for r in similarity.near_pairs(reads, 0.9).collect()}
+    assert got == {(0, 1): 1, (0, 2): 0, **{(k, 3): align.edit_distance(seqs[k], seqs[3]) for k in (0, 1)}}
+    found = similarity.costs(reads.select(F.lit(7).alias("cluster"), "seq"))
+    assert {(r.seq, r.freq, r.cost) for r in found.collect()} == {(s, seqs.count(s), sum(align.edit_distance(s, t) for t in seqs)) for s in seqs}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"seq#\d+ < other#\d+", plan)  # one order of each pair
