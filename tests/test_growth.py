@@ -1,11 +1,13 @@
 """What made queries grow faster than their input, or do a step twice: kernels against plain loops, plans, and counts of rows."""
 
 import random
+import time
 
+import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
-from strandspark.functions import dna, frames
-from strandspark.operators import archive
+from strandspark.functions import dna, figures, frames
+from strandspark.operators import archive, erasure
 
 
 def plan(df):
@@ -30,3 +32,47 @@ def test_batches_of_frames_are_those_of_single_strands():
         got = frames.decode_batch(layout, strands, [60] * len(strands))
         assert got == [frames.decode_strand(layout, s, 60) for s in strands]
         assert [x[2] for x in got[:60]] == payloads and [x[0] for x in got[:60]] == list(range(60))
+
+
+def test_figures_in_parts_are_those_of_columns(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = ["", None, "A", "NNNN", "éAAé", "ACGTTTTTN", "aaaa", *("".join(rng.choice("AACGT") for _ in range(rng.randint(1, 90))) for _ in range(40)), "AC" + "G" * 300 + "T"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, s string").repartition(2)
+    plain = rows.select("k", dna.gc_fraction(F.col("s")).alias("gc"), dna.longest_run(F.col("s")).alias("run"))
+    got = rows.select("k", figures.figures("s").alias("m")).select("k", "m.gc", "m.run")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == sorted(map(tuple, plain.collect()), key=lambda r: r[0])
+    data = rows.filter("k > 6 or k < 2").withColumn("s", F.encode("s", "UTF-8"))
+    plain = data.withColumn("s", dna.to_dna(F.col("s"))).select("k", dna.gc_fraction(F.col("s")), dna.longest_run(F.col("s")))
+    got = data.select("k", figures.packed_figures("s").alias("m")).select("k", "m.gc", "m.run")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == sorted(map(tuple, plain.collect()), key=lambda r: r[0])
+    whole = [t.encode() for t in texts if t]
+    ends = figures.np.cumsum([0, *map(len, whole)])
+    raw = figures.np.frombuffer(b"".join(whole), figures.np.uint8)
+    want = [list(x) for x in figures.measured(raw, ends, False)]
+    monkeypatch.setattr(figures, "PART", 7)  # strands longer than a part go on from part to part
+    assert [list(x) for x in figures.measured(raw, ends, False)] == want
+
+
+def test_chunks_do_not_carry_their_whole(spark):
+    rows = spark.createDataFrame([(1, bytes(range(100))), (2, b""), (3, None)], "archive long, payload binary")
+    got = erasure.chunks(rows, 32)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, k, bytes(range(100))[32 * k : 32 * k + 32], 4) for k in range(4)] + [(2, 0, b"", 1)]
+    step = plan(got.select(figures.packed_figures("payload"))).split("ArrowEvalPython")[1].split("\n")
+    assert "substring" not in step[0] and not any("substring" in x for x in step[1:] if "Project" in x)
+
+
+def test_violations_are_worded_once_for_equal_figures(spark, tmp_path):
+    texts = [(k, "a" * (40 + k % 3)) for k in range(500)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["constraint_violations"](spark, str(tmp_path))
+    assert "figures" in plan(got) and plan(got).count("Aggregate") == 2
+    assert {(r.side, r.what, r.n) for r in got.collect()} == {("above", "gc", 1000)}  # a letter a is CGAC
+
+
+def test_qgrams_of_long_strands_take_linear_time(spark):
+    rows = spark.createDataFrame([("ACGTTGCA" * 40_000,)], "s string")
+    began = time.time()
+    assert rows.select(F.explode(dna.qgrams(F.col("s"), 8)).alias("g")).agg(F.count_distinct("g")).first()[0] == 8
+    assert time.time() - began < 15
+    odd = spark.createDataFrame([("ééAC",), ("AC",), ("ACG",), ("",), (None,)], "s string")
+    assert [r[0] for r in odd.select(dna.qgrams(F.col("s"), 3)).collect()] == [["ééA", "éAC"], ["AC"], ["ACG"], [""], [None]]
