@@ -76,3 +76,22 @@ def test_qgrams_of_long_strands_take_linear_time(spark):
     assert time.time() - began < 15
     odd = spark.createDataFrame([("ééAC",), ("AC",), ("ACG",), ("",), (None,)], "s string")
     assert [r[0] for r in odd.select(dna.qgrams(F.col("s"), 3)).collect()] == [["ééA", "éAC"], ["AC"], ["ACG"], [""], [None]]
+
+
+def test_random_layouts_are_drawn_in_ranges_of_seeds(spark, monkeypatch):
+    totals = spark.createDataFrame([("a", 900), ("b", 3), ("c", 1)], "archive string, total int")
+    cdf = erasure.soliton(spark.range(1, 9).select(F.col("id").cast("double").alias("k")))
+    made = lambda: sorted(map(tuple, erasure.random_layout(totals, F.col("total") - 1, 8, 5, cdf).collect()))
+    monkeypatch.setattr(erasure, "SEEDS", 1 << 40)
+    want = made()
+    monkeypatch.setattr(erasure, "SEEDS", 7)
+    assert made() == want and {x[1] for x in want} == set(range(5, 904))
+
+
+def test_soliton_symbols_are_drawn_once_for_a_size(spark, tmp_path):
+    spark.createDataFrame([(k, "x" * 3000) for k in range(400)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["soliton_fountain"](spark, str(tmp_path))
+    one = entry.queries()["soliton_fountain"](spark, str(tmp_path))
+    assert got.agg(F.sum("symbols")).first()[0] == 400 * 47  # half of 94 chunks
+    assert all(r.symbols % 400 == 0 and r.total_idx % 400 == 0 for r in one.collect())
+    assert "copies" in plan(got)
