@@ -95,3 +95,21 @@ def test_soliton_symbols_are_drawn_once_for_a_size(spark, tmp_path):
     assert got.agg(F.sum("symbols")).first()[0] == 400 * 47  # half of 94 chunks
     assert all(r.symbols % 400 == 0 and r.total_idx % 400 == 0 for r in one.collect())
     assert "copies" in plan(got)
+
+
+def test_symbols_are_folded_in_place(spark):
+    rng = random.Random(4)
+    data = [(k, rng.randbytes(n)) for k, n in enumerate((0, 1, 7, 8, 300, 77))] + [(9, None), (4, rng.randbytes(50))]  # two rows of one archive
+    rows = spark.createDataFrame(data, "archive long, payload binary")
+    want: dict = {}
+    for key, x in data:
+        cut = [x[k : k + 8] for k in range(0, len(x), 8)] if x else []
+        for layer in (1, 2):
+            m = erasure.coprime_multiplier(len(cut), layer)
+            for p in range(len(cut)):
+                seed = 3 + (layer - 1) * -(-len(cut) // 4) + p // 4
+                piece = int.from_bytes(cut[(m * p + layer * erasure.WEYL) % len(cut)].ljust(8, b"\0"), "big")
+                want[key, seed] = want.get((key, seed), 0) ^ piece
+    made = erasure.interleaved_symbols(rows, 2, 4, 8, 3)
+    assert {(r.archive, r.seed): int.from_bytes(r.payload, "big") for r in made.collect()} == want
+    assert plan(made).count("ArrowEvalPython") == 1
