@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,32 @@ def test_links_carry_their_distance_and_costs_compare_a_pair_once(spark):
     assert {(r.seq, r.freq, r.cost) for r in found.collect()} == {(s, seqs.count(s), sum(align.edit_distance(s, t) for t in seqs)) for s in seqs}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"seq#\d+ < other#\d+", plan)  # one order of each pair
+
+
+def test_cluster_work_is_dealt_in_blocks(spark, monkeypatch):
+    """Sums of distances and votes are the same in small blocks, which meet in pairs on all tasks; near and far strands, copies, other signs."""
+    rng = random.Random(17)
+    rows = [("short", "".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 9)))) for _ in range(60)]
+    for cluster, size, reads in (("long", 120, 50), ("few", 60, 3), ("one", 30, 1)):
+        first = "".join(rng.choice("ACGT") for _ in range(size))
+        for _ in range(reads):
+            x = list(first)
+            for _ in range(rng.randrange(size // 3)):
+                x[rng.randrange(size)] = rng.choice("ACGTN")
+            rows += [(cluster, "".join(x))] * rng.randrange(1, 3)
+    members = spark.createDataFrame(rows, "cluster string, seq string")
+    by = {c: [s for k, s in rows if k == c] for c in {k for k, _ in rows}}
+    want = {(c, s): sum(align.edit_distance(s, t) for t in own) for c, own in by.items() for s in own}
+    medoid = {c: min(own, key=lambda s: (want[c, s], len(s), s)) for c, own in by.items()}
+    voted = {}
+    for c, m in medoid.items():
+        same = [s for s in by[c] if len(s) == len(m)]
+        voted[c] = "".join(max(sorted(set(column)), key=lambda x: (column.count(x), x == m[k])) for k, column in enumerate(zip(*same)))
+    for bases in (1 << 18, 700):
+        monkeypatch.setattr(similarity, "CLUSTER_BASES", bases)
+        monkeypatch.setattr(similarity, "VOTE_BASES", bases)
+        assert {(r.cluster, r.seq): r.cost for r in similarity.costs(members).collect()} == want
+        assert {r.cluster: r.consensus for r in similarity.column_votes(members).collect()} == voted
+    numbers = np.array([by["long"].count(s) for s in sorted(set(by["long"]))])
+    texts, side = sorted(set(by["long"])), np.arange(len(numbers)) % 2
+    assert align.costs(texts, numbers, side).tolist() == [sum(align.edit_distance(s, t) * numbers[j] for j, t in enumerate(texts) if side[j] != side[i]) for i, s in enumerate(texts)]
