@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandspark.functions import align, near
 from strandspark.operators import similarity
+from strandspark.plans.store import CLEANUP, kept
 
 
 def _edited(rng, seq, edits, end):
@@ -135,3 +136,28 @@ def test_cluster_work_is_dealt_in_blocks(spark, monkeypatch):
     numbers = np.array([by["long"].count(s) for s in sorted(set(by["long"]))])
     texts, side = sorted(set(by["long"])), np.arange(len(numbers)) % 2
     assert align.costs(texts, numbers, side).tolist() == [sum(align.edit_distance(s, t) * numbers[j] for j, t in enumerate(texts) if side[j] != side[i]) for i, s in enumerate(texts)]
+
+
+def test_strands_are_stored_once_for_all_pairs_of_blocks(spark, monkeypatch):
+    """However many blocks meet, each strand stands in one of them, and one side alone is dealt."""
+    rng = random.Random(23)
+    seqs = ["".join(rng.choices("ACGT", k=rng.randrange(30, 60))) for _ in range(150)]
+    seqs = sorted(set(seqs) | {_edited(rng, s, rng.randrange(1, 5), None) for s in seqs[::3]})
+    heads = spark.createDataFrame(list(enumerate(seqs)), "id long, seq string")
+    monkeypatch.setattr(similarity, "BLOCK_BASES", 400)
+    rows = similarity.blocks(heads, 0.9).collect()
+    assert len(rows) > 15 and sorted(x.id for r in rows for x in r.strands) == list(range(len(seqs)))
+    found = similarity.compared(heads, 0.9)
+    plan = found._jdf.queryExecution().optimizedPlan().toString(), found._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan[0] and "CartesianProduct" in plan[1]
+    want = {(i, j, d) for i, a in enumerate(seqs) for j, b in enumerate(seqs) if i < j and 1 - (d := align.edit_distance(a, b)) / max(len(a), len(b)) >= 0.9}
+    got = [(r.src, r.dst, r.distance) for r in found.collect() if 0 <= r.distance <= 0.1 * r.size]
+    assert set(got) == want and len(got) == len(want) > 10
+
+
+def test_what_was_shuffled_for_a_stored_table_is_removed(spark):
+    files = lambda: {f.getName() for f in spark.sparkContext._gateway.jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    table = kept(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert not files() - before
+    assert table.count() == 7 and spark.conf.get(CLEANUP, None) is None
